@@ -55,7 +55,7 @@ def _features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return which.astype(np.int64), (n / max(1, n.sum())).astype(np.float32)
 
 
-def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 2.0, reject: float = 0.002, seed: int = 5) -> dict:
+def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0.1, reject: float = 0.002, seed: int = 5) -> dict:
     """The model of labelled texts: names, logits by bucket, bias, temperature and least accepted score."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], np.int64)
@@ -71,6 +71,7 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 2
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights, bias = np.zeros((DIMENSIONS, len(names)), np.float32), np.zeros(len(names), np.float32)
     order = np.flatnonzero(~held)
+    seen, seen_w, seen_b = np.full(BUCKETS, 1e-9, np.float32), np.full(weights.shape, 1e-6, np.float32), np.full(bias.shape, 1e-6, np.float32)
     for epoch in range(epochs if len(names) > 1 else 0):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(order).tolist():
@@ -82,10 +83,14 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 2
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y[i]] -= 1
-            back = weights @ p
-            weights -= step * np.outer(mean, p)
-            bias -= 0.01 * step * p
-            table[which] -= (step * 20) * part[:, None] * back
+            back = part[:, None] * (weights @ p)  # steps are scaled by the root of past squared gradients
+            turn = np.outer(mean, p)
+            seen_w += turn * turn
+            seen_b += p * p
+            seen[which] += (back * back).mean(1)
+            weights -= step * turn / np.sqrt(seen_w)
+            bias -= 0.1 * step * p / np.sqrt(seen_b)
+            table[which] -= step * back / np.sqrt(seen[which])[:, None]
     logits = (table @ weights).astype(np.float32)
     logits[0] = 0
     z = np.array([part @ logits[which] + bias for i, (which, part) in enumerate(rows) if held[i] and len(which)]).reshape(-1, len(names))
