@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
 from .textnum import text_chunks
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 16, 16, (2, 3, 4)
@@ -131,7 +132,7 @@ def fit(labelled: DataFrame, most_rows: int = 3000, text_col: str = "text", lang
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     quota = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("langs"))))  # one row
-    share = quota.select("lang", (F.lit(most_rows) / F.col("langs") / F.col("n")).alias("share"))
+    share = kept(quota.select("lang", (F.lit(most_rows) / F.col("langs") / F.col("n")).alias("share")), "share")  # its size is known: texts stay in place
     keyed = rows.withColumn("key", F.xxhash64("lang", "text"))
     sample = keyed.join(share, "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["key"])
 
