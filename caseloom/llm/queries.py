@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, toxicity
+from . import langid, mixing, packing, toxicity, warc
 from .shared import crc32_mod
 
 
@@ -28,6 +28,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    page = lambda c: F.expr(f"try_cast(substr({c}, {len(warc.PREFIX) + 1}) AS long)")
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op6_language": op6_language,
     "op8_toxicity": op8_toxicity,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
@@ -74,6 +81,19 @@ WITH sized AS (
 )
 """
 
+WARC_SQL = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), kept AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest, n >= 1000) ELSE page_id END AS keeper FROM sized
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN keeper IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to
+FROM kept
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": WARC_SQL,
     "op1_mixing": MIX_SQL.replace("{documents}", "documents") + "SELECT doc_id, size, source, source_size, target, taken::BIGINT AS taken FROM mixed",
 }
