@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, toxicity, warc
+from . import jaccard, langid, mixing, packing, passages, toxicity, warc
 from .shared import crc32_mod
 
 
@@ -24,7 +24,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
-    model = toxicity.fit(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels)
     return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
@@ -39,6 +39,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", "n_removed", "spans")
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op4_suffixes": op4_suffixes,
     "op5_jaccard": op5_jaccard,
     "op6_language": op6_language,
     "op8_toxicity": op8_toxicity,
