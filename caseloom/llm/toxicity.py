@@ -153,18 +153,21 @@ def _pack(names, ids, toxic, idf, numbers, rows, cols, counts) -> bytes:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, most_rows: int = 4000, most_terms: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """A model from at most about most_rows rows of labelled (id, text, toxic), half of each label where there are enough.
+    """A model from at most about most_rows rows of labelled (id, toxic), half of each label where there are enough.
 
-    The bound is on rows and terms; whole texts are used.  Rows are chosen by their hash, equal rows count once, rows with
-    a null text or label are left out.  idf counts the documents of all of docs that hold each chosen term.
+    The bound is on rows and terms; whole texts are used.  Rows are chosen by their hash, equal rows count once (of several
+    texts of one id, any), rows with a null id, text or label are left out.  idf counts the documents of all of docs that hold
+    each chosen term.
     """
     spark = docs.sparkSession
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col("toxic") > 0).alias("toxic")).where("text IS NOT NULL AND toxic IS NOT NULL")
-    counts = rows.groupBy("toxic").agg(F.count("*").alias("n"))
-    counts = kept(counts, "labels")
+    rows = labelled.select(F.col(id_col).alias("id"), (F.col("toxic") > 0).alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
+    counts = kept(rows.groupBy("toxic").agg(F.count("*").alias("n")), "labels")
     share = counts.select("toxic", (F.lit(most_rows / 2) / F.col("n")).alias("share"))
-    keyed = rows.withColumn("key", F.xxhash64("id", "text", "toxic"))
-    sample = keyed.join(share, "toxic").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["key"])
+    keyed = rows.withColumn("key", F.xxhash64("id", "toxic"))
+    chosen = keyed.join(share, "toxic").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["id", "toxic"])
+    chosen = kept(chosen.orderBy("key").limit(2 * most_rows), "chosen")  # a bound in any case: it may be broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    sample = texts.join(F.broadcast(chosen), "id").dropDuplicates(["key"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted((k, -1 if i is None else i, y, terms(t)) for b in batches for k, i, y, t in zip(*(b.column(c).to_pylist() for c in ("key", "id", "toxic", "text")), strict=True))
