@@ -306,3 +306,17 @@ def _rest(many, links, first, possible, alike, percent, known, nodes, length, is
     pairs = open_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     pairs = kept(possible(pairs.withColumn("c", F.lit(0))), "open")
     return _verified(pairs, known, nodes, length).where(is_link).select("a", "b")
+
+
+def without_near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text and others) with one row of each component of near_duplicates: that of the smallest doc_id.
+
+    Of rows with one doc_id one stays.  Rows with a null doc_id link with nothing and stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), length, percent)
+    going = kept(found.where("doc_id <> component_id").select(F.col("doc_id").alias("going")).distinct(), "going")
+    out = docs.join(going, docs["doc_id"].cast("long") == going["going"], "left_anti")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
+    if repeated.isEmpty():
+        return out
+    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))

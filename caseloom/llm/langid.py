@@ -144,43 +144,62 @@ def fit(labelled: DataFrame, most_rows: int = 3000, text_col: str = "text", lang
     return bytes(sample.select("key", "text", "lang").repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
-def identify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """One row (id_col, lang_pred, score, accepted) per row of docs; with keep all columns of docs besides.
+def _predictor(model: bytes):
+    """A function of (batch, text column) to (languages, scores, accepted)."""
+    got = np.load(io.BytesIO(model))
+    names, logits, bias, temperature, least = ([str(x) for x in got["names"]], got["logits"], got["bias"], float(got["temperature"]), float(got["least"]))
+    by_lang = [np.ascontiguousarray(logits[:, k]) for k in range(len(names))]
+
+    def predict(batch: pa.RecordBatch, text_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        n = batch.num_rows
+        if not names:
+            return ["und"] * n, np.zeros(n), np.zeros(n, bool)
+        total, grams = np.zeros((n, len(names))), np.zeros(n)
+        for row, data, offsets in text_chunks(batch, text_col, 1 << 19):
+            rows = slice(row, row + len(offsets) - 1)
+            for bucket, first in gram_buckets(data, offsets):
+                grams[rows] += np.add.reduceat(bucket > 0, first, dtype=np.int64)
+                for k, column in enumerate(by_lang):
+                    total[rows, k] += np.add.reduceat(column[bucket], first, dtype=np.float64)
+        letters = np.array([any(map(str.isalpha, t)) if t else False for t in batch.column(text_col).to_pylist()], bool)
+        z = (total / np.maximum(grams, 1)[:, None] + bias) / temperature
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        best = p.argmax(1)
+        score = np.where(letters, p[np.arange(n), best], 0.0)
+        said = [names[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+        return said, score, letters & (score >= least)
+
+    return predict
+
+
+def identify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (id_col, lang_pred, score, accepted) per row of docs.
 
     lang_pred is a language of the model, or ``und`` (score 0, not accepted) for a text that is null or without a letter, or
     if the model has no languages.  Whole texts are read.  score is the calibrated probability of lang_pred; accepted
-    tells whether it reaches the model's least score.  Each row stands for itself: repeated rows and null ids too.
+    tells whether it reaches the model's least score.  Each row stands for itself: repeated rows and null ids too.  An empty
+    table gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns if keep else [id_col, text_col]
-    fields = [f for f in docs.schema if f.name in columns and (keep or f.name == id_col)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, accepted boolean"
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.load(io.BytesIO(shared.value))
-        names, logits, bias, temperature, least = ([str(x) for x in got["names"]], got["logits"], got["bias"], float(got["temperature"]), float(got["least"]))
-        by_lang = [np.ascontiguousarray(logits[:, k]) for k in range(len(names))]
+        predict = _predictor(shared.value)
         for batch in batches:
-            n = batch.num_rows
-            total, grams = np.zeros((n, len(names))), np.zeros(n)
-            for row, data, offsets in text_chunks(batch, text_col, 1 << 19):
-                rows = slice(row, row + len(offsets) - 1)
-                for bucket, first in gram_buckets(data, offsets):
-                    grams[rows] += np.add.reduceat(bucket > 0, first, dtype=np.int64)
-                    for k, column in enumerate(by_lang):
-                        total[rows, k] += np.add.reduceat(column[bucket], first, dtype=np.float64)
-            letters = np.array([any(map(str.isalpha, t)) if t else False for t in batch.column(text_col).to_pylist()], bool) & bool(names)
-            if names:
-                z = (total / np.maximum(grams, 1)[:, None] + bias) / temperature
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                best = p.argmax(1)
-                score = np.where(letters, p[np.arange(n), best], 0.0)
-                said = [names[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-            else:
-                score, said = np.zeros(n), ["und"] * n
-            kept = [batch.column(f.name) for f in fields]
-            made = [pa.array(said, pa.string()), pa.array(score), pa.array(letters & (score >= least))]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [*[f.name for f in fields], "lang_pred", "score", "accepted"])
-
-    return docs.select(columns).mapInArrow(run, schema)
+            said, score, accepted = predict(batch, text_col)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(said, pa.string()), pa.array(score), pa.array(accepted)], [id_col, "lang_pred", "score", "accepted"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
+
+
+def accepted_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language identify() accepts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predictor(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(predict(batch, text_col)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
