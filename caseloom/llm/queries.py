@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, passages, toxicity, warc
+from . import jaccard, langid, mixing, packing, passages, toxicity, vectors, warc
 from .shared import crc32_mod
 
 
@@ -39,6 +39,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", "n_removed", "spans")
 
@@ -56,6 +60,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_vectors": op2_vectors,
     "op4_suffixes": op4_suffixes,
     "op5_jaccard": op5_jaccard,
     "op6_language": op6_language,
