@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, merkle, mixing, packing, passages, toxicity, vectors, warc
+from . import jaccard, langid, licenses, merkle, mixing, packing, passages, toxicity, vectors, warc
 from .shared import crc32_mod
 
 
@@ -47,6 +47,10 @@ def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", "n_removed", "spans")
 
@@ -65,6 +69,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_vectors": op2_vectors,
+    "op3_licenses": op3_licenses,
     "op4_suffixes": op4_suffixes,
     "op5_jaccard": op5_jaccard,
     "op6_language": op6_language,
@@ -113,7 +118,30 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM kept
 """
 
+LICENSE_SQL = r"""
+WITH templates AS (
+  SELECT t.name, t.grams FROM (SELECT unnest([{rows}]) AS t)
+), units AS (
+  SELECT doc_id, unnest(CASE WHEN contains(text, chr(10)) THEN list_concat([text], string_split(text, chr(10))) ELSE [text] END) AS unit FROM documents
+), words AS (
+  SELECT doc_id, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM units
+), grams AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2
+), scored AS (
+  SELECT doc_id, name AS license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+  FROM grams JOIN templates ON len(g) BETWEEN len(grams) * (0.8::DOUBLE / 1.2) AND len(grams) * (1.2::DOUBLE / 0.8)
+)
+SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units FROM scored WHERE dice >= 0.8 GROUP BY ALL
+"""
+
+
+def _license_rows() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"{{'name': {quoted(n)}, 'grams': [{', '.join(map(quoted, licenses.bigrams(t)))}]}}" for n, t in licenses.TEMPLATES.items())
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": LICENSE_SQL.replace("{rows}", _license_rows()),
     "op9_warc": WARC_SQL,
     "op1_mixing": MIX_SQL.replace("{documents}", "documents") + "SELECT doc_id, size, source, source_size, target, taken::BIGINT AS taken FROM mixed",
 }
