@@ -9,7 +9,8 @@ too short for that also signs each frequent token by itself.
 
 Small groups of a signature give pairs; a large group gives pairs with its leader, the node with the fewest rare
 tokens.  Members that do not link to the leader are then compared with members of other components, as far as the
-lengths, the shared signatures and the triangle inequality (Jaccard distance is a metric) leave a link possible.
+lengths, the shared signatures, the triangle inequality (Jaccard distance is a metric) and the parity bits of the
+sets, a lower bound of their difference, leave a link possible.  What remains is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, kept
@@ -66,6 +67,25 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     return rare, np.concatenate(made) if made else hot[:0], len(hot) - stop, stop, len(rare)
 
 
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """One bit a place, set where an odd number of tokens falls: as many places as tokens or up to twice, 256 to 32,768.
+
+    A token in one of two sets changes one bit, so sets differ in at least as many tokens as their bits differ.
+    """
+    places = min(1 << 15, max(256, 1 << max(0, len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(bits_a: Column, half_a: Column, n_a: Column, bits_b: Column, half_b: Column, n_b: Column, percent: int) -> Column:
+    """Whether the parity bits leave a link possible; of sets with twice the places the halves are taken together."""
+    x = F.when(F.size(bits_a) > F.size(bits_b), half_a).otherwise(bits_a)
+    y = F.when(F.size(bits_b) > F.size(bits_a), half_b).otherwise(bits_b)
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    # intersection = (n_a + n_b - difference) / 2 and 100 * intersection >= percent * union
+    return (n_a + n_b - differ) * (100 + percent) >= (n_a + n_b) * (2 * percent)
+
+
 def _flags(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
     where = tokens & np.uint64(BITS - 1)
     return (bits[(where >> np.uint64(3)).astype(np.int64)] >> (where & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
@@ -223,16 +243,20 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, parity = [], []
             for _, key, tokens in _Sets(length)(iter([batch]), every=True):
                 _, _, rest, hot, rare = signatures(tokens, _flags(tokens, bits.value), percent) if len(tokens) else (0, 0, 0, 0, 0)
                 rows.append((key, len(tokens), rest, hot, rare))
+                parity.append(parity_bits(tokens))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in columns)], ["id", "node", "n", "rest", "hot", "rare"])
+            half = [x[: len(x) // 2] ^ x[len(x) // 2 :] for x in parity]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (parity, half)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in columns), *lists], ["id", "node", "n", "rest", "hot", "rare", "bits", "half"])
 
-    described = kept(texts.mapInArrow(describe, "id long, node long, n long, rest long, hot long, rare long"), "described")
+    described = kept(texts.mapInArrow(describe, "id long, node long, n long, rest long, hot long, rare long, bits array<long>, half array<long>"), "described")
     some = described.where("n > 0 AND id IS NOT NULL")
-    nodes = kept(some.groupBy("node").agg(F.min("id").alias("id"), *[F.max(c).alias(c) for c in ("n", "rest", "hot", "rare")]), "nodes")
+    every = [F.max(c).alias(c) for c in ("n", "rest", "hot", "rare")]
+    nodes = kept(some.groupBy("node").agg(F.min("id").alias("id"), *every, F.first("bits").alias("bits"), F.first("half").alias("half")), "nodes")
 
     def signed(combined: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,14 +272,16 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
 
     found = kept(_groups(signed(False)), "grouped")
     large = found.where("a = b")
-    members = large.select("sig", F.col("a").alias("node")).union(signed(True).select("sig", "node")).distinct().join(nodes.select("node", "n", "rare"), "node")
+    members = large.select("sig", F.col("a").alias("node")).union(signed(True).select("sig", "node")).distinct().join(nodes.select("node", "n", "rare", "bits", "half"), "node")
     members = kept(members, "members")
     leaders = members.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("rare", "node", "n")).alias("lead")).where("m > 1")
-    members = kept(members.join(leaders, "sig").select("sig", "node", "n", "m", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "led")
+    members = kept(members.join(leaders, "sig").select("sig", "node", "n", "bits", "half", "m", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "led")
     few, many = members.where(F.col("m") <= SMALL_GROUP), members.where(F.col("m") > SMALL_GROUP)
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    x, y = few.select("sig", F.col("node").alias("a"), F.col("n").alias("na")), few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"))
-    small_pairs = x.join(y, "sig").where((F.col("a") < F.col("b")) & alike(F.col("na"), F.col("nb"))).select("a", "b", F.lit(0).alias("c"))
+    x, y = (few.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "bits", "half")]) for s in "ab")
+    ab = [F.col(f"{s}_{c}") for s in "ab" for c in ("bits", "half", "n")]
+    small_pairs = x.join(y, "sig").where((F.col("a_node") < F.col("b_node")) & alike(F.col("a_n"), F.col("b_n")) & may_link(*ab, percent))
+    small_pairs = small_pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.lit(0).alias("c"))
     led = many.where((F.col("node") != F.col("leader")) & alike(F.col("n"), F.col("leader_n")))
     led_pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.lit(0).alias("c"))
     candidates = found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("c")).union(small_pairs).union(led_pairs)
@@ -268,7 +294,10 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
         for s in ("a", "b"):
             pairs = pairs.join(facts.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "rest", "hot", "large")]), s)
         most = F.col("c") + F.least("large_a", "large_b") + F.least("hot_a", "hot_b") + F.greatest("rest_a", "rest_b")
-        return pairs.where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
+        pairs = kept(pairs.where(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b"), "bounded")
+        for s in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "bits", "half")]), s)
+        return pairs.where(may_link(*[F.col(f"{s}_{c}") for s in "ab" for c in ("bits", "half", "n")], percent)).select("a", "b")
 
     first = _verified(kept(possible(candidates), "pairs"), known, nodes, length)
     is_link = (F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent) & (F.col("same") > 0)
@@ -298,11 +327,11 @@ def _rest(many, links, first, possible, alike, percent, known, nodes, length, is
     far = first.select("a", "b", (1 - F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))).alias("far"))
     far = far.select(F.col("a").alias("node"), F.col("b").alias("leader"), "far").union(far.select("b", "a", "far"))
     at = at.join(lead, "leader", "left").withColumn("leader_part", F.coalesce("leader_part", "leader")).join(far, ["node", "leader"], "left")
-    at = kept(at.select("sig", "node", "n", "part", "leader_part", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")).alias("far")), "at")
-    x = at.where("part <> leader_part").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), F.col("far").alias("fx"))
-    y = at.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), F.col("leader_part").alias("ly"), F.col("far").alias("fy"))
+    at = kept(at.select("sig", "node", "n", "bits", "half", "part", "leader_part", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")).alias("far")), "at")
+    x = at.where("part <> leader_part").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), F.col("far").alias("fx"), F.col("bits").alias("bx"), F.col("half").alias("hx"))
+    y = at.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), F.col("leader_part").alias("ly"), F.col("far").alias("fy"), F.col("bits").alias("by"), F.col("half").alias("hy"))
     near = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    open_pairs = x.join(y, "sig").where((F.col("px") != F.col("py")) & alike(F.col("nx"), F.col("ny")) & near & ((F.col("py") == F.col("ly")) | (F.col("x") < F.col("y"))))
+    open_pairs = x.join(y, "sig").where((F.col("px") != F.col("py")) & alike(F.col("nx"), F.col("ny")) & near & may_link(*map(F.col, ("bx", "hx", "nx", "by", "hy", "ny")), percent) & ((F.col("py") == F.col("ly")) | (F.col("x") < F.col("y"))))
     pairs = open_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     pairs = kept(possible(pairs.withColumn("c", F.lit(0))), "open")
     return _verified(pairs, known, nodes, length).where(is_link).select("a", "b")
