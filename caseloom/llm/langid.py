@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import kept
@@ -94,7 +94,7 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0
             table[which] -= step * back / np.sqrt(seen[which])[:, None]
     logits = (table @ weights).astype(np.float32)
     logits[0] = 0
-    z = np.array([part @ logits[which] + bias for i, (which, part) in enumerate(rows) if held[i] and len(which)]).reshape(-1, len(names))
+    z = np.array([part @ logits[which] + bias for i, (which, part) in enumerate(rows) if held[i] and len(which)]).reshape(-1, max(1, len(names)))
     answer = np.array([y[i] for i in range(len(rows)) if held[i] and len(rows[i][0])], np.int64)
     temperature, least = 1.0, 0.0
     if len(answer):
@@ -131,7 +131,7 @@ def fit(labelled: DataFrame, most_rows: int = 3000, text_col: str = "text", lang
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    quota = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("langs"))))  # one row
+    quota = counts.withColumn("langs", F.count("*").over(Window.partitionBy(F.lit(1))))  # a row a language
     share = kept(quota.select("lang", (F.lit(most_rows) / F.col("langs") / F.col("n")).alias("share")), "share")  # its size is known: texts stay in place
     keyed = rows.withColumn("key", F.xxhash64("lang", "text"))
     sample = keyed.join(share, "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["key"])
@@ -141,7 +141,8 @@ def fit(labelled: DataFrame, most_rows: int = 3000, text_col: str = "text", lang
         model = train([t.encode() for _, t, _ in own], [x for _, _, x in own])
         yield pa.RecordBatch.from_arrays([pa.array([_packed(model)], pa.binary())], ["model"])
 
-    return bytes(sample.select("key", "text", "lang").repartition(1).mapInArrow(run, "model binary").first()["model"])
+    found = sample.select("key", "text", "lang").repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(found["model"]) if found else _packed(train([], []))  # no task runs over an empty sample
 
 
 def _predictor(model: bytes):

@@ -55,7 +55,7 @@ def source_bounds(rows: DataFrame, weights: Sequence[int], share: float, most: i
     Documents are taken ``times`` times, once more those with h < edge, and ``budget`` words of those with h = edge.
     """
     targets = kept(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    whole = F.coalesce(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)), F.lit(0)).cast("long")
+    whole = F.coalesce(F.least(F.floor(F.try_divide("target", "source_size")), F.lit(most)), F.lit(0)).cast("long")
     budget = F.floor(F.col("target") - whole * F.col("source_size")).cast("long")
     bound = targets.select(F.col("source").alias("of"), budget.alias("budget"), F.lit(0).cast("long").alias("edge"))
     for level in range(LEVELS):

@@ -179,7 +179,9 @@ def fit(docs: DataFrame, labelled: DataFrame, most_rows: int = 4000, most_terms:
         packed = _pack(names, [i for _, i, _, _ in own], toxic, np.ones(len(names)), [float(toxic.mean()) if len(toxic) else 0.0, 6, -3, 0], r, c, n)
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["model"])
 
-    first = bytes(sample.select("key", "id", "toxic", "text").repartition(1).mapInArrow(learn, "model binary").first()["model"])
+    found = sample.select("key", "id", "toxic", "text").repartition(1).mapInArrow(learn, "model binary").first()
+    none = np.zeros(0, np.int32)  # no task runs over an empty sample
+    first = bytes(found["model"]) if found else _pack([], [], [], np.zeros(0), [0.0, 6, -3, 0], none, none, none)
     got = dict(np.load(io.BytesIO(first)))
     names = [str(t) for t in got["names"]]
     shared = spark.sparkContext.broadcast(names)
