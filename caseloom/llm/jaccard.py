@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import components, kept
 from .textnum import mix, shingle_sets, text_chunks
 
-BITS, CLASSES, SKETCH, SMALL_GROUP = 1 << 22, 32, 48, 32
+BITS, CLASSES, SKETCH, SMALL_GROUP = 1 << 22, 32, 48, 8
 FREQUENT_SHARE, FREQUENT_LEAST = 5e-4, 8
 _A, _B, _ALONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -272,11 +272,12 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
 
     found = kept(_groups(signed(False)), "grouped")
     large = found.where("a = b")
-    members = large.select("sig", F.col("a").alias("node")).union(signed(True).select("sig", "node")).distinct().join(nodes.select("node", "n", "rare", "bits", "half"), "node")
+    members = large.select("sig", F.col("a").alias("node")).union(signed(True).select("sig", "node")).distinct().join(nodes.select("node", "n", "rare"), "node")
     members = kept(members, "members")
     leaders = members.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("rare", "node", "n")).alias("lead")).where("m > 1")
-    members = kept(members.join(leaders, "sig").select("sig", "node", "n", "bits", "half", "m", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "led")
-    few, many = members.where(F.col("m") <= SMALL_GROUP), members.where(F.col("m") > SMALL_GROUP)
+    members = kept(members.join(leaders, "sig").select("sig", "node", "n", "m", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "led")
+    sketch = nodes.select("node", "bits", "half")  # joined only where pairs are compared, as it is wider than all else
+    few, many = members.where(F.col("m") <= SMALL_GROUP).join(sketch, "node"), members.where(F.col("m") > SMALL_GROUP)
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     x, y = (few.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "bits", "half")]) for s in "ab")
     ab = [F.col(f"{s}_{c}") for s in "ab" for c in ("bits", "half", "n")]
@@ -327,9 +328,11 @@ def _rest(many, links, first, possible, alike, percent, known, nodes, length, is
     far = first.select("a", "b", (1 - F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))).alias("far"))
     far = far.select(F.col("a").alias("node"), F.col("b").alias("leader"), "far").union(far.select("b", "a", "far"))
     at = at.join(lead, "leader", "left").withColumn("leader_part", F.coalesce("leader_part", "leader")).join(far, ["node", "leader"], "left")
-    at = kept(at.select("sig", "node", "n", "bits", "half", "part", "leader_part", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")).alias("far")), "at")
-    x = at.where("part <> leader_part").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), F.col("far").alias("fx"), F.col("bits").alias("bx"), F.col("half").alias("hx"))
-    y = at.select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), F.col("leader_part").alias("ly"), F.col("far").alias("fy"), F.col("bits").alias("by"), F.col("half").alias("hy"))
+    at = kept(at.select("sig", "node", "n", "part", "leader_part", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")).alias("far")), "at")
+    sketch = nodes.select("node", "bits", "half")
+    apart = kept(at.where("part <> leader_part"), "apart")
+    x = apart.join(sketch, "node").select("sig", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), F.col("far").alias("fx"), F.col("bits").alias("bx"), F.col("half").alias("hx"))
+    y = at.join(apart.select("sig").distinct(), "sig", "left_semi").join(sketch, "node").select("sig", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), F.col("leader_part").alias("ly"), F.col("far").alias("fy"), F.col("bits").alias("by"), F.col("half").alias("hy"))
     near = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     open_pairs = x.join(y, "sig").where((F.col("px") != F.col("py")) & alike(F.col("nx"), F.col("ny")) & near & may_link(*map(F.col, ("bx", "hx", "nx", "by", "hy", "ny")), percent) & ((F.col("py") == F.col("ly")) | (F.col("x") < F.col("y"))))
     pairs = open_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
