@@ -110,6 +110,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     extra = F.expr("CASE WHEN mix_h < mix_edge THEN mix_size WHEN mix_h = mix_edge THEN floor(mix_size * mix_budget / mix_edge_size) ELSE 0 END").cast("long")
     parts = F.filter(F.concat(F.array_repeat("mix_size", F.col("mix_times").cast("int")), F.array(extra)), lambda x: x > 0)
     out = joined.withColumn("mix_part", F.explode(parts))
-    text = F.expr(r"CASE WHEN mix_part < mix_size THEN array_join(slice(regexp_extract_all(text, '[^\x20\x09-\x0D]+', 0), 1, cast(mix_part AS int)), ' ') ELSE text END")
+    first_words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix_part").cast("int"))
+    text = F.when(F.col("mix_part") < F.col("mix_size"), F.array_join(first_words, " ")).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
