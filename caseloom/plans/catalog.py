@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import declarative, features, filters, objects, organisation, relations, statistics
+from ..operators import declarative, discovery, features, filters, objects, organisation, relations, statistics
 from ..schema import EVENTS, EventSchema, canonical
 
 ORDERS = EventSchema("o_custkey", "o_orderstatus", "o_orderdate", "o_orderkey", "o_orderpriority")
@@ -188,7 +188,7 @@ query(
     ", r AS (SELECT resource AS a, rb AS b, lead(resource, 2) OVER (PARTITION BY case_id ORDER BY us, event_idx) AS back FROM s) SELECT a, b, count(*) AS n, count(*) / (SELECT count(*) FROM c)::DOUBLE AS share FROM r WHERE a = back AND a <> b GROUP BY ALL",
 )(organisation.subcontracting)
 query("resource_profile", "SELECT resource, count(*) AS n_events, count(DISTINCT activity) AS n_activities, count(DISTINCT case_id) AS n_cases, count(DISTINCT case_id) / (SELECT count(*) FROM c)::DOUBLE AS share_of_cases FROM e WHERE resource IS NOT NULL GROUP BY ALL")(organisation.resource_profile)
-query("activity_share", "SELECT resource, activity, count(*) AS n, count(*) / (sum(count(*)) OVER (PARTITION BY resource))::DOUBLE AS share FROM e WHERE resource IS NOT NULL GROUP BY ALL")(organisation.activity_share)
+query("activity_share", "SELECT resource, activity, n, n / sum(n) OVER (PARTITION BY resource)::DOUBLE AS share FROM (SELECT resource, activity, count(*) AS n FROM e WHERE resource IS NOT NULL GROUP BY resource, activity)")(organisation.activity_share)
 query("social_position", OWN + ", m AS (SELECT x.resource, count(DISTINCT y.resource) AS k FROM w x LEFT JOIN w y ON x.case_id = y.case_id AND x.resource <> y.resource GROUP BY ALL) SELECT resource, k / (SELECT count(DISTINCT resource) FROM w)::DOUBLE AS share FROM m")(organisation.social_position)
 query(
     "joint_activities",
@@ -226,3 +226,29 @@ object_query("oc_codeath", "SELECT x.oid AS o1, y.oid AS o2 FROM ends x JOIN end
 object_query("oc_inheritance", ", i AS (SELECT DISTINCT x.oid AS o1, y.oid AS o2 FROM ends x JOIN ends y ON x.last_eid = y.first_eid AND x.oid <> y.oid) SELECT * FROM i WHERE (o2, o1) NOT IN (SELECT (o1, o2) FROM i)", objects.inheritance)
 object_query("oc_descendants", "SELECT DISTINCT rel.oid AS o1, y.oid AS o2 FROM ends y JOIN rel ON rel.eid = y.first_eid JOIN ends x ON x.oid = rel.oid WHERE x.first_eid <> rel.eid", objects.descendants)
 object_query("oc_lifecycle", "SELECT eid, oid, CASE WHEN eid = first_eid THEN 'created' WHEN eid = last_eid THEN 'terminated' ELSE 'other' END AS qualifier FROM rel JOIN ends USING (oid)", objects.lifecycle)
+
+# Discovery
+STATE = "coalesce(array_to_string({}, ','), '')"
+query(
+    "transition_system",
+    f"SELECT {STATE.format('x')} AS source, activity, {STATE.format('y')} AS target, count(*) AS n FROM (SELECT activity, list(activity) OVER (PARTITION BY case_id ORDER BY us, event_idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS x, list(activity) OVER (PARTITION BY case_id ORDER BY us, event_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS y FROM e) GROUP BY ALL",
+)(discovery.transition_system)
+query("prefix_tree", "SELECT array_to_string(variant[1:d], ',') AS prefix, d::INT AS depth, count(*) AS n_cases, count(*) FILTER (d = len(variant)) AS n_final FROM (SELECT variant, unnest(range(1, len(variant) + 1)) AS d FROM v) GROUP BY ALL")(discovery.prefix_tree)
+NAMES = "SELECT x.activity AS a, y.activity AS b FROM (SELECT DISTINCT activity FROM e) x CROSS JOIN (SELECT DISTINCT activity FROM e) y"
+query(
+    "alpha_relations",
+    f", {FOOT} SELECT p.a, p.b, CASE WHEN x.n IS NOT NULL AND y.n IS NOT NULL THEN 'parallel' WHEN x.n IS NOT NULL THEN 'causal' WHEN y.n IS NOT NULL THEN 'inverse' ELSE 'none' END AS relation FROM ({NAMES}) p LEFT JOIN d x ON x.a = p.a AND x.b = p.b LEFT JOIN d y ON y.a = p.b AND y.b = p.a",
+)(discovery.alpha_relations)
+query(
+    "heuristics_dependencies",
+    f", {FOOT} SELECT * FROM (SELECT x.a, x.b, x.n, CASE WHEN x.a = x.b THEN x.n / (x.n + 1)::DOUBLE ELSE (x.n - coalesce(y.n, 0)) / (x.n + coalesce(y.n, 0) + 1)::DOUBLE END AS dependency FROM d x LEFT JOIN d y ON x.a = y.b AND x.b = y.a) WHERE dependency >= 0.05",
+)(lambda log: discovery.heuristics_dependencies(log, 0.05))
+query("loops_of_two", "SELECT a, b, n, n / (n + 1)::DOUBLE AS dependency FROM (SELECT least(activity, b) AS a, greatest(activity, b) AS b, count(*) AS n FROM (SELECT activity, b, lead(activity, 2) OVER (PARTITION BY case_id ORDER BY us, event_idx) AS c FROM s) WHERE activity = c AND activity <> b GROUP BY ALL) WHERE n / (n + 1)::DOUBLE >= 0.5")(discovery.loops_of_two)
+query(
+    "dfg_conformance",
+    "SELECT *, 1 - n_deviations / n_moves::DOUBLE AS fitness FROM (SELECT case_id, count(*) + 1 AS n_moves, count(*) FILTER (activity = b) + count(*) FILTER (p = 0 AND activity = 'error') AS n_deviations FROM s GROUP BY ALL)",
+)(lambda log: discovery.dfg_conformance(log, relations.dfg(log).where("a <> b"), relations.endpoints(log).where("activity <> 'error'"), relations.endpoints(log, "last_activity")))
+query(
+    "dfg_precision",
+    ", st AS (SELECT prefix, activity, count(*) AS n, count(DISTINCT b) AS taken FROM (SELECT array_to_string(list(activity) OVER (PARTITION BY case_id ORDER BY us, event_idx), ',') AS prefix, activity, b FROM s) GROUP BY ALL), al AS (SELECT activity AS a, count(DISTINCT b) AS allowed FROM s WHERE b IS NOT NULL GROUP BY ALL) SELECT 1 - sum(n * (allowed - least(taken, allowed)))::DOUBLE / sum(n * allowed)::DOUBLE AS precision FROM st JOIN al ON a = activity",
+)(lambda log: discovery.dfg_precision(log, relations.dfg(log)))
