@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def _predictor(model: bytes):
                 grams[rows] += np.add.reduceat(bucket > 0, first, dtype=np.int64)
                 for k, column in enumerate(by_lang):
                     total[rows, k] += np.add.reduceat(column[bucket], first, dtype=np.float64)
-        letters = np.array([any(map(str.isalpha, t)) if t else False for t in batch.column(text_col).to_pylist()], bool)
+        letters = pc.match_substring_regex(batch.column(text_col), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)  # no text becomes a Python string
         z = (total / np.maximum(grams, 1)[:, None] + bias) / temperature
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
