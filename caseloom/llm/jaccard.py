@@ -16,6 +16,7 @@ sets, a lower bound of their difference, leave a link possible.  What remains is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -166,36 +167,48 @@ def frequent_bits(texts: DataFrame, length: int) -> np.ndarray:
     return bits
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """(a, b, sig) of rows (sig, node, n): pairs of small groups; of large groups a row (a = b = node) with sig."""
+def _groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, sig) of rows (sig, node, n): pairs of small groups; of large groups a row (a = b = node) with sig.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int64())]))
-        sig, node, n = (table.column(c).to_numpy() for c in ("sig", "node", "n"))
-        del table
-        order = np.lexsort((node, sig))
-        sig, node, n = sig[order], node[order], n[order]
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])][: len(sig)]
-        sig, node, n = sig[fresh], node[fresh], n[fresh]
-        edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True][: len(sig) + 1]) if len(sig) else np.zeros(1, np.int64)
-        size = np.diff(edge)
+    Rows come sorted by signature, and a task holds one batch of them and the small group that the batch may have cut.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, ...]]:
-            for m in np.unique(size[(size > 1) & (size <= SMALL_GROUP)]).tolist():
-                at = edge[:-1][size == m]
-                i, j = np.triu_indices(m, 1)
-                for k in range(0, len(at), max(1, 200_000 // len(i))):
-                    some = at[k : k + max(1, 200_000 // len(i)), None]
-                    x, y = (some + i).ravel(), (some + j).ravel()
-                    ok = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * 80
+            none = [np.zeros(0, np.int64)] * 3
+            held, big, done = none, None, None  # big: a large group that goes on, done: its last node so far
+            for batch in chain(batches, [None]):
+                if batch is not None:
+                    held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("sig", "node", "n"), strict=True)]
+                sig, node, n = held
+                fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])][: len(sig)]
+                if big is not None:
+                    fresh &= (sig != big) | (node != done)
+                sig, node, n = sig[fresh], node[fresh], n[fresh]
+                held = none
+                if not len(sig):
+                    continue
+                edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True])
+                size = np.diff(edge)
+                large = size > SMALL_GROUP
+                large[0] |= big is not None and sig[0] == big
+                big, done = (sig[-1], node[-1]) if large[-1] else (None, None)
+                if batch is not None and not large[-1]:  # the next batch may go on with this group
+                    held = [x[edge[-2] :] for x in (sig, node, n)]
+                    size, large, edge = size[:-1], large[:-1], edge[:-1]
+                for m in np.unique(size[(size > 1) & ~large]).tolist():
+                    at = edge[:-1][(size == m) & ~large, None]
+                    i, j = np.triu_indices(m, 1)
+                    x, y = (at + i).ravel(), (at + j).ravel()
+                    ok = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
                     yield node[x][ok], node[y][ok], np.zeros(int(ok.sum()), np.int64)
-            large = np.repeat(size > SMALL_GROUP, size)
-            yield node[large], node[large], sig[large]
+                wide = np.flatnonzero(np.repeat(large, size))
+                yield node[wide], node[wide], sig[wide]
 
         yield from _long_batches(parts(), ["a", "b", "sig"])
 
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(tasks, "sig").mapInArrow(run, "a long, b long, sig long")
+    return rows.repartition(tasks, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "a long, b long, sig long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
@@ -270,7 +283,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
 
         return known.mapInArrow(run, "sig long, node long, n long")
 
-    found = kept(_groups(signed(False)), "grouped")
+    found = kept(_groups(signed(False), percent), "grouped", batch_rows=20_000)
     large = found.where("a = b")
     members = large.select("sig", F.col("a").alias("node")).union(signed(True).select("sig", "node")).distinct().join(nodes.select("node", "n", "rare"), "node")
     members = kept(members, "members")

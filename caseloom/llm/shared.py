@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,29 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Writes df as a table of its own in the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    with _small_batches(spark):
+    with _small_batches(spark, batch_rows):
         df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """While it holds, an Arrow batch has BATCH_ROWS rows at most, so batches of wide rows (texts, sets) stay a few MB."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if 0 < int(before) <= BATCH_ROWS:
-        yield
-        return
-    spark.conf.set(name, str(BATCH_ROWS))
+def _small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it holds, an Arrow batch has so many rows and about BATCH_BYTES at most, however wide rows (texts, sets) are."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def crc32_mod(column: str, n: int) -> Column:
