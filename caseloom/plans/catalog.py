@@ -115,7 +115,7 @@ kept("filter_case_duration", KEPT + "IN (SELECT case_id FROM c WHERE (last_us -
 kept("filter_variants_top", KEPT + "IN (SELECT case_id FROM v WHERE variant IN (SELECT variant FROM v GROUP BY variant ORDER BY count(*) DESC, variant DESC LIMIT 5))", lambda log: filters.top_variants(log, 5))
 kept("filter_path", KEPT + "NOT IN (SELECT case_id FROM s WHERE activity = 'purchase' AND b = 'signup')", lambda log: filters.with_path(log, [("purchase", "signup")], keep=False))
 kept("filter_path_performance", KEPT + "IN (SELECT case_id FROM s WHERE activity = 'error' AND b = 'click' AND (us2 - us) / 1e6 BETWEEN 0 AND 600)", lambda log: filters.with_path(log, [("error", "click")], low_s=0, high_s=600))
-kept("filter_eventually_follows", KEPT + "IN (SELECT x.case_id FROM s x JOIN s y ON x.case_id = y.case_id AND x.p < y.p JOIN s z ON y.case_id = z.case_id AND y.p < z.p WHERE x.activity = 'signup' AND y.activity = 'error' AND z.activity = 'purchase' AND x.case_id < 100)", lambda log: filters.eventually_follows(log.where("case_id < 100"), ["signup", "error", "purchase"]))
+kept("filter_eventually_follows", KEPT + "IN (SELECT x.case_id FROM s x JOIN s y ON x.case_id = y.case_id AND x.p < y.p JOIN s z ON y.case_id = z.case_id AND y.p < z.p WHERE x.activity = 'signup' AND y.activity = 'error' AND z.activity = 'purchase')", lambda log: filters.eventually_follows(log, ["signup", "error", "purchase"]))
 kept("filter_four_eyes", KEPT + "IN (SELECT case_id FROM (SELECT case_id, arg_max(resource, (us, event_idx)) AS rb FROM e WHERE activity = 'purchase' GROUP BY 1) l JOIN (SELECT case_id, list(resource) AS ra FROM e WHERE activity = 'signup' GROUP BY 1) r USING (case_id) WHERE NOT list_contains(ra, rb))", lambda log: filters.four_eyes(log, "signup", "purchase"))
 kept("filter_different_persons", KEPT + "IN (SELECT case_id FROM e WHERE activity = 'error' GROUP BY 1 HAVING count(DISTINCT resource) > 1)", lambda log: filters.different_persons(log, "error"))
 kept("filter_rework", KEPT + "IN (SELECT case_id FROM e WHERE activity = 'purchase' GROUP BY 1 HAVING count(*) >= 15)", lambda log: filters.value_repeats(log, "activity", "purchase", 15))
