@@ -52,17 +52,19 @@ def crc32_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component_id: the smallest id reachable) of every id in links; ids in no link are not returned.
 
-    Contraction: each round every node joins its smallest neighbour, links are relabelled and duplicates and loops go;
-    the number of nodes left at least halves a round.  All steps are partial aggregations and joins.
+    Contraction: each round every node takes the name of its neighbour (or itself) that comes first in a hash order of the ids,
+    links are renamed and duplicates and loops go, until no link is left; then all nodes of a component have one name.  By the
+    hash, chains of ascending ids contract like any others.  All steps are partial aggregations and joins.
     """
     edges = kept(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     labels = kept(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct().withColumn("label", F.col("id")), "labels")
-    for _ in range(max_rounds):
+    place = lambda c: F.struct(F.xxhash64(F.lit(11), c).alias("h"), F.col(c).alias("id"))
+    while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
-        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("to")), "least")
+        least = kept(both.groupBy("u").agg(F.min(place("v")).alias("near")).select("u", F.least("near", place("u"))["id"].alias("to")), "least")
         labels = kept(
             labels.join(least.withColumnRenamed("u", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels"
         )
@@ -74,17 +76,5 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
             .distinct(),
             "edges",
         )
-        if edges.isEmpty():
-            break
-    else:
-        raise RuntimeError("links did not contract; max_rounds is too small")
-    # A node may have joined one that joined a third in the same round: follow the labels to their end.
-    hops = labels.where("id <> label")
-    for _ in range(max_rounds):
-        step = hops.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        moved = kept(labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "labels")
-        labels = moved.select("id", "label")
-        if moved.where("moved").isEmpty():
-            break
-        hops = labels.where("id <> label")
-    return labels.groupBy("id").agg(F.min("label").alias("component_id"))
+    first = labels.groupBy("label").agg(F.min("id").alias("component_id"))
+    return labels.join(first, "label").select("id", "component_id")

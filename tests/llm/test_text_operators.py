@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.llm import jaccard, licenses, mixing, passages, queries
+from caseloom.llm.shared import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, size int"
@@ -205,3 +206,10 @@ def test_licences_equal_brute_force(spark):
     got = {(r.doc_id, r.license, round(r.dice, 9), r.n_units) for r in licenses.scan_licenses(docs).collect()}
     assert got == want and len(want) > 5
     assert licenses.scan_licenses(docs.where(F.lit(False))).count() == 0
+
+
+def test_components_of_ascending_chain(spark):
+    """A chain in the order of its ids, a star around its largest id, and a pair."""
+    links = [(k, k + 1) for k in range(300)] + [(k, 2000) for k in range(1000, 1040)] + [(5000, 4000)]
+    found = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert found == {**dict.fromkeys(range(301), 0), **dict.fromkeys([*range(1000, 1040), 2000], 1000), 4000: 4000, 5000: 4000}
