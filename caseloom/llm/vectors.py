@@ -2,10 +2,12 @@
 
 A first neighbour graph comes from blocks of vectors that stand together in the order of random hyperplane codes.
 Rounds of neighbours-of-neighbours joins then improve it: the neighbours of each vector, both ways, are compared with each
-other.  Edges of the threshold or more make components.  A vector all of whose list is above the threshold is
-saturated: its list is enlarged to its whole component, compared in tiles that only count, so a large group costs neither a
-row per pair nor a task of its own.  Recall is audited against brute force for a bounded sample; below the goal more
-rounds with new hyperplanes follow.
+other.  Lists are cut to the k best for the search only: all pairs compared that reach the threshold join their components,
+written as a spanning forest of each block.  Groups that may fill the lists of their members are covered by leaders, and the
+same search over leaders, without pairs of one component, finds groups that lie within reach of each other by the triangle
+inequality; their members are compared in full.  Links are counted in tiles of a component that only count, so a large group
+costs neither a row per pair nor a task of its own.  Recall is audited against brute force for a bounded sample; below the goal
+more rounds with new hyperplanes follow, and at last a comparison of all vectors.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from .arrow import runs
 from .shared import components, kept
 
 BLOCK, TILE = 128, 256
-EDGES = "u long, v long, s double"
+COVER = np.arccos(0.975)  # the largest angle between a leader and those it stands for
+EDGES = "u long, v long, s double, kind int"
+LISTED, LINKED, NEARBY = 0, 1, 2  # an entry of a list; joined by compared pairs; leaders whose members may link
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -29,16 +33,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array([np.frombuffer(x.as_py(), np.float64) for x in column]).reshape(len(column), -1)
 
 
-def _edges(u: list[np.ndarray], v: list[np.ndarray], s: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, s)], ["u", "v", "s"])
+def _edges(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    u, v, s, kind = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s), pa.array(kind.astype(np.int32))], ["u", "v", "s", "kind"])
 
 
-def _top(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k most similar others of each row of a square matrix."""
-    np.fill_diagonal(sims, -2)
+def _roots(link: np.ndarray) -> np.ndarray:
+    """The least index reachable of each row of a symmetric matrix of links."""
+    root = np.arange(len(link))
+    while True:
+        least = np.minimum(root, np.where(link, root, len(root)).min(1))
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _compared(block: pa.Table, k: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """Edges of a block's rows, rows of one part left out: k best of each, components at the threshold, pairs within reach."""
+    ids, part, reach = (block.column(c).to_numpy() for c in ("node", "part", "reach"))
+    x = _matrix(block.column("vec").combine_chunks())
+    sims = np.where(part[:, None] == part, -2.0, x @ x.T)
     k = min(k, len(ids) - 1)
     best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(sims, best, 1).ravel()
+    u, v, s = np.repeat(np.arange(len(ids)), k), best.ravel(), np.take_along_axis(sims, best, 1).ravel()
+    out = [(u[s > -2], v[s > -2], s[s > -2], LISTED)]
+    link = sims >= threshold
+    root = np.arange(len(ids))
+    if link.any():
+        root = _roots(link)
+        own = np.flatnonzero(root != np.arange(len(ids)))
+        out.append((root[own], own, np.full(len(own), threshold), LINKED))
+    if reach.any():
+        near = np.cos(np.minimum(np.pi, np.arccos(threshold) + reach[:, None] + reach + 1e-9))
+        a, b = np.nonzero((ids[:, None] < ids) & (sims > -2) & (sims >= near) & (root[:, None] != root))
+        out.append((a, b, sims[a, b], NEARBY))
+    u, v, s = (np.concatenate([o[i] for o in out]) for i in range(3))
+    return ids[u], ids[v], s, np.concatenate([np.full(len(o[0]), o[3]) for o in out])
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -63,7 +94,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, vec binary").withColumn("key", F.md5("vec"))
 
 
-def _first_graph(nodes: DataFrame, n: int, k: int, tables: int, seed: int) -> DataFrame:
+def _first_graph(nodes: DataFrame, n: int, k: int, tables: int, seed: int, threshold: float) -> DataFrame:
     bits = 48
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,21 +109,27 @@ def _first_graph(nodes: DataFrame, n: int, k: int, tables: int, seed: int) -> Da
                 codes = signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)[::-1])
                 for t in range(tables):
                     lane = np.full(own.num_rows, t * 1_000_000 + d, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(lane), pa.array(codes[:, t]), own.column("node"), own.column("vec")], ["lane", "code", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lane), pa.array(codes[:, t]), *(own.column(c) for c in ("node", "part", "reach", "vec"))], ["lane", "code", "node", "part", "reach", "vec"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lane in _pieces(batches, ["lane"], 8 * BLOCK):
-            ids, x = lane.column("node").to_numpy(), _matrix(lane.column("vec").combine_chunks())
-            u, v, s = [], [], []
-            for a in range(0, max(1, len(ids) - BLOCK // 2), BLOCK // 2):
-                if len(ids[a : a + BLOCK]) > 1:
-                    b = x[a : a + BLOCK]
-                    for held, got in zip((u, v, s), _top(b @ b.T, ids[a : a + BLOCK], max(2, k // 2)), strict=True):
-                        held.append(got)
-            if u:
-                yield _edges(u, v, s)
-
-    spread = nodes.select("node", "vec").mapInArrow(coded, "lane long, code long, node long, vec binary")
+            change = np.flatnonzero(np.diff(lane.column("part").to_numpy())) + 1
+            if not len(change):
+                continue
+            # Of a long run of one part only rows near its ends can meet others in a block.
+            at = np.arange(lane.num_rows)
+            after = np.searchsorted(change, at, "right")
+            gap = np.minimum(np.where(after > 0, at - change[after - 1], BLOCK), np.where(after < len(change), change[np.minimum(after, len(change) - 1)] - at, BLOCK))
+            lane = lane.filter(pa.array(gap < BLOCK // 4))
+            found = []
+            for a in range(0, max(1, lane.num_rows - BLOCK // 2), BLOCK // 2):
+                block = lane.slice(a, BLOCK)
+                if block.num_rows > 1:
+                    found.append(_compared(block, max(2, k // 2), threshold))
+            if found:
+                yield _edges(found)
+
+    spread = nodes.select("node", "part", "reach", "vec").mapInArrow(coded, "lane long, code long, node long, part long, reach double, vec binary")
     parts = max(1, min(4096, n * tables // 8192), spread.sparkSession.sparkContext.defaultParallelism)
     return spread.repartitionByRange(parts, "lane", "code", "node").sortWithinPartitions("lane", "code", "node").mapInArrow(compared, EDGES)
 
@@ -119,45 +156,116 @@ def _pieces(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> It
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k most similar of each u, ties by the smaller v; a u has few rows, as many as lists it was in."""
+    """The k most similar of each u's list, ties by the smaller v, and all its edges of other kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64())]))
-        u, v, s = (table.column(c).to_numpy() for c in ("u", "v", "s"))
-        order = np.lexsort((v, -s, u))
-        u, v, s = u[order], v[order], s[order]
-        fresh = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
-        u, v, s = u[fresh], v[fresh], s[fresh]
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64()), ("kind", pa.int32())]))
+        u, v, s, kind = (table.column(c).to_numpy() for c in ("u", "v", "s", "kind"))
+        order = np.lexsort((v, -s, kind, u))
+        u, v, s, kind = u[order], v[order], s[order], kind[order]
+        fresh = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (kind[1:] != kind[:-1])][: len(u)]
+        u, v, s, kind = u[fresh], v[fresh], s[fresh], kind[fresh]
         first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]][: len(u)])
-        rank = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)]))
-        yield _edges([u[rank < k]], [v[rank < k]], [s[rank < k]])
+        rank = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)]))  # lists come before other kinds
+        held = (rank < k) | (kind != LISTED)
+        yield _edges([(u[held], v[held], s[held], kind[held])])
 
     return edges.repartition("u").mapInArrow(run, EDGES)
 
 
-def _joined(graph: DataFrame, nodes: DataFrame, fresh: DataFrame, k: int) -> DataFrame:
+def _joined(graph: DataFrame, nodes: DataFrame, fresh: DataFrame, k: int, threshold: float) -> DataFrame:
     """Edges between neighbours of the nodes in fresh, neighbours taken both ways."""
-    both = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
-    around = _best(graph.unionByName(both), 2 * k).join(fresh, "u").select(F.col("u").alias("w"), F.col("v").alias("node"))
-    rows = around.join(nodes.select("node", "vec"), "node")
+    lists = graph.where(F.col("kind") == LISTED)
+    both = lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "kind")
+    around = _best(lists.unionByName(both), 2 * k).join(fresh, "u").select(F.col("u").alias("w"), F.col("v").alias("node"))
+    rows = around.join(nodes.select("node", "part", "reach", "vec"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v, s, size = [], [], [], 0
+        found, size = [], 0
         for group in runs(batches, ["w"]):
             if group.num_rows > 1:
-                x = _matrix(group.column("vec").combine_chunks())
-                for held, got in zip((u, v, s), _top(x @ x.T, group.column("node").to_numpy(), 3), strict=True):
-                    held.append(got)
+                found.append(_compared(group, 3, threshold))
                 size += group.num_rows
             if size > 20_000:
-                yield _edges(u, v, s)
-                u, v, s, size = [], [], [], 0
-        if u:
-            yield _edges(u, v, s)
+                yield _edges(found)
+                found, size = [], 0
+        if found:
+            yield _edges(found)
 
     return rows.repartition("w").sortWithinPartitions("w").mapInArrow(run, EDGES)
 
 
+def _searched(nodes: DataFrame, n: int, graph: DataFrame | None, k: int, tables: int, seed: int, threshold: float) -> DataFrame:
+    """The graph after another round: blocks of new codes, then neighbours of neighbours."""
+    first = _first_graph(nodes, n, k, tables, seed, threshold)
+    before = graph
+    graph = kept(_best(first if graph is None else first.unionByName(graph), k), "graph")
+    lists = graph.where(F.col("kind") == LISTED)
+    fresh = lists if before is None else lists.join(before.where(F.col("kind") == LISTED).select("u", "v"), ["u", "v"], "left_anti")
+    return kept(_best(graph.unionByName(_joined(graph, nodes, fresh.select("u").distinct(), k, threshold)), k), "graph")
+
+
+def _leaders(nodes: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+    """(leader, node, part, turn: the angle between them) of each node in a part of at least so many nodes."""
+    sizes = parts.groupBy("part").agg(F.count("*").alias("m")).where(F.col("m") >= least)
+    rows = nodes.select("node", "vec").join(parts, "node").join(sizes, "part")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / TILE)).cast("long")).select("part", "block", "node", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in runs(batches, ["part", "block"]):
+            ids, x = block.column("node").to_numpy(), _matrix(block.column("vec").combine_chunks())
+            turn = np.arccos(np.clip(x @ x.T, -1, 1))
+            lead, open_ = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+            while open_.any():
+                a = int(open_.argmax())
+                own = open_ & (turn[a] <= COVER)
+                own[a] = True
+                lead[own], open_ = a, open_ & ~own
+            angle = np.where(lead == np.arange(len(ids)), 0.0, turn[lead, np.arange(len(ids))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lead]), pa.array(ids), block.column("part").combine_chunks(), pa.array(angle)], ["leader", "node", "part", "turn"])
+
+    return rows.repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(run, "leader long, node long, part long, turn double")
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts after links (a, b) between parts."""
+    to = components(links, "a", "b").withColumnRenamed("id", "part")
+    return kept(parts.join(to, "part", "left").select("node", F.coalesce("component_id", "part").alias("part")), "parts")
+
+
+def _between(nodes: DataFrame, parts: DataFrame, k: int, tables: int, seed: int, threshold: float) -> DataFrame:
+    """parts after links between groups whose members' lists their own group may fill, until a search finds no more."""
+    while True:
+        led = kept(_leaders(nodes, parts, k // 2 + 1), "led")
+        heads = led.groupBy(F.col("leader").alias("node")).agg(F.first("part").alias("part"), F.max("turn").alias("reach"))
+        heads = kept(heads.join(nodes.select("node", "vec"), "node"), "heads")
+        n = heads.count()
+        if n < 2:
+            return parts
+        graph = _searched(heads, n, None, k, tables, seed, threshold)
+        named = heads.select("node", "part")
+        pairs = graph.where(F.col("kind") != LISTED).select("u", "v", "kind").distinct()
+        pairs = pairs.join(named.select(F.col("node").alias("u"), F.col("part").alias("a")), "u").join(named.select(F.col("node").alias("v"), F.col("part").alias("b")), "v")
+        pairs = kept(pairs.where("a <> b"), "pairs")
+        direct = _merged(named.select("node", "part"), pairs.where(F.col("kind") == LINKED))
+        at = lambda c: direct.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+        asked = pairs.where(F.col("kind") == NEARBY).join(at("u"), "u").join(at("v"), "v").where("u_part <> v_part").select("u", "v", "a", "b")
+        rows = asked.withColumn("leader", F.explode(F.array("u", "v"))).join(led.select("leader", "node"), "leader").join(nodes.select("node", "vec"), "node")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for pair in runs(batches, ["u", "v"]):
+                left = pair.column("leader").to_numpy() == pair.column("u")[0].as_py()
+                x = _matrix(pair.column("vec").combine_chunks())
+                if (x[left] @ x[~left].T >= threshold).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([pair.column(c)[0].as_py()], pa.int64()) for c in ("a", "b")], ["a", "b"])
+
+        met = rows.select("u", "v", "a", "b", "leader", "vec").repartition("u", "v").sortWithinPartitions("u", "v").mapInArrow(run, "a long, b long")
+        links = kept(pairs.where(F.col("kind") == LINKED).select("a", "b").unionByName(met).distinct(), "between")
+        if links.isEmpty():
+            return parts
+        parts = _merged(parts, links)
+
+
 def _counted(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     """(node, others: rows of other nodes of its component at the threshold or above), in tiles of a component's blocks."""
     sizes = parts.groupBy("part").agg(F.count("*").alias("m"))
@@ -229,14 +337,13 @@ def near_duplicate_vectors(
     usable = kept(unit_vectors(vectors, id_col, vec_col), "unit")
     nodes = kept(usable.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "nodes")
     n = nodes.count()
+    alone = nodes.select("node", F.col("node").alias("part"), F.lit(0.0).alias("reach"), "vec")
     graph, parts, counted = None, None, None
     for round_ in range(most_rounds):
-        first = _first_graph(nodes, n, k, tables, seed=100 + round_)
-        before = graph
-        graph = kept(_best(first if graph is None else first.unionByName(graph), k), "graph")
-        fresh = graph if before is None else graph.join(before.select("u", "v"), ["u", "v"], "left_anti")
-        graph = kept(_best(graph.unionByName(_joined(graph, nodes, fresh.select("u").distinct(), k)), k), "graph")
-        parts = kept(components(graph.where(F.col("s") >= threshold), "u", "v").select(F.col("id").alias("node"), F.col("component_id").alias("part")), "parts")
+        graph = _searched(alone, n, graph, k, tables, 100 + round_, threshold)
+        linked = graph.where((F.col("s") >= threshold) | (F.col("kind") == LINKED))
+        parts = kept(components(linked, "u", "v").select(F.col("id").alias("node"), F.col("component_id").alias("part")), "parts")
+        parts = _between(nodes, parts, k, tables, 200 + round_, threshold)
         counted = kept(_counted(nodes, parts, threshold), "counted")
         if audit(nodes, counted, threshold) >= goal:
             break

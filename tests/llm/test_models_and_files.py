@@ -45,6 +45,22 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_link_saturated_groups(spark):
+    """Groups of near copies whose links across lie between 0.9 and the similarity inside; the last two have their centres below 0.9."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for size, across in ((20, 0.93), (150, 0.925), (60, 0.895)):
+        a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for centre in (a, across * a + np.sqrt(1 - across**2) * b):
+            rows += [(len(rows) + j, (centre + 0.1 / np.sqrt(32) * rng.normal(size=32)).tolist()) for j in range(size)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = plain_links(rows)
+    assert len({part for _, part in want.values()}) == 3
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(table).collect()} == want
+    # Lists alone, without an audit that could ask for more: one entry a list.
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(table, k=2, goal=0.0).collect()} == want
+
+
 WORDS = {"aa": ["haus", "baum", "straße", "und", "nicht", "wasser", "zeit"], "bb": ["house", "tree", "street", "and", "water", "time", "the"], "cc": ["casa", "árbol", "calle", "agua", "tiempo", "el", "niño"]}
 
 
