@@ -298,29 +298,81 @@ def _counted(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     return made.groupBy("node").agg(F.sum("others").alias("others"))
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, queries: int = 256) -> float:
-    """Links found over links there are, of at most ``queries`` nodes chosen by hash, against all nodes."""
-    chosen = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(queries).select("node", "vec").collect()
-    asked = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["vec"])) for r in chosen])
+def _against(rows: DataFrame, asked: list[tuple[int, int, bytes]], threshold: float, out: str, answer) -> DataFrame:
+    """answer(query indexes, their ids and parts, link matrix, rows of a batch) of all rows against the queries (node, part, vec)."""
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array([i for i, _ in asked.value], np.int64)
-        sizes = np.array([len(v) for _, v in asked.value])
-        total = np.zeros(len(ids), np.int64)
+        sizes = np.array([len(v) for *_, v in shared.value])
+        ids, parts = (np.array([r[i] for r in shared.value], np.int64) for i in (0, 1))
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
             lengths = np.array([len(x.as_py()) for x in batch.column("vec")])
             for d in np.unique(lengths).tolist():
                 q = np.flatnonzero(sizes == d)
+                if not len(q):
+                    continue
+                if d not in held:
+                    held[d] = np.array([np.frombuffer(shared.value[i][2], np.float64) for i in q])
                 own = batch.filter(pa.array(lengths == d))
-                if len(q) and own.num_rows:
-                    x = np.array([np.frombuffer(asked.value[i][1], np.float64) for i in q])
-                    link = (x @ _matrix(own.column("vec")).T >= threshold) & (ids[q][:, None] != own.column("node").to_numpy())
-                    total[q] += link @ own.column("copies").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "n"])
+                yield answer(ids[q], parts[q], held[d] @ _matrix(own.column("vec")).T >= threshold, own)
+
+    return rows.mapInArrow(run, out)
 
-    there = nodes.select("node", "vec", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    row = there.join(counted, "node", "left").agg(F.sum("n").alias("n"), F.sum("others").alias("found")).first()
-    return 1.0 if not row["n"] else (row["found"] or 0) / row["n"]
+
+def audit(nodes: DataFrame, parts: DataFrame, counted: DataFrame, threshold: float, queries: int = 256, most_bytes: int = 16 << 20) -> float:
+    """The least recall among classes of nodes with about equally many links (powers of two), from a sample against all nodes.
+
+    A node's recall is the share of its links that were found; a class's is the mean over its nodes, so a large group says
+    nothing about pairs.  About ``queries`` nodes are asked for each power of two of the component's size, and of nodes without a
+    link as many as show a loss of 2 % of the small components, as far as most_bytes of vectors allow.  1 if no node has a link.
+    """
+    sizes = parts.groupBy("part").agg(F.count("*").alias("m"))
+    of = nodes.join(parts.join(sizes, "part").select("node", "m"), "node", "left").join(counted, "node", "left")
+    of = kept(of.select("node", "vec", "copies", F.coalesce(F.floor(F.log2("m")), F.lit(0)).cast("int").alias("layer"), F.coalesce("others", F.lit(0)).alias("found")), "layers")
+    layers = {r["layer"]: (r["n"], r["bytes"]) for r in of.groupBy("layer").agg(F.count("*").alias("n"), F.max(F.length("vec")).alias("bytes")).collect()}  # a row a power of two
+    small = sum(n for layer, (n, _) in layers.items() if 0 < layer <= 2)
+    share = {}
+    for layer, (n, size) in layers.items():
+        wanted = queries if layer else max(4 * queries, 150 * n // max(1, small))
+        share[layer] = min(1.0, max(queries, min(wanted, most_bytes // size)) / n)
+    picked = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("layer")) if share else F.lit(0.0)
+    chosen = of.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) < picked * (1 << 30)).select("node", "vec", "layer", "found").collect()
+
+    def answer(ids: np.ndarray, _: np.ndarray, link: np.ndarray, own: pa.RecordBatch) -> pa.RecordBatch:
+        link &= ids[:, None] != own.column("node").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(link @ own.column("copies").to_numpy())], ["node", "n"])
+
+    made = _against(of.select("node", "vec", "copies"), [(r["node"], 0, bytes(r["vec"])) for r in chosen], threshold, "node long, n long", answer)
+    there = {r["node"]: r["n"] for r in made.groupBy("node").agg(F.sum("n").alias("n")).where("n > 0").collect()}  # of the queries
+    classes: dict[int, list[float]] = {}
+    for r in chosen:
+        n = there.get(r["node"], 0)
+        if n:
+            own = classes.setdefault(int(n).bit_length(), [0.0, 0.0])
+            own[0] += min(1.0, r["found"] / n) / share[r["layer"]]
+            own[1] += 1 / share[r["layer"]]
+    return min((a / b for a, b in classes.values()), default=1.0)
+
+
+def _all_compared(nodes: DataFrame, parts: DataFrame, threshold: float, most_bytes: int = 8 << 20) -> DataFrame:
+    """parts after all links there are: every vector against every other, chunk by chunk."""
+    parts = kept(nodes.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part")), "parts")
+    chunks = -(-(nodes.agg(F.sum(F.length("vec"))).first()[0] or 0) // most_bytes)
+
+    def answer(ids: np.ndarray, own: np.ndarray, link: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+        other = batch.column("part").to_numpy()
+        a, b = np.nonzero(link & (own[:, None] != other))
+        pairs = np.unique(np.stack([own[a], other[b]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    for chunk in range(chunks):
+        rows = nodes.select("node", "vec").join(parts, "node")
+        asked = rows.where(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(chunks)) == chunk).collect()  # about most_bytes
+        links = kept(_against(rows, [(r["node"], r["part"], bytes(r["vec"])) for r in asked], threshold, "a long, b long", answer).distinct(), "rest")
+        if not links.isEmpty():
+            parts = _merged(parts, links)
+    return parts
 
 
 def near_duplicate_vectors(
@@ -332,7 +384,8 @@ def near_duplicate_vectors(
     non-finite components, and rows with a null id link with nothing.  Equal vectors are one node and count as often as they
     occur.  n_links counts the other rows linked directly, component_id is the smallest id reachable, its own included (null
     for a null id), kept tells whether it is the row's own.  Every link returned is true.  Links between components that
-    the graph search misses are lost; rounds go on until the audited recall reaches ``goal`` or most_rounds are done.
+    the graph search misses are lost as long as the audited recall reaches ``goal``; if it does not in most_rounds rounds, all
+    vectors are compared with all others.
     """
     usable = kept(unit_vectors(vectors, id_col, vec_col), "unit")
     nodes = kept(usable.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "nodes")
@@ -345,8 +398,11 @@ def near_duplicate_vectors(
         parts = kept(components(linked, "u", "v").select(F.col("id").alias("node"), F.col("component_id").alias("part")), "parts")
         parts = _between(nodes, parts, k, tables, 200 + round_, threshold)
         counted = kept(_counted(nodes, parts, threshold), "counted")
-        if audit(nodes, counted, threshold) >= goal:
+        if audit(nodes, parts, counted, threshold) >= goal:
             break
+    else:
+        parts = _all_compared(nodes, parts, threshold)
+        counted = kept(_counted(nodes, parts, threshold), "counted")
     named = nodes.join(parts, "node", "left").join(counted, "node", "left").select(
         "key", F.coalesce("part", "node").alias("part"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links")
     )

@@ -61,6 +61,22 @@ def test_vectors_link_saturated_groups(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(table, k=2, goal=0.0).collect()} == want
 
 
+def test_audit_sees_lost_pairs(spark):
+    """A large group found whole and pairs all lost: the audit says so, and without a round that finds them all are compared."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + 0.01 * rng.normal(size=16)).tolist()) for i in range(200)]
+    for i in range(200, 240, 2):
+        pair = rng.normal(size=16)
+        rows += [(i + j, (pair + 0.01 * rng.normal(size=16)).tolist()) for j in range(2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    nodes = vectors.unit_vectors(table, "vec_id", "embedding").selectExpr("id AS node", "vec", "1L AS copies")
+    group = spark.range(200).selectExpr("id AS node", "0L AS part")
+    assert vectors.audit(nodes, group, vectors._counted(nodes, group, 0.9), 0.9) < 0.1
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(table, most_rounds=1, goal=2.0, tables=1, k=2).collect()}
+    assert got == plain_links(rows)
+
+
 WORDS = {"aa": ["haus", "baum", "straße", "und", "nicht", "wasser", "zeit"], "bb": ["house", "tree", "street", "and", "water", "time", "the"], "cc": ["casa", "árbol", "calle", "agua", "tiempo", "el", "niño"]}
 
 
