@@ -123,6 +123,16 @@ def _packed(model: dict) -> bytes:
     return out.getvalue()
 
 
+def sampled(labelled: DataFrame, most_rows: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, text, key) of about most_rows different rows; a language's share is that of its different texts."""
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    keyed = rows.withColumn("key", F.xxhash64("lang", "text"))
+    counts = keyed.select("lang", "key").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    quota = counts.withColumn("langs", F.count("*").over(Window.partitionBy(F.lit(1))))  # a row a language
+    share = kept(quota.select("lang", (F.lit(most_rows) / F.col("langs") / F.col("n")).alias("share")), "share")  # its size is known: texts stay in place
+    return keyed.join(share, "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["key"])
+
+
 def fit(labelled: DataFrame, most_rows: int = 3000, text_col: str = "text", lang_col: str = "lang") -> bytes:
     """A model of at most about most_rows rows of labelled (text, lang), as many of each language as there are or fit.
 
@@ -130,12 +140,7 @@ def fit(labelled: DataFrame, most_rows: int = 3000, text_col: str = "text", lang
     null text or language are left out.  Training runs in one task on those rows; the model (65,536 buckets by language)
     is all that comes to the driver.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    quota = counts.withColumn("langs", F.count("*").over(Window.partitionBy(F.lit(1))))  # a row a language
-    share = kept(quota.select("lang", (F.lit(most_rows) / F.col("langs") / F.col("n")).alias("share")), "share")  # its size is known: texts stay in place
-    keyed = rows.withColumn("key", F.xxhash64("lang", "text"))
-    sample = keyed.join(share, "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["key"])
+    sample = sampled(labelled, most_rows, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted((k, t, x) for b in batches for k, t, x in zip(*(b.column(c).to_pylist() for c in ("key", "text", "lang")), strict=True))

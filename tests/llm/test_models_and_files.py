@@ -97,6 +97,13 @@ def test_language_is_learned(spark):
     assert {r.lang_pred for r in langid.identify(docs.limit(5), nothing).collect()} == {"und"}
 
 
+def test_language_sample_is_filled_by_different_texts(spark):
+    """One text makes up most of a language's rows."""
+    rows = [("copied", "aa")] * 20_000 + [(f"text {k}", "aa") for k in range(400)] + [(f"other {k}", "bb") for k in range(400)]
+    got = dict(langid.sampled(spark.createDataFrame(rows, "text string, lang string"), 200).groupBy("lang").count().collect())
+    assert 60 < got["aa"] < 140 and 60 < got["bb"] < 140
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(8)
     examples = []
