@@ -2,10 +2,11 @@
 
 Of a document's suffixes only those at minimisers are kept: places whose 8-word hash is the least of 32 in a row.  The
 choice depends on the words alone, so copies of a passage keep the same places: one of at least 50 words holds, for every run of
-50 words in it, a kept suffix with 19 words or more of the run to its right.  The kept suffixes are brought in order
-of their first 19 words; one whose neighbours differ there repeats nothing.  The matches that remain are extended left
-and right, by each way in which a run of 50 words can lie around the suffix, and extended runs that are equal repeat.
-Overlapping runs join into passages.
+50 words in it, a kept suffix with 19 words or more of the run to its right.  Suffixes whose first 19 words no other document's
+share are dropped.  The others are sorted by their words, over all documents; neighbours are compared, which gives the lengths
+of common beginnings, and matches are extended left: of the suffixes between which no common beginning is too short, those with
+equal words before them hold the same run.  A group of equal beginnings that crosses the end of a task's range (a very
+frequent one too) is settled by the hashes of its runs.  Overlapping runs join into passages.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import bounded, kept
 from .textnum import mix, run_hashes, text_chunks, word_bounds, word_hashes
 
 GRAM, STEPS = 8, 5
 ROW = 1 << STEPS  # minimisers are chosen among so many places
+CHUNK = 20_000  # sorted suffixes that a task compares at a time
 
 
 class Suffixes:
-    """Kept suffixes of a chunk of texts: for each run of ``least`` words its start and the suffix chosen for it."""
+    """Kept suffixes of a chunk of texts: for each run of ``least`` words its start and the place of the suffix chosen for it."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int) -> None:
         self.words, self.first = word_hashes(data, offsets, lower=False)
@@ -54,7 +56,7 @@ class Suffixes:
         return int(mix((mix(own + n)).sum(keepdims=True) + np.array([len(own)], np.uint64)).view(np.int64)[0])
 
 
-def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(id_col, digest, n_words, n_repeated, n_removed, spans) of the documents with passages of ``least`` words or more that others hold.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text as it stands.  n_repeated counts the words inside runs of ``least`` words
@@ -66,7 +68,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     """
     if least < ROW + GRAM:
         raise ValueError(f"least must be {ROW + GRAM} or more")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +106,13 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     by_doc = going.groupBy("digest").agg(F.collect_set("key").alias("keys"))
     chosen = kept(whole.join(by_doc, "digest").select(F.col("holder").alias("id"), "digest", "keys"), "chosen")
 
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("digest").to_pylist()
+            wanted, holders = batch.column("digest").to_pylist(), batch.column("id")
             keys = batch.column("keys")
             for row, data, offsets in text_chunks(batch, "text"):
                 s = Suffixes(data, offsets, least)
-                runs = run_hashes(s.words, least)
+                codes = np.concatenate([np.zeros(ROW, np.uint32), (s.words >> np.uint64(32)).astype(np.uint32), np.zeros(least, np.uint32)])
                 for k in range(len(offsets) - 1):
                     a, b = np.searchsorted(s.start, s.first[k : k + 2])
                     if a == b or s.digest(k) != wanted[row + k]:
@@ -118,23 +120,42 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                     own = np.sort(keys[row + k].values.to_numpy().view(np.uint64))
                     have = s.keys[s.chosen[a:b]]
                     at = np.minimum(np.searchsorted(own, have), len(own) - 1)
-                    starts = s.start[a:b][own[at] == have]
-                    n = len(starts)
-                    yield pa.RecordBatch.from_arrays([pa.array(runs[starts].view(np.int64)), pa.array(np.full(n, wanted[row + k])), pa.array((starts - s.first[k]).astype(np.int64))], ["run", "digest", "start"])
+                    good = own[at] == have
+                    place, most = np.unique(s.chosen[a:b][good], return_index=True)  # a place's runs begin side by side
+                    if not len(place):
+                        continue
+                    starts = s.start[a:b][good]
+                    first, last = starts[most], starts[np.append(most[1:], len(starts)) - 1]
+                    left = codes[place[:, None] + np.arange(ROW)[::-1]]  # the words before the place, nearest first
+                    right = codes[place[:, None] + np.arange(ROW, ROW + least)]
+                    n, words = len(place), np.int64(s.first[k])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(s.keys[place].view(np.int64)), _fixed(left), _fixed(right), pa.array((place - last).astype(np.int32)), pa.array((place - first).astype(np.int32)),
+                            pa.array((place - words).astype(np.int64)), pa.array(np.full(n, wanted[row + k])), holders[row + k : row + k + 1].take(pa.array(np.zeros(n, np.int64))),
+                        ],
+                        ["key", "left", "right", "least", "most", "place", "digest", "holder"],
+                    )
 
-    runs = kept(texts.join(chosen, "id").mapInArrow(extended, "run long, digest long, start long").distinct(), "runs")
-    held = runs.join(whole.select("digest", "holder"), "digest")
-    first = held.groupBy("run").agg(F.min("holder").alias("first"), F.max("holder").alias("last")).where("first <> last")
-    marks = held.join(first, "run").select("digest", "start", (F.col("holder") > F.col("first")).alias("later"))
-    by_doc = marks.groupBy("digest").agg(F.collect_set(F.struct("start", "later")).alias("marks"))
+    columns = "key long, left binary, right binary, least int, most int, place long, digest long, holder long"
+    suffix = kept(texts.join(chosen, "id").mapInArrow(contexts, columns).dropDuplicates(["digest", "place"]), "contexts")
+    order = ["key", "right", "digest", "place"]
+    compared = kept(suffix.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared(least, chunk), RESULT), "compared")
+    # What crosses a border of ranges: the same question, by the hashes of the runs.
+    crossing = compared.where("runs IS NOT NULL").select("digest", "place", "holder", F.posexplode("runs").alias("step", "run")).where("run IS NOT NULL")
+    first = crossing.groupBy("run").agg(F.min("holder").alias("first"), F.max("holder").alias("last")).where("first <> last")
+    met = crossing.join(first, "run").select("digest", "place", F.expr("shiftleft(1L, step)").alias("bit"), (F.col("holder") > F.col("first")).alias("later"))
+    met = met.groupBy("digest", "place").agg(F.bit_or("bit").alias("every"), F.bit_or(F.when(F.col("later"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("later"))
+    marks = compared.where("runs IS NULL").select("digest", "place", "every", "later").unionByName(met)
+    by_doc = marks.groupBy("digest").agg(F.collect_list(F.struct("place", "every", "later")).alias("marks"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             rows = []
             for marks in batch.column("marks").to_pylist():
-                every = _spans(sorted({m["start"] for m in marks}), least)
-                rows.append((sum(b - a for a, b in every), _spans(sorted({m["start"] for m in marks if m["later"]}), least)))
+                every, later = (_spans(sorted(m["place"] - k for m in marks for k in range(ROW) if m[which] >> k & 1), least) for which in ("every", "later"))
+                rows.append((sum(b - a for a, b in every), later))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], kind)], ["digest", "n_repeated", "spans"])
 
     spans = kept(by_doc.mapInArrow(joined, "digest long, n_repeated long, spans array<struct<start: long, end: long>>"), "spans")
@@ -147,6 +168,106 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "digest", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_repeated")).alias("n_repeated"), removed.alias("n_removed"), "spans")
 
 
+RESULT = "digest long, place long, holder long, every long, later long, runs array<long>"
+
+
+def _fixed(words: np.ndarray) -> pa.Array:
+    """Rows of big-endian 32-bit words as binary values, which sort as the words do."""
+    n, size = words.shape[0], words.shape[1] * 4
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * size), pa.py_buffer(np.ascontiguousarray(words, ">u4").tobytes())])
+
+
+def _compared(least: int, chunk: int):
+    """Of sorted suffixes: which runs of ``least`` words around them other documents, or earlier ones, hold (RESULT).
+
+    Bit k of every and later stands for the run that begins k words before the place.  Suffixes of a group that may go on in
+    another range, or is beyond ``chunk`` rows, come with the hashes of their runs instead.
+    """
+
+    def words(column: pa.ChunkedArray) -> np.ndarray:
+        whole = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+        return np.frombuffer(b"".join(whole.to_pylist()), ">u4").astype(np.uint64).reshape(len(whole), -1)
+
+    def plain(t: pa.Table, name: str) -> np.ndarray:
+        return t.column(name).to_numpy()
+
+    def settled(t: pa.Table) -> pa.RecordBatch:
+        key, holder, low, high = (plain(t, c) for c in ("key", "holder", "least", "most"))
+        left, right = words(t.column("left")), words(t.column("right"))
+        n = len(key)
+        differ = right[1:] != right[:-1]
+        common = np.where(differ.any(1), differ.argmax(1), least)  # of a suffix and the one before it
+        common[key[1:] != key[:-1]] = 0
+        every, later = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        before = np.zeros(n, np.uint64)
+        for k in range(ROW):
+            if k:
+                before = mix(before * np.uint64(0x9E3779B97F4A7C15) + left[:, k - 1] + np.uint64(1))
+            segment = np.r_[0, np.cumsum(common < least - k)]
+            at = np.flatnonzero((low <= k) & (k <= high) & (np.bincount(segment, minlength=n)[segment] > 1))
+            if len(at) < 2:
+                continue
+            at = at[np.lexsort((before[at], segment[at]))]
+            new = np.r_[True, (segment[at][1:] != segment[at][:-1]) | (before[at][1:] != before[at][:-1])]
+            edge, number = np.flatnonzero(new), np.cumsum(new) - 1
+            first, last = np.minimum.reduceat(holder[at], edge)[number], np.maximum.reduceat(holder[at], edge)[number]
+            every[at[first < last]] |= 1 << k
+            later[at[holder[at] > first]] |= 1 << k
+        some = np.flatnonzero(every)
+        out = [pa.array(x[some]) for x in (plain(t, "digest"), plain(t, "place"), holder, every, later)]
+        return pa.RecordBatch.from_arrays([*out, pa.nulls(len(some), pa.list_(pa.int64()))], RESULT_NAMES)
+
+    def open_ones(t: pa.Table) -> pa.RecordBatch:
+        low, high = plain(t, "least"), plain(t, "most")
+        whole = np.concatenate([words(t.column("left"))[:, ::-1], words(t.column("right"))], 1)
+        hashes = np.zeros((len(low), ROW), np.uint64)
+        for k in range(ROW):
+            hashes[:, k] = (whole[:, ROW - k : ROW - k + least] * _PLACES[:least]).sum(1)
+        hashes = mix(hashes).view(np.int64)
+        absent = (np.arange(ROW) < low[:, None]) | (np.arange(ROW) > high[:, None])
+        runs = pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1) * ROW, pa.int32()), pa.array(hashes.ravel(), mask=absent.ravel()))
+        return pa.RecordBatch.from_arrays([*(pa.array(plain(t, c)) for c in ("digest", "place", "holder")), pa.nulls(len(low), pa.int64()), pa.nulls(len(low), pa.int64()), runs], RESULT_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        border = True  # the first group at hand may have begun before
+
+        def parts(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, border
+            t = pa.Table.from_batches(held)
+            key = plain(t, "key")
+            edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            begin, end = 0, int(edges[-2])
+            if border:
+                begin = int(edges[1])
+                yield open_ones(t.slice(0, begin))
+                border = len(edges) == 2  # all of one group, which goes on
+            if begin < end:
+                yield settled(t.slice(begin, end - begin))
+            rest = t.slice(max(begin, end))
+            if len(rest) and (last or len(rest) > chunk):
+                yield open_ones(rest)
+                border, rest = True, rest.slice(len(rest))
+            held = rest.to_batches()
+
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size > chunk:
+                yield from parts(False)
+                size = sum(b.num_rows for b in held)
+        if held:
+            yield from parts(True)
+
+    return run
+
+
+RESULT_NAMES = ["digest", "place", "holder", "every", "later", "runs"]
+_PLACES = np.random.default_rng(20240612).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _spans(starts: list[int], length: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a in starts:
@@ -161,35 +282,38 @@ def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """docs (doc_id, text and others) without the spans of repeated_passages; a text of which nothing is left goes with its row.
 
     What stands between words stays with the word before it.  n_chars, where there is one, is that of the new text.
+    Columns of any name pass through; only texts and their spans go to Python.
     """
-    found = repeated_passages(docs, least).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("digest").alias("cut_digest"), F.col("spans").alias("cut_spans"))
-    found = kept(found.groupBy("cut_id").agg(F.collect_list(F.struct("cut_digest", "cut_spans")).alias("cuts")), "cuts")
-    joined = docs.join(found, docs["doc_id"].cast("long") == found["cut_id"], "left").drop("cut_id")
+    found = repeated_passages(docs, least).where("n_removed > 0").select(F.col("doc_id").alias("of"), F.struct("digest", "spans").alias("cut"))
+    found = kept(found.groupBy("of").agg(F.collect_list("cut").alias("cuts")), "cuts")
     names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, cuts = batch.column("text").to_pylist(), batch.column("cuts").to_pylist()
-            for i, cut in enumerate(cuts):
-                if not cut or not texts[i]:
-                    continue
-                data = np.frombuffer(texts[i].encode(), np.uint8)
+    @F.arrow_udf("struct<text: string, gone: boolean>")
+    def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        out, gone = [], []
+        for text, own in zip(texts, cuts, strict=True):
+            text, own = text.as_py(), own.as_py() or []
+            spans = []
+            if text and own:
+                data = np.frombuffer(text.encode(), np.uint8)
                 offsets = np.array([0, len(data)])
                 digest = Suffixes(data, offsets, least).digest(0)
-                spans = [s for c in cut if c["cut_digest"] == digest for s in c["cut_spans"]]
-                if spans:
-                    starts = np.append(word_bounds(data, offsets)[0], len(data)).tolist()
-                    parts, at = [], 0
-                    for s in sorted(spans, key=lambda x: x["start"]):
-                        parts.append(data[at : starts[s["start"]]])
-                        at = starts[s["end"]]
-                    left = np.concatenate([*parts, data[at:]]).tobytes().decode()
-                    texts[i] = left if left.split() else None
-                    cuts[i] = "gone" if texts[i] is None else cut
-            stays = pa.array([c != "gone" for c in cuts], pa.bool_())
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(stays)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = joined.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(names) if "n_chars" in names else out
+                spans = sorted((s["start"], s["end"]) for c in own if c["digest"] == digest for s in c["spans"])
+            if spans:
+                starts = np.append(word_bounds(data, offsets)[0], len(data)).tolist()
+                parts, at = [], 0
+                for a, b in spans:
+                    parts.append(data[at : starts[a]])
+                    at = starts[b]
+                text = np.concatenate([*parts, data[at:]]).tobytes().decode()
+            gone.append(bool(spans) and not text.split())
+            out.append(text)
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.bool_())], ["text", "gone"])
+
+    whole = docs.select(F.struct(*names).alias("row"))
+    joined = whole.join(found, F.col("row.doc_id").cast("long") == F.col("of"), "left")
+    touched = joined.where("cuts IS NOT NULL").withColumn("new", cut("row.text", "cuts")).where("NOT new.gone")
+    made = {"text": F.col("new.text"), "n_chars": F.length("new.text").cast("long")}
+    changed = touched.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in names])
+    same = joined.where("cuts IS NULL").select(*[F.col("row").getField(c).alias(c) for c in names])
+    return same.unionByName(changed.select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType) for c in names]))
