@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import runs
+from .shared import bounded
 
 _PIECE = re.compile(r"\n{1,64}|[^.!?\n]{1,64}[.!?]{0,64}|[.!?]{1,64}")
 LEAF = 10  # characters of a leaf in a fingerprint: eight of its hash, two of its length
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([len(t) for t in texts], pa.int64()), pa.array([fingerprint(t) for t in texts])], [id_col, "n_chars", "fingerprint"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_chars long, fingerprint string")
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_chars long, fingerprint string")
 
 
 def with_next(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +113,7 @@ def with_next(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_
     One shuffle by ranges of ids that begin at known ids; each range also gets the first document of the next range, the last
     one the first of all.  Of rows with one id the order is that of their texts.  Null texts are empty.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
     shares = [i / parts for i in range(1, parts)]
     facts = rows.agg(F.percentile_approx("id", shares or [0.5], 10_000).alias("at"), F.min("id").alias("least"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
@@ -134,26 +134,24 @@ def with_next(docs: DataFrame, make, columns: str, id_col: str = "doc_id", text_
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c) if names[i] != "id" else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names)
 
-        waiting, at = None, None
-        for piece in runs(batches, ["bucket", "ahead"]):
-            where, sentinel = piece.column("bucket")[0].as_py(), piece.column("ahead")[0].as_py()
-            if where != at:
-                waiting, at = None, where
-            pairs = zip(piece.column("id").to_pylist(), piece.column("text").to_pylist(), strict=True)
-            for doc in pairs:
+        waiting, at, over = None, None, False
+        for rows in batches:
+            for where, sentinel, *doc in zip(*(rows.column(c).to_pylist() for c in ("bucket", "ahead", "id", "text")), strict=True):
+                if where != at:
+                    waiting, at, over = None, where, False
+                if over:
+                    continue
                 if waiting is not None:
                     out.append(make(waiting, doc))
                     size += len(waiting[1])
                     if size > 2 << 20:
                         yield batch()
                         out, size = [], 0
-                waiting = None if sentinel else doc
-                if sentinel:
-                    break
+                waiting, over = (None, True) if sentinel else (doc, False)
         if out:
             yield batch()
 
-    ranged = dealt.repartitionByRange(max(1, min(parts, last + 1)), "bucket").sortWithinPartitions("bucket", "ahead", F.col("id").asc_nulls_first(), "text")
+    ranged = dealt.repartitionById(last + 1, "bucket").sortWithinPartitions("bucket", "ahead", F.col("id").asc_nulls_first(), "text")
     return ranged.mapInArrow(run, columns)
 
 
