@@ -4,10 +4,11 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.llm import jaccard, licenses, mixing, passages, queries
+from caseloom.llm import jaccard, licenses, mixing, passages, queries, textnum
 from caseloom.llm.shared import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -127,10 +128,12 @@ def passage_texts():
     return [*texts, texts[5], texts[5], None, "", " ".join(shared[3] * 3), "same " * 200, "same " * 300]
 
 
-def test_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("chunk", [3, 20_000])
+def test_passages_equal_brute_force(spark, chunk):
+    """With small chunks most groups are settled by the hashes of their runs, with large ones by neighbours."""
     texts = dict(enumerate(passage_texts()))
     want = plain_passages(texts)
-    found = {r.doc_id: r for r in passages.repeated_passages(fixture(spark, list(texts.values()))).collect()}
+    found = {r.doc_id: r for r in passages.repeated_passages(fixture(spark, list(texts.values())), chunk=chunk).collect()}
     assert set(found) == set(want)
     for i, (n, later) in want.items():
         assert found[i].n_repeated == n
@@ -138,6 +141,28 @@ def test_passages_equal_brute_force(spark):
         assert found[i].n_removed == len(later)
 
 
+def test_without_repeats_with_clashing_names(spark):
+    texts = passage_texts()
+    docs = fixture(spark, texts).selectExpr("*", "1 AS cuts", "2 AS row", "3 AS of", "4 AS digest", "5 AS new")
+    kept = passages.without_repeats(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert {(r.cuts, r.row, r.of, r.digest, r.new) for r in kept.collect()} == {(1, 2, 3, 4, 5)}
+    mixed = mixing.mixed_documents(docs.selectExpr("*", "mod(doc_id, 7) AS part", "6 AS h", "7 AS edge"))
+    assert {(r.part == r.doc_id % 7, r.h, r.edge, r.row) for r in mixed.collect()} == {(True, 6, 7, 2)}
+
+
+def test_long_words_and_texts_hash_alike():
+    """Hashes by spans equal those of the words alone, for a word beyond the span too."""
+    text = ("some wörds here " * 40_000 + "x" * 700_000 + " and the end").encode()
+    words, _ = textnum.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    alone = {}
+    for k, w in enumerate(text.split()):
+        if w not in alone:
+            alone[w] = textnum.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]
+        assert words[k] == alone[w]
+    assert len(set(alone.values())) == len(alone)
+
+
 def test_without_repeats_cuts_and_keeps(spark):
     texts = dict(enumerate(passage_texts()))
     want = plain_passages(texts)
