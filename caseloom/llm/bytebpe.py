@@ -46,7 +46,7 @@ def _merger(path: str) -> tiktoken.Encoding | None:
 class Encoder:
     """ids(texts): (flat uint16 or int64 ids, offsets by text). Slots hold the latest piece of each hash slot."""
 
-    def __init__(self, path: str, slots: int = 1 << 21, most_ids: int = 1 << 23) -> None:
+    def __init__(self, path: str, slots: int = 1 << 19, most_ids: int = 1 << 21) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -165,7 +165,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batch_ids(texts: pa.Array, path: str, max_chars: int = 1 << 20):
+def batch_ids(texts: pa.Array, path: str, max_chars: int = 1 << 18):
     """Yields the ids of each text in turn (null: none), encoding about max_chars at a time."""
     own, size = [], 0
     for x in texts:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, kept
+from .shared import bounded, components, kept
 from .textnum import mix, shingle_sets, text_chunks
 
 BITS, CLASSES, SKETCH, SMALL_GROUP = 1 << 22, 32, 48, 8
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
     with one id count as one document with the links of all its texts; a null id has no component (null) and links with
     nothing.  An empty table gives no rows; other columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.where("id IS NOT NULL")
     bits = texts.sparkSession.sparkContext.broadcast(frequent_bits(known, length))
 
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
 
         return known.mapInArrow(run, "sig long, node long, n long")
 
-    found = kept(_groups(signed(False), percent), "grouped", batch_rows=20_000)
+    found = kept(_groups(signed(False), percent), "grouped")
     large = found.where("a = b")
     members = large.select("sig", F.col("a").alias("node")).union(signed(True).select("sig", "node")).distinct().join(nodes.select("node", "n", "rare"), "node")
     members = kept(members, "members")

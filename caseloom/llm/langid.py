@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import bounded, kept
 from .textnum import text_chunks
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 16, 16, (2, 3, 4)
@@ -130,7 +130,7 @@ def sampled(labelled: DataFrame, most_rows: int, text_col: str = "text", lang_co
     counts = keyed.select("lang", "key").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     quota = counts.withColumn("langs", F.count("*").over(Window.partitionBy(F.lit(1))))  # a row a language
     share = kept(quota.select("lang", (F.lit(most_rows) / F.col("langs") / F.col("n")).alias("share")), "share")  # its size is known: texts stay in place
-    return keyed.join(share, "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["key"])
+    return bounded(keyed).join(share, "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["key"])
 
 
 def fit(labelled: DataFrame, most_rows: int = 3000, text_col: str = "text", lang_col: str = "lang") -> bytes:
@@ -197,16 +197,17 @@ def identify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
             said, score, accepted = predict(batch, text_col)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(said, pa.string()), pa.array(score), pa.array(accepted)], [id_col, "lang_pred", "score", "accepted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
 
 
 def accepted_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language identify() accepts."""
+    """The rows of docs, all columns, whose language identify() accepts; only texts go to Python, a boolean comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def accepted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = _predictor(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array(predict(batch, text_col)[2]))
+        for text in texts:
+            yield pa.array(predict(pa.RecordBatch.from_arrays([text], ["text"]), "text")[2])
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).where(accepted(F.col(text_col)))

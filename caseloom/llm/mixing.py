@@ -100,17 +100,17 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """docs with each row as often as mix_sources takes it, in the columns of docs (doc_id, text, source and any others).
 
-    A row that is taken in part holds its first words, joined by single spaces.  Rows without words go; n_chars, where
+    Columns of any name pass through.  A row that is taken in part holds its first words, joined by single spaces.  Rows without words go; n_chars, where
     there is one, is that of the new text.  The text is not shuffled: a row per source decides on all its documents.
     """
     rows = kept(docs.select("source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")), "sizes")
-    bounds = source_bounds(rows, weights, share, most).select(*[F.col(c).alias(f"mix_{c}") for c in ("of", "times", "budget", "edge", "edge_size")])
-    sized = docs.select(*docs.columns, word_count(F.col("text")).alias("mix_size"), hash60(F.col("doc_id")).alias("mix_h"))
-    joined = sized.join(bounds, F.col("source").eqNullSafe(F.col("mix_of")))
-    extra = F.expr("CASE WHEN mix_h < mix_edge THEN mix_size WHEN mix_h = mix_edge THEN floor(mix_size * mix_budget / mix_edge_size) ELSE 0 END").cast("long")
-    parts = F.filter(F.concat(F.array_repeat("mix_size", F.col("mix_times").cast("int")), F.array(extra)), lambda x: x > 0)
-    out = joined.withColumn("mix_part", F.explode(parts))
-    first_words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix_part").cast("int"))
-    text = F.when(F.col("mix_part") < F.col("mix_size"), F.array_join(first_words, " ")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
+    bounds = source_bounds(rows, weights, share, most)
+    sized = docs.select(F.struct(*docs.columns).alias("row"), word_count(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h"))
+    joined = sized.join(bounds, F.col("row.source").eqNullSafe(F.col("of")))
+    extra = F.expr("CASE WHEN h < edge THEN size WHEN h = edge THEN floor(size * budget / edge_size) ELSE 0 END").cast("long")
+    parts = F.filter(F.concat(F.array_repeat("size", F.col("times").cast("int")), F.array(extra)), lambda x: x > 0)
+    out = joined.withColumn("part", F.explode(parts))
+    first_words = F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int"))
+    text = F.when(F.col("part") < F.col("size"), F.array_join(first_words, " ")).otherwise(F.col("row.text"))
+    made = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    return out.withColumn("new_text", text).select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bytebpe import batch_ids
+from .shared import bounded
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 Piece = tuple[object, int, np.ndarray, int]  # document, ids before it, ids, the document's number of ids
@@ -141,9 +142,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch_ids(batch.column("text"), tokenizer_path), strict=True):
                 packer.add(doc, np.concatenate([ids, end]))
-                if len(packer.closed) >= 1000:
+                if len(packer.closed) >= 250:
                     yield rows()
         packer.drain()
         yield rows()
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, SCHEMA)
+    return bounded(docs).selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, SCHEMA)

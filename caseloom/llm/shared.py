@@ -4,47 +4,61 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_BYTES, ROW_GROUP = 4 << 20, 16 << 20
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder; with any other master that is an error, as executors would
+    write to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        folder = folder.get() if folder.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def kept(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Writes df as a table of its own in the shared folder and reads it: cuts lineage, survives lost executors."""
+def bounded(df: DataFrame) -> DataFrame:
+    """df; from now on its session's Arrow batches hold 4 MB at most, unless the session has a limit of its own.
+
+    Set once and left, as results that are computed later need it as well; queries side by side all want the same.
+    """
     spark = df.sparkSession
+    if spark.conf.get(_LIMIT) == _DEFAULT:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+    return df
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table of its own in the shared folder and reads it: cuts lineage, survives lost executors."""
+    spark = bounded(df).sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    with _small_batches(spark, batch_rows):
-        df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._kept_at = path
+    return out
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it holds, an Arrow batch has so many rows and about BATCH_BYTES at most, however wide rows (texts, sets) are."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
-    before = {name: spark.conf.get(name) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, str(value))
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of kept() that nothing reads any more, as those of a loop's earlier rounds."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_kept_at", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def crc32_mod(column: str, n: int) -> Column:
@@ -65,10 +79,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
         least = kept(both.groupBy("u").agg(F.min(place("v")).alias("near")).select("u", F.least("near", place("u"))["id"].alias("to")), "least")
-        labels = kept(
-            labels.join(least.withColumnRenamed("u", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels"
-        )
-        edges = kept(
+        named = labels.join(least.withColumnRenamed("u", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        new_labels = kept(named, "labels")
+        new_edges = kept(
             edges.join(least.select("u", F.col("to").alias("x")), "u")
             .join(least.select(F.col("u").alias("v"), F.col("to").alias("y")), "v")
             .where("x <> y")
@@ -76,5 +89,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             .distinct(),
             "edges",
         )
+        dropped(edges, labels, least)
+        edges, labels = new_edges, new_labels
     first = labels.groupBy("label").agg(F.min("id").alias("component_id"))
     return labels.join(first, "label").select("id", "component_id")

@@ -22,6 +22,7 @@ _BASE = int(_RNG.integers(1, 1 << 62)) * 4 + 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+SPAN = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,7 +45,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, bytes, row offsets) of a batch's text column, about max_bytes at a time; null is empty.
 
     A single text longer than max_bytes makes a chunk of its own: texts are never cut.
@@ -75,13 +76,31 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row and the number of words at the end)."""
+    """(hash of each word, first word of each row and the number of words at the end).
+
+    Words are hashed some SPAN bytes at a time, so a very long text needs no tables of its length.
+    """
     starts, ends, first = word_bounds(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), first
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[LOWER[data] if lower else data] * _power("up", _BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power("down", _INVERSE, len(data))[starts]), first
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + SPAN, "right")))
+        if ends[i] - base > SPAN:  # a word beyond the span: piece by piece
+            total = 0
+            for a in range(base, int(ends[i]), SPAN):
+                piece = data[a : min(a + SPAN, int(ends[i]))]
+                own = (_BYTE[LOWER[piece] if lower else piece] * _power("up", _BASE, len(piece))).sum()
+                total += int(own) * pow(_BASE, a - base, 1 << 64)
+            out[i] = total & ((1 << 64) - 1)
+        else:
+            part = data[base : ends[j - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[LOWER[part] if lower else part] * _power("up", _BASE, len(part)), out=sums[1:])
+            at = starts[i:j] - base
+            out[i:j] = (sums[ends[i:j] - base] - sums[at]) * _power("down", _INVERSE, len(part))[at]
+        i = j
+    return mix(out), first
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
