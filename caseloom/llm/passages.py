@@ -5,8 +5,9 @@ choice depends on the words alone, so copies of a passage keep the same places:
 50 words in it, a kept suffix with 19 words or more of the run to its right.  Suffixes whose first 19 words no other document's
 share are dropped.  The others are sorted by their words, over all documents; neighbours are compared, which gives the lengths
 of common beginnings, and matches are extended left: of the suffixes between which no common beginning is too short, those with
-equal words before them hold the same run.  A group of equal beginnings that crosses the end of a task's range (a very
-frequent one too) is settled by the hashes of its runs.  Overlapping runs join into passages.
+equal words before them hold the same run.  Where common beginnings cross the end of a chunk, one suffix of each run goes on: these
+are sorted again, by the words before them, and what then still crosses an end, which is little, meets by the hashes of its runs.
+Overlapping runs join into passages.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from .textnum import mix, run_hashes, text_chunks, word_bounds, word_hashes
 
 GRAM, STEPS = 8, 5
 ROW = 1 << STEPS  # minimisers are chosen among so many places
-CHUNK = 20_000  # sorted suffixes that a task compares at a time
+CHUNK = 16_000  # sorted suffixes that a task compares at a time
 
 
 class Suffixes:
@@ -131,22 +133,23 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                     n, words = len(place), np.int64(s.first[k])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(s.keys[place].view(np.int64)), _fixed(left), _fixed(right), pa.array((place - last).astype(np.int32)), pa.array((place - first).astype(np.int32)),
-                            pa.array((place - words).astype(np.int64)), pa.array(np.full(n, wanted[row + k])), holders[row + k : row + k + 1].take(pa.array(np.zeros(n, np.int64))),
+                            pa.array(s.keys[place].view(np.int64)), _fixed(left), _fixed(right), pa.array((1 << (place - first + 1)) - (1 << (place - last))), pa.array((place - words).astype(np.int64)), pa.array(np.full(n, wanted[row + k])), holders[row + k : row + k + 1].take(pa.array(np.zeros(n, np.int64))),
                         ],
-                        ["key", "left", "right", "least", "most", "place", "digest", "holder"],
+                        ["key", "left", "right", "open", "place", "digest", "holder"],
                     )
 
-    columns = "key long, left binary, right binary, least int, most int, place long, digest long, holder long"
+    columns = "key long, left binary, right binary, open long, place long, digest long, holder long"
     suffix = kept(texts.join(chosen, "id").mapInArrow(contexts, columns).dropDuplicates(["digest", "place"]), "contexts")
-    order = ["key", "right", "digest", "place"]
-    compared = kept(suffix.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared(least, chunk), RESULT), "compared")
-    # What crosses a border of ranges: the same question, by the hashes of the runs.
-    crossing = compared.where("runs IS NOT NULL").select("digest", "place", "holder", F.posexplode("runs").alias("step", "run")).where("run IS NOT NULL")
+    once = kept(_sorted(suffix, "right").mapInArrow(_compared("right", least, chunk), RESULT), "compared")
+    going = once.where("open <> 0")
+    twice = kept(_sorted(going, "left").mapInArrow(_compared("left", least, chunk), RESULT), "compared")
+    # What crosses ends in both orders: the same question, by the hashes of the runs.
+    crossing = twice.where("open <> 0").select("digest", "place", "holder", F.posexplode("runs").alias("step", "run")).where("run IS NOT NULL")
     first = crossing.groupBy("run").agg(F.min("holder").alias("first"), F.max("holder").alias("last")).where("first <> last")
     met = crossing.join(first, "run").select("digest", "place", F.expr("shiftleft(1L, step)").alias("bit"), (F.col("holder") > F.col("first")).alias("later"))
-    met = met.groupBy("digest", "place").agg(F.bit_or("bit").alias("every"), F.bit_or(F.when(F.col("later"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("later"))
-    marks = compared.where("runs IS NULL").select("digest", "place", "every", "later").unionByName(met)
+    met = met.select("digest", "place", F.col("bit").alias("every"), F.when(F.col("later"), F.col("bit")).otherwise(F.lit(0).cast("long")).alias("later"))
+    found = [x.select("digest", "place", "every", "later").where("every <> 0") for x in (once, twice, met)]
+    marks = found[0].union(found[1]).union(found[2])
     by_doc = marks.groupBy("digest").agg(F.collect_list(F.struct("place", "every", "later")).alias("marks"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +171,9 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "digest", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_repeated")).alias("n_repeated"), removed.alias("n_removed"), "spans")
 
 
-RESULT = "digest long, place long, holder long, every long, later long, runs array<long>"
+RESULT = "digest long, place long, holder long, every long, later long, open long, key long, left binary, right binary, runs array<long>"
+_PLACES = np.random.default_rng(20240612).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fixed(words: np.ndarray) -> pa.Array:
@@ -177,95 +182,100 @@ def _fixed(words: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * size), pa.py_buffer(np.ascontiguousarray(words, ">u4").tobytes())])
 
 
-def _compared(least: int, chunk: int):
-    """Of sorted suffixes: which runs of ``least`` words around them other documents, or earlier ones, hold (RESULT).
+def _words(t: pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), ">u4").astype(np.uint64).reshape(len(t), -1)
 
-    Bit k of every and later stands for the run that begins k words before the place.  Suffixes of a group that may go on in
-    another range, or is beyond ``chunk`` rows, come with the hashes of their runs instead.
-    """
 
-    def words(column: pa.ChunkedArray) -> np.ndarray:
-        whole = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
-        return np.frombuffer(b"".join(whole.to_pylist()), ">u4").astype(np.uint64).reshape(len(whole), -1)
+def _sorted(suffixes: DataFrame, by: str) -> DataFrame:
+    order = ["key", by, "digest", "place"]
+    return suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _prefix_hashes(words: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the first least, least + 1, ... words of each row."""
+    h = np.zeros(len(words), np.uint64)
+    out = []
+    for k in range(words.shape[1] + 1):
+        if k:
+            h = mix(h * _STEP + words[:, k - 1] + np.uint64(1))
+        if k >= least:
+            out.append(h)
+    return np.array(out)
+
 
-    def plain(t: pa.Table, name: str) -> np.ndarray:
-        return t.column(name).to_numpy()
+def _compared(by: str, least: int, chunk: int):
+    """Of suffixes sorted by the words to the right or to the left: which runs around them other documents hold (RESULT).
 
-    def settled(t: pa.Table) -> pa.RecordBatch:
-        key, holder, low, high = (plain(t, c) for c in ("key", "holder", "least", "most"))
-        left, right = words(t.column("left")), words(t.column("right"))
+    Bit k of the masks stands for the run that begins k words before the place: every: another document holds it, later: one with
+    a smaller id, open: neighbours beyond the end of the chunk may hold it, and of the chunk's suffixes with it this is the one
+    to ask for.  Suffixes with open runs come with their words and, in the second order, the hashes of those runs.
+    """
+
+    def settled(t: pa.Table, begun: bool, goes_on: bool) -> pa.RecordBatch:
+        key, holder, bits = (t.column(c).to_numpy() for c in ("key", "holder", "open"))
+        left, right = _words(t, "left"), _words(t, "right")
+        own = right if by == "right" else left
+        differ = own[1:] != own[:-1]
+        common = np.where(differ.any(1), differ.argmax(1), own.shape[1])  # with the suffix before it
+        common[key[1:] != key[:-1]] = -1
+        other = _prefix_hashes(left, 0) if by == "right" else _prefix_hashes(right, least - ROW + 1)[::-1]  # by step
         n = len(key)
-        differ = right[1:] != right[:-1]
-        common = np.where(differ.any(1), differ.argmax(1), least)  # of a suffix and the one before it
-        common[key[1:] != key[:-1]] = 0
-        every, later = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        before = np.zeros(n, np.uint64)
+        every, later, open_ = (np.zeros(n, np.int64) for _ in range(3))
         for k in range(ROW):
-            if k:
-                before = mix(before * np.uint64(0x9E3779B97F4A7C15) + left[:, k - 1] + np.uint64(1))
-            segment = np.r_[0, np.cumsum(common < least - k)]
-            at = np.flatnonzero((low <= k) & (k <= high) & (np.bincount(segment, minlength=n)[segment] > 1))
-            if len(at) < 2:
+            segment = np.r_[0, np.cumsum(common < (least - k if by == "right" else k))]
+            border = ((segment == 0) & begun) | ((segment == segment[-1]) & goes_on)
+            at = np.flatnonzero((bits >> k & 1 == 1) & ((np.bincount(segment)[segment] > 1) | border))
+            if not len(at):
                 continue
-            at = at[np.lexsort((before[at], segment[at]))]
-            new = np.r_[True, (segment[at][1:] != segment[at][:-1]) | (before[at][1:] != before[at][:-1])]
+            at = at[np.lexsort((other[k][at], segment[at]))]
+            new = np.r_[True, (segment[at][1:] != segment[at][:-1]) | (other[k][at][1:] != other[k][at][:-1])]
             edge, number = np.flatnonzero(new), np.cumsum(new) - 1
             first, last = np.minimum.reduceat(holder[at], edge)[number], np.maximum.reduceat(holder[at], edge)[number]
             every[at[first < last]] |= 1 << k
             later[at[holder[at] > first]] |= 1 << k
-        some = np.flatnonzero(every)
-        out = [pa.array(x[some]) for x in (plain(t, "digest"), plain(t, "place"), holder, every, later)]
-        return pa.RecordBatch.from_arrays([*out, pa.nulls(len(some), pa.list_(pa.int64()))], RESULT_NAMES)
-
-    def open_ones(t: pa.Table) -> pa.RecordBatch:
-        low, high = plain(t, "least"), plain(t, "most")
-        whole = np.concatenate([words(t.column("left"))[:, ::-1], words(t.column("right"))], 1)
-        hashes = np.zeros((len(low), ROW), np.uint64)
-        for k in range(ROW):
-            hashes[:, k] = (whole[:, ROW - k : ROW - k + least] * _PLACES[:least]).sum(1)
-        hashes = mix(hashes).view(np.int64)
-        absent = (np.arange(ROW) < low[:, None]) | (np.arange(ROW) > high[:, None])
-        runs = pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1) * ROW, pa.int32()), pa.array(hashes.ravel(), mask=absent.ravel()))
-        return pa.RecordBatch.from_arrays([*(pa.array(plain(t, c)) for c in ("digest", "place", "holder")), pa.nulls(len(low), pa.int64()), pa.nulls(len(low), pa.int64()), runs], RESULT_NAMES)
+            open_[at[border[at] & (holder[at] == first)]] |= 1 << k
+        some = np.flatnonzero((every | open_) != 0)
+        asked = pa.array(open_[some] != 0)
+        runs = pa.nulls(len(some), pa.list_(pa.int64()))
+        if by == "left" and len(some):
+            whole = np.concatenate([left[some, ::-1], right[some]], 1)
+            hashes = np.stack([(whole[:, ROW - k : ROW - k + least] * _PLACES[:least]).sum(1) for k in range(ROW)], 1)
+            absent = (open_[some, None] >> np.arange(ROW) & 1) == 0
+            runs = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * ROW, pa.int32()), pa.array(mix(hashes).view(np.int64).ravel(), mask=absent.ravel()))
+        out = [t.column(c).take(pa.array(some)).combine_chunks() for c in ("digest", "place", "holder", "key", "left", "right")]
+        out[4:] = [pc.if_else(asked, x, None) for x in out[4:]]
+        masks = [pa.array(x[some]) for x in (every, later, open_)]
+        return pa.RecordBatch.from_arrays([*out[:3], *masks, *out[3:], runs], RESULT_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        border = True  # the first group at hand may have begun before
+        size, begun = 0, True  # the first group of a range may have begun in the one before
 
-        def parts(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, border
+        def part(last: bool) -> pa.RecordBatch:
+            """What is held up to its last group, which may go on, or all of it if it is one large group."""
+            nonlocal held, size, begun
             t = pa.Table.from_batches(held)
-            key = plain(t, "key")
-            edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-            begin, end = 0, int(edges[-2])
-            if border:
-                begin = int(edges[1])
-                yield open_ones(t.slice(0, begin))
-                border = len(edges) == 2  # all of one group, which goes on
-            if begin < end:
-                yield settled(t.slice(begin, end - begin))
-            rest = t.slice(max(begin, end))
-            if len(rest) and (last or len(rest) > chunk):
-                yield open_ones(rest)
-                border, rest = True, rest.slice(len(rest))
-            held = rest.to_batches()
-
-        size = 0
+            key = t.column("key").to_numpy()
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+            end = len(key) if last or not len(cut) else int(cut[-1])
+            out = settled(t.slice(0, end), begun, last or not len(cut))
+            begun = not last and not len(cut)
+            held, size = t.slice(end).to_batches(), len(key) - end
+            return out
+
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
             if size > chunk:
-                yield from parts(False)
-                size = sum(b.num_rows for b in held)
+                yield part(False)
         if held:
-            yield from parts(True)
+            yield part(True)
 
     return run
 
 
-RESULT_NAMES = ["digest", "place", "holder", "every", "later", "runs"]
-_PLACES = np.random.default_rng(20240612).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+RESULT_NAMES = [c.split(" ")[0] for c in RESULT.split(", ")]
 
 
 def _spans(starts: list[int], length: int) -> list[tuple[int, int]]:
@@ -310,10 +320,12 @@ def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
             out.append(text)
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.bool_())], ["text", "gone"])
 
+    cut = cut.asNondeterministic()  # else the plan computes it once for the filter and once for the text
     whole = docs.select(F.struct(*names).alias("row"))
     joined = whole.join(found, F.col("row.doc_id").cast("long") == F.col("of"), "left")
-    touched = joined.where("cuts IS NOT NULL").withColumn("new", cut("row.text", "cuts")).where("NOT new.gone")
-    made = {"text": F.col("new.text"), "n_chars": F.length("new.text").cast("long")}
-    changed = touched.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in names])
-    same = joined.where("cuts IS NULL").select(*[F.col("row").getField(c).alias(c) for c in names])
-    return same.unionByName(changed.select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType) for c in names]))
+    cut_text = F.when(F.col("cuts").isNotNull(), F.col("row.text"))  # other texts need not go to Python
+    made = joined.withColumn("new", cut(cut_text, "cuts")).where("NOT new.gone")
+    text = F.when(F.col("cuts").isNotNull(), F.col("new.text")).otherwise(F.col("row.text"))
+    number = F.when(F.col("cuts").isNotNull(), F.length("new.text").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in names else None
+    new = {"text": text, "n_chars": number}
+    return made.select(*[new.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in names])
