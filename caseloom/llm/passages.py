@@ -144,7 +144,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     going = once.where("open <> 0")
     twice = kept(_sorted(going, "left").mapInArrow(_compared("left", least, chunk), RESULT), "compared")
     # What crosses ends in both orders: the same question, by the hashes of the runs.
-    crossing = twice.where("open <> 0").select("digest", "place", "holder", F.posexplode("runs").alias("step", "run")).where("run IS NOT NULL")
+    crossing = twice.where("open <> 0").select("digest", "place", "holder", F.inline("runs"))
     first = crossing.groupBy("run").agg(F.min("holder").alias("first"), F.max("holder").alias("last")).where("first <> last")
     met = crossing.join(first, "run").select("digest", "place", F.expr("shiftleft(1L, step)").alias("bit"), (F.col("holder") > F.col("first")).alias("later"))
     met = met.select("digest", "place", F.col("bit").alias("every"), F.when(F.col("later"), F.col("bit")).otherwise(F.lit(0).cast("long")).alias("later"))
@@ -171,7 +171,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "digest", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_repeated")).alias("n_repeated"), removed.alias("n_removed"), "spans")
 
 
-RESULT = "digest long, place long, holder long, every long, later long, open long, key long, left binary, right binary, runs array<long>"
+RESULT = "digest long, place long, holder long, every long, later long, open long, key long, left binary, right binary, runs array<struct<step: int, run: long>>"
 _PLACES = np.random.default_rng(20240612).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -236,12 +236,13 @@ def _compared(by: str, least: int, chunk: int):
             open_[at[border[at] & (holder[at] == first)]] |= 1 << k
         some = np.flatnonzero((every | open_) != 0)
         asked = pa.array(open_[some] != 0)
-        runs = pa.nulls(len(some), pa.list_(pa.int64()))
+        runs = pa.nulls(len(some), pa.list_(pa.struct([("step", pa.int32()), ("run", pa.int64())])))
         if by == "left" and len(some):
             whole = np.concatenate([left[some, ::-1], right[some]], 1)
             hashes = np.stack([(whole[:, ROW - k : ROW - k + least] * _PLACES[:least]).sum(1) for k in range(ROW)], 1)
-            absent = (open_[some, None] >> np.arange(ROW) & 1) == 0
-            runs = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * ROW, pa.int32()), pa.array(mix(hashes).view(np.int64).ravel(), mask=absent.ravel()))
+            row, step = np.nonzero(open_[some, None] >> np.arange(ROW) & 1)
+            listed = pa.StructArray.from_arrays([pa.array(step.astype(np.int32)), pa.array(mix(hashes[row, step]).view(np.int64))], ["step", "run"])
+            runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(some) + 1)), pa.int32()), listed)
         out = [t.column(c).take(pa.array(some)).combine_chunks() for c in ("digest", "place", "holder", "key", "left", "right")]
         out[4:] = [pc.if_else(asked, x, None) for x in out[4:]]
         masks = [pa.array(x[some]) for x in (every, later, open_)]
@@ -275,7 +276,7 @@ def _compared(by: str, least: int, chunk: int):
     return run
 
 
-RESULT_NAMES = [c.split(" ")[0] for c in RESULT.split(", ")]
+RESULT_NAMES = "digest place holder every later open key left right runs".split()
 
 
 def _spans(starts: list[int], length: int) -> list[tuple[int, int]]:
