@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words (letters only, lower case for ASCII) and their leading 4, 5 and 6 characters as families.  The index holds
-a bounded sample of labelled texts over the terms whose share differs most between the two labels; idf comes from all
-documents.  Examples lie in blocks; each term keeps its largest weight by block.  A text's blocks are scored from the
+Terms are words (letters only, lower case) and their leading 4, 5 and 6 characters as families.  The index holds a bounded sample
+of labelled texts over the terms whose rates in the two labels differ beyond chance, all of them; idf comes from all documents.
+Cosine over every word of a text finds texts on the same matters rather than texts with the same insults (README has figures),
+so words that tell nothing about the label weigh nothing, as stop words do.  Examples lie in blocks; each term keeps its largest weight by block.  A text's blocks are scored from the
 highest bound down until no further block can enter the k nearest, so the nearest are exact.  Their votes, weighted by
 cosine, give a raw score that a logistic curve fitted on the examples themselves (each left out in turn) calibrates.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import bounded, kept
 
 BLOCK, NEAREST, FAMILY = 64, 16, (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -36,8 +37,30 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-def choose_terms(rows: list[Counter], toxic: np.ndarray, most: int) -> list[str]:
-    """Terms whose rate by label differs twelvefold and by more than chance among all terms (likelihood ratio), the strongest."""
+class Lookup:
+    """Places of the known terms in a text; words seen lately are remembered with their terms."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.place, self.seen = {t: i for i, t in enumerate(names)}, {}
+
+    def __call__(self, text: str | None) -> Counter:
+        out: Counter = Counter()
+        if not text or not self.place:
+            return out
+        if len(self.seen) > 1 << 18:
+            self.seen.clear()
+        for word, n in Counter(_WORD.findall(text.lower())).items():
+            found = self.seen.get(word)
+            if found is None:
+                names = [word, *(word[:k] + "*" for k in FAMILY if len(word) > k)]
+                found = self.seen[word] = tuple(self.place[t] for t in names if t in self.place)
+            for t in found:
+                out[t] += n
+        return out
+
+
+def choose_terms(rows: list[Counter], toxic: np.ndarray) -> list[str]:
+    """Terms whose rate by label differs twelvefold and by more than chance among all terms (likelihood ratio), the strongest first."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     have1, have0 = Counter(), Counter()
     for row, y in zip(rows, toxic.tolist(), strict=True):
@@ -52,7 +75,7 @@ def choose_terms(rows: list[Counter], toxic: np.ndarray, most: int) -> list[str]
         score = 2 * sum(o * np.log(o * n / e) for o, e in cells if o) if k >= 3 else 0.0
         if score > least and abs(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))) > np.log(12):
             found.append((-score, t))
-    return [t for _, t in sorted(found)[:most]]
+    return [t for _, t in sorted(found)]
 
 
 class Index:
@@ -94,8 +117,9 @@ class Index:
         return best
 
 
-def _vector(row: Counter, place: dict[str, int], idf: np.ndarray) -> dict[int, float]:
-    found = {place[t]: (1 + np.log(n)) * idf[place[t]] for t, n in row.items() if t in place}
+def _vector(row: Counter, idf: np.ndarray) -> dict[int, float]:
+    """The unit vector of counts by a term's place."""
+    found = {t: (1 + np.log(n)) * idf[t] for t, n in row.items()}
     norm = float(np.sqrt(sum(w * w for w in found.values())))
     return {t: w / norm for t, w in sorted(found.items())} if norm else {}
 
@@ -110,15 +134,15 @@ class Model:
     def __init__(self, packed: bytes) -> None:
         got = np.load(io.BytesIO(packed), allow_pickle=False)
         self.names = [str(t) for t in got["names"]]
-        self.place = {t: i for i, t in enumerate(self.names)}
+        self.lookup = Lookup(self.names)
         self.ids, self.toxic, self.idf = got["ids"], got["toxic"], got["idf"]
         self.prior, self.slope, self.shift, self.bare = (float(x) for x in got["numbers"])
         rows, cols, counts = got["rows"], got["cols"], got["counts"]
         own: list[Counter] = [Counter() for _ in range(len(self.ids))]
         for r, c, n in zip(rows.tolist(), cols.tolist(), counts.tolist(), strict=True):
-            own[r][self.names[c]] = n
+            own[r][c] = n
         self.counts = own
-        self.vectors = [_vector(x, self.place, self.idf) for x in own]
+        self.vectors = [_vector(x, self.idf) for x in own]
         self.index = Index(self.vectors, len(self.names))
 
     def calibrate(self) -> tuple[float, float, float]:
@@ -140,7 +164,7 @@ class Model:
         return float(w[0]), float(w[1]), bare
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(_vector(terms(text), self.place, self.idf), NEAREST)
+        near = self.index.nearest(_vector(self.lookup(text), self.idf), NEAREST)
         if not near:
             return self.bare, near
         return float(1 / (1 + np.exp(-np.clip(self.slope * _raw(near, self.toxic, self.prior) + self.shift, -30, 30)))), near
@@ -152,14 +176,14 @@ def _pack(names, ids, toxic, idf, numbers, rows, cols, counts) -> bytes:
     return out.getvalue()
 
 
-def fit(docs: DataFrame, labelled: DataFrame, most_rows: int = 4000, most_terms: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+def fit(docs: DataFrame, labelled: DataFrame, most_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A model from at most about most_rows rows of labelled (id, toxic), half of each label where there are enough.
 
-    The bound is on rows and terms; whole texts are used.  Rows are chosen by their hash, equal rows count once (of several
+    The bound is on rows; whole texts are used.  Rows are chosen by their hash, equal rows count once (of several
     texts of one id, any), rows with a null id, text or label are left out.  idf counts the documents of all of docs that hold
     each chosen term.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), (F.col("toxic") > 0).alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
     counts = kept(rows.groupBy("toxic").agg(F.count("*").alias("n")), "labels")
     share = counts.select("toxic", (F.lit(most_rows / 2) / F.col("n")).alias("share"))
@@ -172,7 +196,7 @@ def fit(docs: DataFrame, labelled: DataFrame, most_rows: int = 4000, most_terms:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted((k, -1 if i is None else i, y, terms(t)) for b in batches for k, i, y, t in zip(*(b.column(c).to_pylist() for c in ("key", "id", "toxic", "text")), strict=True))
         toxic = np.array([y for _, _, y, _ in own], bool)
-        names = choose_terms([x for *_, x in own], toxic, most_terms)
+        names = choose_terms([x for *_, x in own], toxic)
         place = {t: i for i, t in enumerate(names)}
         found = [(r, place[t], n) for r, (*_, x) in enumerate(own) for t, n in sorted(x.items()) if t in place]
         r, c, n = (np.array(v, np.int32) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int32),) * 3
@@ -187,17 +211,17 @@ def fit(docs: DataFrame, labelled: DataFrame, most_rows: int = 4000, most_terms:
     shared = spark.sparkContext.broadcast(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, seen, n = {t: i for i, t in enumerate(shared.value)}, np.zeros(len(shared.value) + 1, np.int64), 0
+        lookup, seen, n = Lookup(shared.value), np.zeros(len(shared.value) + 1, np.int64), 0
         for b in batches:
             for text in b.column("text").to_pylist():
                 n += 1
-                for t in {place[t] for t in terms(text) if t in place}:
+                for t in lookup(text):
                     seen[t] += 1
         seen[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
 
     held = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = {r["term"]: r["n"] for r in held.collect()}  # a row per term, most_terms at most
+    df = {r["term"]: r["n"] for r in held.collect()}  # a row per chosen term of the sample
     total = df.get(len(names), 0)
     idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(names))])
     parts = [names, got["ids"], got["toxic"], idf, got["numbers"], got["rows"], got["cols"], got["counts"]]
@@ -216,7 +240,8 @@ def score_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_
     """One row (id_col, score, predicted, evidence) per row of docs; evidence lists the nearest examples (id, toxic, cosine).
 
     A text without any of the model's terms, a null or empty one too, has no neighbour and gets the rate of label 1 among
-    such examples.  Of equally near examples the first in the index count.  Rows are scored one by one, whole.
+    such examples.  Of equally near examples the first in the index count.  Rows are scored one by one, whole, however long; repeated rows and null
+    ids stand for themselves, an empty table gives no rows, other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -230,4 +255,4 @@ def score_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_
             near = [[{"id": int(scorer.ids[i]), "toxic": bool(scorer.toxic[i]), "cosine": float(c)} for c, i in n[:evidence]] for _, n in found]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(near, near_type)], [id_col, "score", "predicted", "evidence"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, evidence array<struct<id: long, toxic: boolean, cosine: double>>")
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, evidence array<struct<id: long, toxic: boolean, cosine: double>>")

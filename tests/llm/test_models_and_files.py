@@ -135,6 +135,30 @@ def test_toxicity_is_learned(spark):
     found = {r.doc_id: r for r in toxicity.score_documents(docs.select("doc_id", "text").union(odd), model).collect()}
     assert np.mean([found[i].predicted == y for i, _, y in rows if i >= 600]) > 0.98
     assert all(0 <= r.score <= 1 for r in found.values()) and found[2000].predicted == found[2001].predicted == 0
+    # The whole score, by a plain k-nearest-neighbours over the model's terms; ties and evidence too.
+    m = toxicity.Model(model)
+    known = {t: k for k, t in enumerate(m.names)}
+    texts = {i: t for i, t, _ in rows} | {2000: None, 2001: ""}
+    bags = {i: {known[t]: n for t, n in toxicity.terms(t).items() if t in known} for i, t in texts.items()}
+    idf = [np.log((1 + len(rows)) / (1 + sum(k in bags[i] for i, *_ in rows))) + 1 for k in range(len(known))]
+    assert np.allclose(idf, m.idf) and {"vileword", "nastiness", "hatefully", "wretchedly"} <= set(known)
+
+    def vector(i):
+        v = np.zeros(len(known))
+        for k, n in bags[i].items():
+            v[k] = (1 + np.log(n)) * idf[k]
+        return v / (np.linalg.norm(v) or 1)
+
+    examples = np.array([vector(i) for i in m.ids.tolist()])
+    for i in texts:
+        cosine = examples @ vector(i)
+        near = [k for k in np.lexsort((np.arange(len(cosine)), -cosine.round(12)))[:16] if cosine[k] > 0]
+        raw = (sum(cosine[k] for k in near if m.toxic[k]) + 0.5 * m.prior) / (sum(cosine[k] for k in near) + 0.5)
+        assert found[i].score == pytest.approx(1 / (1 + np.exp(-(m.slope * raw + m.shift))) if near else m.bare, abs=1e-6)
+        assert [e.cosine for e in found[i].evidence] == pytest.approx([cosine[k] for k in near[:3]])
+    clashing = docs.selectExpr("doc_id", "text", "toxic AS score", "1 AS predicted", "2 AS evidence", "3 AS key")
+    again = toxicity.score_documents(clashing.union(clashing), model)
+    assert again.count() == 2 * len(rows) and again.distinct().count() == len(rows)
     none = toxicity.fit(docs, docs.limit(0).select("doc_id", "toxic"))
     assert {r.predicted for r in toxicity.score_documents(docs.limit(20), none).collect()} <= {0, 1}
 
