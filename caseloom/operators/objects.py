@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class ObjectLog:
-    """events(eid, activity, us), objects(oid, type), relations(eid, oid)."""
+    """events(eid, activity, us, attributes), objects(oid, type, attributes), relations(eid, oid).
+
+    Where there are such: o2o(oid, oid_2), e2e(eid, eid_2) and changes(oid, us, attributes).
+    """
 
     events: DataFrame
     objects: DataFrame
     relations: DataFrame
+    o2o: DataFrame | None = None
+    e2e: DataFrame | None = None
+    changes: DataFrame | None = None
 
     def joined(self, kind: str | None = None) -> DataFrame:
         """(eid, activity, us, oid, type), of one object type or all."""
@@ -121,14 +127,14 @@ def of_events(log: ObjectLog, events: DataFrame) -> ObjectLog:
     """The log of the given events (eid); objects without an event go."""
     kept = events.select("eid").distinct()
     relations = log.relations.join(kept, "eid", "left_semi")
-    return ObjectLog(log.events.join(kept, "eid", "left_semi"), log.objects.join(relations, "oid", "left_semi"), relations)
+    return replace(log, events=log.events.join(kept, "eid", "left_semi"), objects=log.objects.join(relations, "oid", "left_semi"), relations=relations)
 
 
 def of_objects(log: ObjectLog, objects: DataFrame) -> ObjectLog:
     """The log of the given objects (oid); events without an object go."""
     kept = objects.select("oid").distinct()
     relations = log.relations.join(kept, "oid", "left_semi")
-    return ObjectLog(log.events.join(relations, "eid", "left_semi"), log.objects.join(kept, "oid", "left_semi"), relations)
+    return replace(log, events=log.events.join(relations, "eid", "left_semi"), objects=log.objects.join(kept, "oid", "left_semi"), relations=relations)
 
 
 def explode_lists(table: DataFrame, eid: str, prefix: str = "ocel:type:") -> DataFrame:
