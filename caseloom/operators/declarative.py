@@ -36,7 +36,7 @@ def declare_unary(log: DataFrame) -> DataFrame:
 
 
 def declare_binary(log: DataFrame) -> DataFrame:
-    """(template, a, b, support, confidence) of the relation templates, for pairs that share a case.
+    """(template, a, b, support, confidence) of the relation templates for all pairs of activities, also those that share no case.
 
     A case decides response templates if it holds a, precedence templates if it holds b, and the others if it holds either.  A
     negative template (non...) turns the outcome of its positive one round.
@@ -60,7 +60,9 @@ def declare_binary(log: DataFrame) -> DataFrame:
         F.count_if(even & near).alias("chain"),
     )
     alone = occ.groupBy("activity").agg(F.count("*").alias("k"))
-    rows = sums.join(alone.select(F.col("activity").alias("a"), F.col("k").alias("ka")), "a").join(alone.select(F.col("activity").alias("b"), F.col("k").alias("kb")), "b")
+    names = alone.select(F.col("activity").alias("a"), F.col("k").alias("ka")).crossJoin(alone.select(F.col("activity").alias("b"), F.col("k").alias("kb"))).where("a <> b")  # the alphabet squared
+    counts = ["both", "response", "precedence", "succession", "alternating", "chain"]
+    rows = names.join(sums, ["a", "b"], "left").na.fill(0, counts)
     ka, kb, either = F.col("ka"), F.col("kb"), F.col("ka") + F.col("kb") - F.col("both")
     hits = {
         "responded_existence": (ka, F.col("both")),
@@ -95,7 +97,7 @@ def skeleton(log: DataFrame, noise: float = 0.0) -> DataFrame:
         F.count_if(F.array_min("pb") < F.array_min("pa")).alias("before"),
     )
     alone = occ.groupBy("activity").agg(F.count("*").alias("k"))
-    names = alone.select(F.col("activity").alias("a"), F.col("k").alias("ka")).crossJoin(F.broadcast(alone.select(F.col("activity").alias("b"), F.col("k").alias("kb")))).where("a <> b")  # the alphabet squared
+    names = alone.select(F.col("activity").alias("a"), F.col("k").alias("ka")).crossJoin(alone.select(F.col("activity").alias("b"), F.col("k").alias("kb"))).where("a <> b")  # the alphabet squared
     rows = names.join(sums, ["a", "b"], "left").na.fill(0, ["both", "equal", "after", "before"])
     ok = lambda c: F.col(c) >= F.col("ka") * (1 - noise)
     tests = {"equivalence": ok("equal"), "always_after": ok("after"), "always_before": ok("before"), "never_together": F.col("both") <= (F.col("ka") + F.col("kb")) * noise}

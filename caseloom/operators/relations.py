@@ -115,6 +115,28 @@ def temporal_profile(log: DataFrame) -> DataFrame:
     return later_pairs(log).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_s"), F.coalesce(F.stddev_samp("gap"), F.lit(0.0)).alias("stdev_s"))
 
 
+def point_profile(log: DataFrame, activities: Sequence[str]) -> DataFrame:
+    """temporal_profile() of a log of events without length whose activities are known, without a row per pair.
+
+    The gaps of an event b to the events a before it sum up from their number, their times and their squares, which run along
+    the case.  Times are taken from the case's start, so that sums of squares stay exact enough.
+    """
+    w = in_case().rowsBetween(Window.unboundedPreceding, -1)
+    t = (F.col("us") - F.min("us").over(Window.partitionBy("case_id"))) / 1e6
+    rows = log.select("case_id", "activity", "us", "event_idx", t.alias("t"))
+    so_far = []
+    for a in activities:
+        own = F.col("activity") == a
+        sums = [F.coalesce(F.sum(F.when(own, x)).over(w), F.lit(0.0)) for x in (F.lit(1.0), F.col("t"), F.col("t") * F.col("t"))]
+        so_far.append(F.struct(F.lit(a).alias("a"), sums[0].alias("n"), sums[1].alias("s"), sums[2].alias("q")))
+    rows = rows.select(F.col("activity").alias("b"), "t", F.array(*so_far).alias("before")).select("b", "t", F.inline("before")).where("n > 0")
+    gaps = F.col("n") * F.col("t") - F.col("s")
+    squares = F.col("n") * F.col("t") * F.col("t") - 2 * F.col("t") * F.col("s") + F.col("q")
+    out = rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(gaps).alias("s"), F.sum(squares).alias("q"))
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)))).otherwise(0.0)
+    return out.select("a", "b", F.col("n").cast("long").alias("n"), (F.col("s") / F.col("n")).alias("mean_s"), spread.alias("stdev_s"))
+
+
 def temporal_deviations(log: DataFrame, profile: DataFrame, zeta: float) -> DataFrame:
     """(case_id, a, b, gap, score): gaps beyond mean +- zeta * stdev; the score is null where stdev is 0."""
     rows = later_pairs(log).join(profile.select("a", "b", "mean_s", "stdev_s"), ["a", "b"])
@@ -138,7 +160,3 @@ def witnesses(log: DataFrame) -> DataFrame:
     spans = rows.withColumn("q", nxt).where("q IS NOT NULL").withColumn("d", F.col("q") - F.col("p") - 1)
     best = spans.join(self_distance(log), "activity").where("d = distance AND d > 0")
     return best.select("activity", F.explode(F.slice("t", F.col("p") + 2, F.col("d"))).alias("witness")).distinct()
-
-
-def performance_column(column: str) -> Column:
-    return F.col(column)

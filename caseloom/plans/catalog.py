@@ -170,7 +170,8 @@ query(
 q AS (SELECT a, b, count(*) AS both_, count(*) FILTER (pa[-1] < pb[-1]) AS r, count(*) FILTER (pa[1] < pb[1]) AS pr, count(*) FILTER (pa[-1] < pb[-1] AND pa[1] < pb[1]) AS su,
  count(*) FILTER (len(pa) = len(pb) AND len(list_filter(range(1, len(pa) + 1), lambda i: pa[i] < pb[i] AND (i = len(pa) OR pb[i] < pa[i + 1]))) = len(pa)) AS al,
  count(*) FILTER (len(pa) = len(pb) AND len(list_filter(range(1, len(pa) + 1), lambda i: pb[i] = pa[i] + 1)) = len(pa)) AS ch FROM y GROUP BY ALL),
-m AS (SELECT q.*, ka.n AS ka, kb.n AS kb, ka.n + kb.n - both_ AS ei FROM q JOIN k ka ON ka.activity = a JOIN k kb ON kb.activity = b)
+z AS (SELECT ka.activity AS a, kb.activity AS b, ka.n AS ka, kb.n AS kb FROM k ka JOIN k kb ON ka.activity <> kb.activity),
+m AS (SELECT a, b, ka, kb, coalesce(both_, 0) AS both_, coalesce(r, 0) AS r, coalesce(pr, 0) AS pr, coalesce(su, 0) AS su, coalesce(al, 0) AS al, coalesce(ch, 0) AS ch, ka + kb - coalesce(both_, 0) AS ei FROM z LEFT JOIN q USING (a, b))
 SELECT u.template, a, b, u.support, u.hits / u.support::DOUBLE AS confidence FROM (SELECT a, b, unnest([
  {'template': 'responded_existence', 'support': ka, 'hits': both_}, {'template': 'response', 'support': ka, 'hits': r}, {'template': 'alternate_response', 'support': ka, 'hits': al}, {'template': 'chain_response', 'support': ka, 'hits': ch},
  {'template': 'precedence', 'support': kb, 'hits': pr}, {'template': 'alternate_precedence', 'support': kb, 'hits': al}, {'template': 'chain_precedence', 'support': kb, 'hits': ch},

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from caseloom.plans import catalog, object_catalog  # noqa: F401  the second adds its queries to the first
+from caseloom.plans import catalog, feature_catalog, object_catalog  # noqa: F401  these add their queries to the catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
