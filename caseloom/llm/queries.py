@@ -120,24 +120,29 @@ FROM kept
 
 LICENSE_SQL = r"""
 WITH templates AS (
-  SELECT t.name, t.grams FROM (SELECT unnest([{rows}]) AS t)
-), units AS (
-  SELECT doc_id, unnest(CASE WHEN contains(text, chr(10)) THEN list_concat([text], string_split(text, chr(10))) ELSE [text] END) AS unit FROM documents
+  SELECT t.name, t.grams, t.lengths FROM (SELECT unnest([{rows}]) AS t)
 ), words AS (
-  SELECT doc_id, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM units
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents
 ), grams AS (
-  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2
+  SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM words WHERE len(w) >= 2
+), possible AS (
+  SELECT doc_id, name, g, grams, lengths FROM grams JOIN templates ON len(list_intersect(list_distinct(g), grams)) >= len(grams) * (0.8::DOUBLE / 1.2) - 1e-9
+), begun AS (
+  SELECT *, unnest(list_filter(range(1, len(g) + 1), lambda i: list_contains(grams, g[i]))) AS i FROM possible
+), sized AS (
+  SELECT doc_id, name, g, grams, i, unnest(lengths) AS m FROM begun
+), windows AS (
+  SELECT doc_id, name, grams, i, list_distinct(g[i:least(i + m - 2, len(g))]) AS v FROM sized
 ), scored AS (
-  SELECT doc_id, name AS license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
-  FROM grams JOIN templates ON len(g) BETWEEN len(grams) * (0.8::DOUBLE / 1.2) AND len(grams) * (1.2::DOUBLE / 0.8)
+  SELECT doc_id, name, i, max(2.0::DOUBLE * len(list_intersect(v, grams)) / (len(v) + len(grams))) AS dice FROM windows GROUP BY ALL
 )
-SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units FROM scored WHERE dice >= 0.8 GROUP BY ALL
+SELECT doc_id, name AS license, max(dice) AS dice, arg_max(i - 1, (dice, -i)) AS start, count(*) AS n_windows FROM scored WHERE dice >= 0.8 GROUP BY ALL
 """
 
 
 def _license_rows() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"{{'name': {quoted(n)}, 'grams': [{', '.join(map(quoted, licenses.bigrams(t)))}]}}" for n, t in licenses.TEMPLATES.items())
+    return ", ".join(f"{{'name': {quoted(n)}, 'grams': [{', '.join(map(quoted, licenses.bigrams(t)))}], 'lengths': {licenses.window_words(len(licenses.words_of(t)))}}}" for n, t in licenses.TEMPLATES.items())
 
 
 ORACLE_SQL: dict[str, str] = {

@@ -61,9 +61,9 @@ def text_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) ->
         row = stop
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each row and the number of words at the end)."""
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
@@ -75,12 +75,12 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the number of words at the end).
 
     Words are hashed some SPAN bytes at a time, so a very long text needs no tables of its length.
     """
-    starts, ends, first = word_bounds(data, offsets)
+    starts, ends, first = word_bounds(data, offsets, space)
     out = np.zeros(len(starts), np.uint64)
     i = 0
     while i < len(starts):
