@@ -25,6 +25,7 @@ from .textnum import mix, run_hashes, text_chunks, word_bounds, word_hashes
 
 GRAM, STEPS = 8, 5
 ROW = 1 << STEPS  # minimisers are chosen among so many places
+BITS = 1 << 22  # places of the table of documents with spans, 512 KB
 CHUNK = 16_000  # sorted suffixes that a task compares at a time
 
 
@@ -322,11 +323,18 @@ def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.bool_())], ["text", "gone"])
 
     cut = cut.asNondeterministic()  # else the plan computes it once for the filter and once for the text
-    whole = docs.select(F.struct(*names).alias("row"))
-    joined = whole.join(found, F.col("row.doc_id").cast("long") == F.col("of"), "left")
+    # A bit for each document that may have spans, in BITS places: others need not be shuffled to learn that they have none.
+    spot = F.pmod(F.xxhash64("of"), F.lit(BITS))
+    bits = found.groupBy(F.shiftright(spot, 15).alias("at")).agg(F.bitmap_construct_agg(F.pmod(spot, F.lit(1 << 15))).alias("bits"))
+    whole = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("of"))
+    marked = whole.withColumn("spot", spot).withColumn("at", F.shiftright("spot", 15)).join(F.broadcast(bits), "at", "left")  # 128 rows of 4 KB at most
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(mod(spot, 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = marked.withColumn("maybe", F.coalesce(F.bit_get(byte, F.pmod("spot", F.lit(8)).cast("int")) == 1, F.lit(False)))
+    same = marked.where("NOT maybe").select(*[F.col("row").getField(c).alias(c) for c in names])
+    joined = marked.where("maybe").select("row", "of").join(found, "of", "left")
     cut_text = F.when(F.col("cuts").isNotNull(), F.col("row.text"))  # other texts need not go to Python
     made = joined.withColumn("new", cut(cut_text, "cuts")).where("NOT new.gone")
     text = F.when(F.col("cuts").isNotNull(), F.col("new.text")).otherwise(F.col("row.text"))
     number = F.when(F.col("cuts").isNotNull(), F.length("new.text").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in names else None
     new = {"text": text, "n_chars": number}
-    return made.select(*[new.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in names])
+    return same.union(made.select(*[new.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in names]))
