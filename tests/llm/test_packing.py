@@ -1,7 +1,11 @@
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -18,6 +22,18 @@ def test_ids_equal_the_library():
         assert library.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+CORPUS = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(CORPUS), reason="the driver's tables are not here")
+def test_ids_of_the_corpus_equal_the_library():
+    """Every document of a table: so that no two pieces with one hash go unseen."""
+    library = Tokenizer.from_file(PATH)
+    texts = [x or "" for x in pq.read_table(CORPUS, columns=["text"])["text"].to_pylist()]
+    for text, ids in zip(texts, bytebpe.batch_ids(pa.array(texts), PATH), strict=True):
+        assert library.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
 def test_every_id_lies_in_one_piece(spark):
     library = Tokenizer.from_file(PATH)
     rng = np.random.default_rng(1)
