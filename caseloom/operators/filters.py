@@ -209,8 +209,7 @@ def between(log: DataFrame, a: str, b: str) -> DataFrame:
     hits = F.when(F.col("activity").isin(a, b), F.col("activity"))
     w = in_case()
     before = F.last(hits, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(hits, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    open_ = log.withColumn("before", before).withColumn("after", after)
+    open_ = log.withColumn("before", before)
     begins = (F.col("activity") == a) & (F.coalesce(F.col("before") != a, F.lit(True)))
     numbered = open_.withColumn("k", F.sum(F.when(begins, 1).otherwise(0)).over(w)).withColumn("last_b", F.max(F.when(F.col("activity") == b, F.struct("us", "event_idx"))).over(Window.partitionBy("case_id")))
     inside = ((F.col("before") == a) | begins) & (F.struct("us", "event_idx") <= F.col("last_b"))

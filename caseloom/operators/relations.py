@@ -51,7 +51,7 @@ def later_pairs(log: DataFrame, first_only: bool = False) -> DataFrame:
     """(case_id, a, b, gap) of all pairs i < j of a case's events with end_i <= start_j.
 
     The number of pairs grows with the square of a case's length by the definition; aggregations over it should be
-    preferred to it (eventually_follows() counts without making pairs).
+    preferred to it (eventually_follows() and first_following() make no pairs).
     """
     seq = log.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("us", "event_idx", "activity", "start_us"))).alias("t"))
     left = seq.select("case_id", "t", F.posexplode("t").alias("i", "x"))
@@ -63,15 +63,32 @@ def later_pairs(log: DataFrame, first_only: bool = False) -> DataFrame:
     return out.drop("i")
 
 
-def eventually_follows(log: DataFrame, activities: Sequence[str]) -> DataFrame:
-    """(a, b, n): pairs i < j of a case, for atomic events with known activities: running counts instead of pairs.
+def beside_activities(log: DataFrame, group: str, name: str) -> DataFrame:
+    """Each row once for every activity (``name``) of its group: one shuffle, and no list of activities is needed."""
+    marked = log.withColumn(name, F.collect_set("activity").over(Window.partitionBy(group)))
+    return marked.select(*log.columns, F.explode(name).alias(name))
 
-    Each event of b adds the number of events a before it, so the work is the events times the activities.
+
+def eventually_follows(log: DataFrame) -> DataFrame:
+    """(a, b, n): pairs i < j of a case, for atomic events: running counts instead of pairs.
+
+    Each event of b adds the number of events a before it, so the work is the events times the activities of their case.
     """
-    w = in_case().rowsBetween(Window.unboundedPreceding, -1)
-    before = [F.struct(F.lit(a).alias("a"), F.coalesce(F.sum(F.when(F.col("activity") == a, 1).otherwise(0)).over(w), F.lit(0)).alias("n")) for a in activities]
-    rows = log.select(F.col("activity").alias("b"), F.array(*before).alias("before"))
-    return rows.select("b", F.inline("before")).where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("case_id", "a").orderBy("us", "event_idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.count_if(F.col("activity") == F.col("a")).over(w)
+    rows = beside_activities(log.select("case_id", "activity", "us", "event_idx"), "case_id", "a").select("a", F.col("activity").alias("b"), before.alias("n"))
+    return rows.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def first_following(log: DataFrame) -> DataFrame:
+    """(case_id, event_idx, a, b, gap): for each event and activity b the time to the next b of its case, if there is one.
+
+    Runs from the end of the case, so that each frame grows by one row; atomic events.
+    """
+    w = Window.partitionBy("case_id", "b").orderBy(F.desc("us"), F.desc("event_idx")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(F.col("activity") == F.col("b"), F.col("us")), ignorenulls=True).over(w)
+    rows = beside_activities(log.select("case_id", "activity", "us", "event_idx"), "case_id", "b").withColumn("next_us", after)
+    return rows.where("next_us IS NOT NULL").select("case_id", "event_idx", F.col("activity").alias("a"), "b", ((F.col("next_us") - F.col("us")) / 1e6).alias("gap"))
 
 
 def concurrent_pairs(log: DataFrame, strict: bool = False) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import business_seconds
 from ..schema import cases, in_case, position, variants
+from .relations import beside_activities
 
 
 def variant_counts(log: DataFrame) -> DataFrame:
@@ -88,40 +91,87 @@ def case_overlap(log: DataFrame) -> DataFrame:
     return at_end.join(at_start, "case_id").select("case_id", (F.col("started") - F.col("ended")).alias("n_open"))
 
 
+def ranged(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """rows with the number of their range, ascending with the key: ranges by approximate quantiles, equal keys in one."""
+    cuts = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
+    return rows.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")  # one row
+
+
 def running_total(rows: DataFrame, order: list[str], columns: list[str], buckets: int = 256) -> DataFrame:
     """rows with <c>_upto (all rows at or before the row's place) and <c>_before (strictly before), without one global sort task.
 
-    Rows fall into ranges of the first order column by approximate quantiles; totals of earlier ranges are added to a window
-    within the range.
+    Totals of earlier ranges of the first order column are added to a window within the range.
     """
-    key = order[0]
-    cuts = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-    ranged = rows.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")  # one row
-    sums = ranged.groupBy("range").agg(*[F.sum(c).alias(c) for c in columns])
+    placed = ranged(rows, order[0], buckets)
+    sums = placed.groupBy("range").agg(*[F.sum(c).alias(c) for c in columns])
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most buckets rows
     base = sums.select(F.col("range").alias("r"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_base") for c in columns])
     w = Window.partitionBy("range").orderBy(*order)
     upto, before = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(base), F.col("range") == F.col("r"))
+    joined = placed.join(F.broadcast(base), F.col("range") == F.col("r"))  # at most buckets rows
     for c in columns:
         joined = joined.withColumn(f"{c}_upto", F.sum(c).over(upto) + F.col(f"{c}_base")).withColumn(f"{c}_before", F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"{c}_base"))
     return joined.drop("range", "r", *[f"{c}_base" for c in columns])
 
 
-def cycle_time(log: DataFrame, include_last: bool = False) -> DataFrame:
-    """One row: busy time (the union of all events' intervals) over the number of cases; the last interval counts on request."""
-    hour = 3_600_000_000
-    order = Window.partitionBy(F.floor(F.col("start_us") / (24 * hour))).orderBy("start_us", "us")
-    # Islands within a day first, then islands of days' islands: the second sort sees few rows.
-    rows = log.select("start_us", "us")
-    day = rows.withColumn("far", F.max("us").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    day = day.withColumn("new", F.when(F.col("far") >= F.col("start_us"), 0).otherwise(1)).withColumn("d", F.floor(F.col("start_us") / (24 * hour)))
-    day = day.withColumn("k", F.sum("new").over(order)).groupBy("d", "k").agg(F.min("start_us").alias("a"), F.max("us").alias("b"))
-    whole = Window.orderBy("a", "b")
-    joined = day.withColumn("far", F.max("b").over(whole.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", F.when(F.col("far") >= F.col("a"), 0).otherwise(1))
-    spans = joined.withColumn("k", F.sum("new").over(whole)).groupBy("k").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    busy = F.sum(F.col("b") - F.col("a")) if include_last else F.sum(F.col("b") - F.col("a")) - F.max_by(F.col("b") - F.col("a"), "a")
-    return spans.agg(busy.alias("busy")).crossJoin(F.broadcast(log.agg(F.count_distinct("case_id").alias("n")))).select((F.col("busy") / 1e6 / F.col("n")).alias("cycle_s"))
+def cycle_time(log: DataFrame, include_last: bool = False, buckets: int = 256) -> DataFrame:
+    """One row: busy time (the union of all events' intervals) over the number of cases; the last stretch counts on request.
+
+    Each interval adds what reaches beyond all that began before it: a running maximum within ranges of start times, over
+    the maximum of the earlier ranges, so no task sorts all events and no stretches are kept.
+    """
+    rows = ranged(log.select("start_us", "us"), "start_us", buckets)
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most buckets rows
+    base = rows.groupBy("range").agg(F.max("us").alias("far")).select(F.col("range").alias("r"), F.max("far").over(earlier).alias("base"))
+    own = F.max("us").over(Window.partitionBy("range").orderBy("start_us", "us").rowsBetween(Window.unboundedPreceding, -1))
+    met = rows.join(F.broadcast(base), F.col("range") == F.col("r")).withColumn("far", F.greatest(own, "base"))  # at most buckets rows; greatest() skips nulls
+    adds = F.greatest(F.col("us") - F.greatest("start_us", "far"), F.lit(0))
+    begins = F.when(F.col("far").isNull() | (F.col("far") < F.col("start_us")), F.col("start_us"))
+    sums = met.agg(F.sum(adds).alias("busy"), (F.max("us") - F.max(begins)).alias("last"))
+    busy = F.col("busy") if include_last else F.col("busy") - F.col("last")
+    return sums.crossJoin(F.broadcast(log.agg(F.count_distinct("case_id").alias("n")))).select((busy / 1e6 / F.nullif("n", F.lit(0))).alias("cycle_s"))  # one row
+
+
+def kernel_density(values: DataFrame, points: int = 200) -> DataFrame:
+    """(x, density) of the numbers in column ``value``: Gaussian kernels of Scott's width at ``points`` places.
+
+    Half of the places lie evenly between the extremes, half evenly on a logarithmic scale from 1e-6 or the least value up
+    (left out where the largest is below); equal places are one.  Equal values are counted first; each then adds to every
+    place, summed before the shuffle.  Nulls are left out; fewer than two different values give no rows.
+    """
+    counts = values.where("value IS NOT NULL").groupBy(F.col("value").cast("double").alias("value")).agg(F.count("*").cast("double").alias("n"))
+    frame = values.agg(F.count("value").alias("total"), F.min("value").cast("double").alias("low"), F.max("value").cast("double").alias("high"), F.stddev_samp("value").alias("sd")).where("high > low")
+    last = max(points // 2, 2) - 1
+    place = lambda f: F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.when(k == last, F.col("high")).otherwise(f(k / F.lit(last))))
+    least = F.greatest("low", F.lit(1e-6))
+    logarithmic = F.when(F.col("high") >= least, place(lambda t: least * F.pow(F.col("high") / least, t))).otherwise(F.array().cast("array<double>"))
+    places = F.array_distinct(F.concat(place(lambda t: F.col("low") + t * (F.col("high") - F.col("low"))), logarithmic))
+    grid = frame.select("total", (F.col("sd") * F.pow("total", F.lit(-0.2))).alias("h"), F.explode(places).alias("x"))
+    z = (F.col("x") - F.col("value")) / F.col("h")
+    met = counts.crossJoin(F.broadcast(grid))  # as many rows as points
+    sums = met.groupBy("x", "total", "h").agg(F.sum(F.col("n") * F.exp(-z * z / 2)).alias("s"))
+    return sums.select("x", (F.col("s") / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def precede_succeed(log: DataFrame, buckets: int = 256) -> DataFrame:
+    """(a, b, share): of all pairs of an event of a and one of b <> a in the whole log, the share where a ends before b starts.
+
+    Pairs in different ranges of time are products of counts; within a range running counts are taken, as in
+    relations.eventually_follows(), so no pairs of events are made.
+    """
+    ends = log.select("activity", F.col("us").alias("at"), F.lit(1).alias("kind"))
+    marks = ranged(ends.union(log.select("activity", "start_us", F.lit(0))), "at", buckets)
+    # A start comes before the ends of its moment.
+    w = Window.partitionBy("range", "a").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.count_if((F.col("kind") == 1) & (F.col("activity") == F.col("a"))).over(w)
+    inside = beside_activities(marks, "range", "a").withColumn("n", before).where("kind = 0").groupBy("a", F.col("activity").alias("b")).agg(F.sum("n").alias("n"))
+    counts = marks.groupBy("range", "activity").agg(F.count_if(F.col("kind") == 1).alias("ends"), F.count_if(F.col("kind") == 0).alias("starts"))
+    x, y = counts.select(F.col("range").alias("r"), F.col("activity").alias("a"), "ends"), counts.select("range", F.col("activity").alias("b"), "starts")
+    across = x.join(F.broadcast(y), F.col("r") < F.col("range")).groupBy("a", "b").agg(F.sum(F.col("ends") * F.col("starts")).alias("n"))  # buckets times the alphabet
+    own = log.groupBy("activity").agg(F.count("*").alias("k"))
+    total = inside.union(across).where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = own.select(F.col("activity").alias("a"), F.col("k").alias("ka")).join(own.select(F.col("activity").alias("b"), F.col("k").alias("kb")), F.col("a") != F.col("b"))  # the alphabet squared
+    return pairs.join(total, ["a", "b"], "left").select("a", "b", (F.coalesce("n", F.lit(0)) / (F.col("ka").cast("double") * F.col("kb"))).alias("share"))
 
 
 def positions(log: DataFrame, activity: str) -> DataFrame:

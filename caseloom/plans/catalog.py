@@ -78,7 +78,7 @@ query("frequent_triples", "SELECT activity AS a, b, d AS c, count(*) AS n FROM (
 query("start_activities", "SELECT first_activity AS activity, count(*) AS n FROM c GROUP BY ALL")(relations.endpoints)
 query("end_activities", "SELECT last_activity AS activity, count(*) AS n FROM c GROUP BY ALL")(lambda log: relations.endpoints(log, "last_activity"))
 PAIRS = "SELECT x.case_id, x.activity AS a, y.activity AS b, (y.us - x.us) / 1e6 AS gap FROM e x JOIN e y ON x.case_id = y.case_id AND (x.us, x.event_idx) < (y.us, y.event_idx)"
-query("eventually_follows", f"SELECT a, b, count(*) AS n FROM ({PAIRS}) GROUP BY ALL")(lambda log: relations.eventually_follows(log, ACTIVITIES))
+query("eventually_follows", f"SELECT a, b, count(*) AS n FROM ({PAIRS}) GROUP BY ALL")(relations.eventually_follows)
 query("edges_by_value", "SELECT activity AS a, b, resource AS value, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY ALL")(lambda log: relations.case_attribute_edges(log, "resource"))
 FOOT = "d AS (SELECT activity AS a, b, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY ALL)"
 query("footprints", f", {FOOT} SELECT x.a, x.b, CASE WHEN y.n IS NULL THEN 'sequence' ELSE 'parallel' END AS relation FROM d x LEFT JOIN d y ON x.a = y.b AND x.b = y.a")(relations.footprints)

@@ -43,6 +43,19 @@ def stream_edges(events: DataFrame, idle: str = "30 days", late: str = "1 hour")
     return rows.withWatermark("ts", late).groupBy("case_id").applyInPandasWithState(step, EDGES, "activity string, us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_deviations(edges: DataFrame, profile: DataFrame, zeta: float) -> DataFrame:
+    """Rows of stream_edges() with ``deviation``: unknown (no such step in the profile), slow or fast, else null.
+
+    profile is a table (a, b, mean_s, stdev_s) of directly-follows times; a step deviates where its gap is beyond
+    mean_s +- zeta * stdev_s.  A case's first event never deviates.  A stream-static join: no state of its own.
+    """
+    known = profile.select("a", "b", "mean_s", F.coalesce("stdev_s", F.lit(0.0)).alias("stdev_s"))
+    away, bound = F.col("gap") - F.col("mean_s"), zeta * F.col("stdev_s")
+    kind = F.when(F.col("a").isNull(), None).when(F.col("mean_s").isNull(), "unknown").when(away > bound, "slow").when(away < -bound, "fast")
+    rows = edges.where("b IS NOT NULL")  # all rows; the state operator's columnar rows can't be shuffled as they are
+    return rows.join(known, ["a", "b"], "left").select(*edges.columns, kind.alias("deviation"))
+
+
 def stream_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(window, activity, n): events by activity and tumbling window of event time, given out once the watermark passes."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), F.col("activity")).agg(F.count("*").alias("n"))
