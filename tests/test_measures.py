@@ -92,7 +92,7 @@ def test_between(spark):
 
 def test_stream_deviations(spark, tmp_path):
     rows = [("1", "A", 0), ("1", "B", 10), ("1", "C", 11), ("2", "A", 0), ("2", "B", 100), ("3", "A", 0), ("3", "B", 1), ("4", "B", 5)]
-    table = spark.createDataFrame(rows, "case_id string, activity string, s long").select("case_id", "activity", F.timestamp_seconds("s").alias("ts"))
+    table = spark.createDataFrame(rows, "case_id string, activity string, s long").select("case_id", "activity", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
     table.coalesce(1).write.parquet(f"{tmp_path}/in")
     profile = spark.createDataFrame([("A", "B", 10.0, 2.0)], "a string, b string, mean_s double, stdev_s double")
     stream = stream_deviations(stream_edges(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")), profile, 1.5)
