@@ -41,7 +41,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mix", mix), ("pack", pack)]
 
-#: Language identification, which comes first, can't be said in SQL; tests hold the stages against plain versions.
+#: Language identification, which comes first, can't be said in SQL; tests hold the operators of the
+#: stages against plain versions, and of run() itself columns and sums only.
 ORACLE_SQL: str | None = None
 
 
