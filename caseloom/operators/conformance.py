@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import cases
+from ..schema import cases, in_case
 from .declarative import occurrences
 from .relations import dfg, temporal_deviations
 
@@ -109,3 +109,18 @@ def footprint_quality(log: DataFrame, model: DataFrame) -> DataFrame:
     fitness = F.sum(F.when(F.col("allowed") == 1, F.col("n")).otherwise(0)) / F.sum("n")
     precision = F.count_if(F.col("n").isNotNull() & F.col("allowed").isNotNull()) / F.count("allowed")
     return both.agg(fitness.alias("fitness"), precision.alias("precision"))
+
+
+def footprint_deviations(log: DataFrame, footprints: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(case_id, kind, a, b, us) against a model of steps (a, b) and first and last activities (activity).
+
+    kind is start (b begins the case), step (a is followed by b) or end (a ends it); us is the time of the event, for end of the last one.
+    One window pass over the log; the models, at most the alphabet squared, are joined.
+    """
+    w = in_case()
+    rows = log.select("case_id", "us", F.lag("activity").over(w).alias("a"), F.col("activity").alias("b"), F.lead("activity").over(w).isNull().alias("last"))
+    known = footprints.select("a", "b").distinct().withColumn("known", F.lit(True))
+    steps = rows.where("a IS NOT NULL").join(known, ["a", "b"], "left_anti").select("case_id", F.lit("step").alias("kind"), "a", "b", "us")
+    begun = rows.where("a IS NULL").join(starts.select(F.col("activity").alias("b")), "b", "left_anti").select("case_id", F.lit("start").alias("kind"), "a", "b", "us")
+    ended = rows.where("last").select("case_id", F.col("b").alias("a"), "us").join(ends.select(F.col("activity").alias("a")), "a", "left_anti")
+    return steps.unionByName(begun).unionByName(ended.select("case_id", F.lit("end").alias("kind"), "a", F.lit(None).cast("string").alias("b"), "us"))
