@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
 from ..operators import object_filters as of
 from ..operators import object_tools as tools
 from ..operators import objects
+from ..sources import objects as files
 from .catalog import QUERIES, SQL, E, log_of, object_log
 from .catalog import O as PLAIN
 
@@ -147,3 +150,28 @@ def _sampled(of_: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _kind in ("object", "event", "component"):  # chosen by a hash that SQL lacks: tested for shares and whole components
     QUERIES[f"oc_sample_{_kind}s"] = _sampled(_kind)
+
+
+def _round_trip(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The rich log written to the shared folder and read again: its relations with the attributes of both sides."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, log = f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}", rich_log(spark, sf_dir)
+        if kind == "xml":
+            files.write_object_xml(log, path)
+            back = files.read_object_xml(spark, path, 4 << 20)
+        elif kind == "json":
+            files.write_object_json(log, path)
+            back = files.read_object_json(spark, path)
+        else:
+            files.write_object_csv(log, path)
+            back = files.read_object_csv(spark, f"{path}/events", f"{path}/objects", kinds={"total": "float", "balance": "float"})
+        rows = back.relations.join(back.events, "eid").join(back.objects, "oid")
+        return rows.select("eid", "oid", "type", "activity", "us", "priority", F.round("total", 2).alias("total"), F.round("balance", 2).alias("balance"))
+
+    return run
+
+
+for _kind in ("xml", "json", "csv"):
+    QUERIES[f"oc_{_kind}_round_trip"] = _round_trip(_kind)
+    SQL[f"oc_{_kind}_round_trip"] = O + X + "SELECT eid::VARCHAR AS eid, oid, obj.type, activity, us, priority, round(total, 2) AS total, round(balance, 2) AS balance FROM rel JOIN ev USING (eid) JOIN obj USING (oid)"

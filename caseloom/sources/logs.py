@@ -1,11 +1,11 @@
-"""Readers and writers of event logs: delimited files, XES, directly-follows text and object-centric JSON."""
+"""Readers and writers of event logs: delimited files, XES and directly-follows text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.objects import ObjectLog
+from .objects import read_object_json as read_ocel2_json  # noqa: F401
 
 KINDS = ("string", "date", "int", "float", "boolean", "id")
 _VALUE = {"string": "string", "id": "string", "date": "timestamp", "int": "long", "float": "double", "boolean": "boolean"}
@@ -66,17 +66,3 @@ def read_dfg(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     rows = spark.read.csv(path, sep="\t", header=True, schema="kind string, a string, b string, n long")
     ends = [rows.where(F.col("kind") == k).select(F.col("a").alias("activity"), "n") for k in ("start", "end")]
     return rows.where("kind = 'edge'").select("a", "b", "n"), *ends
-
-
-_EVENTS = "array<struct<id: string, type: string, time: string, relationships: array<struct<objectId: string, qualifier: string>>>>"
-_OBJECTS = "array<struct<id: string, type: string, relationships: array<struct<objectId: string, qualifier: string>>>>"
-
-
-def read_ocel2_json(spark: SparkSession, path: str) -> ObjectLog:
-    """The events, objects and relations of object-centric JSON (2.0); a file is one document, a folder may hold many."""
-    whole = spark.read.schema(f"events {_EVENTS}, objects {_OBJECTS}").json(path, multiLine=True)
-    events = whole.select(F.explode("events").alias("e"))
-    us = F.unix_micros(F.try_to_timestamp("e.time"))
-    relations = events.select(F.col("e.id").alias("eid"), F.explode("e.relationships").alias("r")).select("eid", F.col("r.objectId").alias("oid")).distinct()
-    objects = whole.select(F.explode("objects").alias("o")).select(F.col("o.id").alias("oid"), F.col("o.type").alias("type"))
-    return ObjectLog(events.select(F.col("e.id").alias("eid"), F.col("e.type").alias("activity"), us.alias("us")), objects, relations)

@@ -74,7 +74,7 @@ def test_graph_round_trip(spark, tmp_path):
 def test_object_json(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps({"events": [{"id": "e1", "type": "pay", "time": "2024-01-01T00:00:00Z", "relationships": [{"objectId": "o1", "qualifier": "x"}]}], "objects": [{"id": "o1", "type": "order"}]}))
     log = logs.read_ocel2_json(spark, str(tmp_path / "o.json"))
-    assert rows(log.events) == [("e1", "pay", 1_704_067_200_000_000)] and rows(log.relations) == [("e1", "o1")]
+    assert rows(log.events) == [("e1", "pay", 1_704_067_200_000_000)] and rows(log.relations) == [("e1", "o1", "x")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
