@@ -44,20 +44,21 @@ def one(edges: DataFrame, activity: str) -> DataFrame:
 
 def to_activity(edges: DataFrame, starts: DataFrame, activity: str) -> DataFrame:
     """Edges on ways from a start activity that end at an activity."""
-    left = edges.where(F.col("a") != activity)
+    left = kept(edges.where(F.col("a") != activity), "graph")
     both = reachable(left, starts).join(reachable(backwards(left), one(edges, activity)), "activity", "left_semi")
     return within(left, both)
 
 
 def from_activity(edges: DataFrame, ends: DataFrame, activity: str) -> DataFrame:
     """Edges on ways from an activity to an end activity."""
-    left = edges.where(F.col("b") != activity)
+    left = kept(edges.where(F.col("b") != activity), "graph")
     both = reachable(left, one(edges, activity)).join(reachable(backwards(left), ends), "activity", "left_semi")
     return within(left, both)
 
 
 def containing(edges: DataFrame, starts: DataFrame, ends: DataFrame, activity: str) -> DataFrame:
     """Edges on ways from a start to an end activity that pass an activity."""
+    edges = kept(edges, "graph")  # as small as the alphabet squared; each round reads it
     before = within(edges, reachable(edges, starts).join(reachable(backwards(edges), one(edges, activity)), "activity", "left_semi"))
     after = within(edges, reachable(edges, one(edges, activity)).join(reachable(backwards(edges), ends), "activity", "left_semi"))
     return before.union(after).distinct()

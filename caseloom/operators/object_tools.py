@@ -7,6 +7,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.closure import reach_from, transitive_closure
+from ..functions.tables import components, kept
 from .object_filters import object_components
 from .objects import ObjectLog, _life, of_events, of_objects
 
@@ -29,11 +31,15 @@ def attributes_by_kind(table: DataFrame, kind: str, skip: tuple[str, ...]) -> Da
 
 
 def merged_duplicates(log: ObjectLog) -> ObjectLog:
-    """Events of one activity and time that share an object become the one with the smallest id, with the objects of all."""
-    rows = log.joined()
-    least = rows.groupBy("oid", "activity", "us").agg(F.min("eid").alias("to"))
-    to = rows.join(least, ["oid", "activity", "us"]).groupBy("eid").agg(F.min("to").alias("to"))
-    relations = log.relations.join(to, "eid").select(F.col("to").alias("eid"), "oid").distinct()
+    """Events of one activity and time that share objects, also over other such events, become the one with the smallest id.
+
+    It has the objects of all of them.
+    """
+    rows = log.joined().select("eid", "oid", "activity", "us")
+    least = rows.groupBy("oid", "activity", "us").agg(F.min("eid").alias("first"))
+    links = rows.join(least, ["oid", "activity", "us"]).where("eid <> first").select("eid", "first")
+    to = components(links, "eid", "first").select(F.col("id").alias("eid"), F.col("component_id").alias("to"))
+    relations = log.relations.join(to, "eid", "left").withColumn("eid", F.coalesce("to", "eid")).select(*log.relations.columns).distinct()
     return replace(log, events=log.events.join(relations, "eid", "left_semi"), relations=relations)
 
 
@@ -197,3 +203,40 @@ def link_analysis(events: DataFrame, out_col: str | Column, in_col: str | Column
     a = events.select("eid", as_col(out_col).alias("value")).where("value IS NOT NULL")
     b = events.select(F.col("eid").alias("eid_2"), as_col(in_col).alias("value")).where("value IS NOT NULL")
     return a.join(b, "value").where("eid <> eid_2").select("eid", "eid_2").distinct()
+
+
+def linked_chains(links: DataFrame) -> DataFrame:
+    """(eid, eid_2) of events that a chain of links (eid, eid_2) leads between: the flow that link_analysis() gives step by step."""
+    pairs = transitive_closure(links, "eid", "eid_2").expanded()
+    return pairs.select(F.col("a").alias("eid"), F.col("b").alias("eid_2"))
+
+
+def first_links(events: DataFrame, out_col: str | Column, in_col: str | Column) -> DataFrame:
+    """(eid, eid_2): each event and the first later one (by us, eid) whose in value is its out value.
+
+    Both sides are sorted together by value: no pairs are made.
+    """
+    as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    out = events.select(as_col(out_col).alias("value"), "us", "eid", F.lit(False).alias("target"))
+    into = events.select(as_col(in_col).alias("value"), "us", "eid", F.lit(True).alias("target"))
+    w = Window.partitionBy("value").orderBy("us", "eid", F.desc("target")).rowsBetween(1, Window.unboundedFollowing)
+    rows = out.unionByName(into).where("value IS NOT NULL").withColumn("eid_2", F.first(F.when(F.col("target"), F.col("eid")), ignorenulls=True).over(w))
+    return rows.where("NOT target AND eid_2 IS NOT NULL").select("eid", "eid_2")
+
+
+def relatives(log: ObjectLog, kind: str) -> DataFrame:
+    """(central, oid): each object of a type with its ancestors and descendants, itself included.
+
+    An object is a parent of those that share an event with it and begin later; of two that begin together, one of the type is a parent
+    of the other.
+    """
+    rows = log.joined()
+    begin = rows.groupBy("oid").agg(F.min("us").alias("us"), F.max(F.col("type") == kind).alias("own"))
+    pairs = log.relations.select("eid", F.col("oid").alias("x")).join(log.relations.select("eid", F.col("oid").alias("y")), "eid").where("x <> y").select("x", "y").distinct()
+    side = lambda c: begin.select(F.col("oid").alias(c), F.col("us").alias(f"{c}_us"), F.col("own").alias(f"{c}_own"))
+    rows = pairs.join(side("x"), "x").join(side("y"), "y")
+    links = rows.where((F.col("x_us") < F.col("y_us")) | ((F.col("x_us") == F.col("y_us")) & F.col("x_own"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = kept(links, "parents")
+    central = log.objects.where(F.col("type") == kind).select(F.col("oid").alias("id"))
+    both = reach_from(links, central).unionByName(reach_from(links.select(F.col("b").alias("a"), F.col("a").alias("b")), central))
+    return both.select(F.col("source").alias("central"), F.col("id").alias("oid")).unionByName(central.select(F.col("id").alias("central"), F.col("id").alias("oid"))).distinct()

@@ -27,7 +27,8 @@ O = """WITH ev AS (SELECT o_orderkey AS eid, o_orderstatus AS activity, epoch_us
 rel AS (SELECT o_orderkey AS eid, 'c' || o_custkey AS oid, 'customer' AS type FROM orders
   UNION SELECT l_orderkey, 's' || l_suppkey, 'supplier' FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 j AS (SELECT * FROM rel JOIN ev USING (eid)),
-ends AS (SELECT oid, arg_min(eid, (us, eid)) AS first_eid, arg_max(eid, (us, eid)) AS last_eid FROM j GROUP BY oid)
+ends AS (SELECT oid, max(eid) FILTER (r = 1) AS first_eid, max(eid) FILTER (z = 1) AS last_eid FROM
+  (SELECT oid, eid, row_number() OVER (PARTITION BY oid ORDER BY us, eid) AS r, row_number() OVER (PARTITION BY oid ORDER BY us DESC, eid DESC) AS z FROM j) GROUP BY oid)
 """  # noqa: E741
 
 

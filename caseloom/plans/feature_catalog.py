@@ -60,23 +60,29 @@ query("temporal_conformance", PROFILE + ", dev AS (SELECT case_id, count(*) AS n
 query("point_profile", f"SELECT a, b, count(*) AS n, round(avg(gap), 2) AS mean_s, round(coalesce(stddev_samp(gap), 0), 0) AS stdev_s FROM ({PAIRS}) GROUP BY ALL")(
     lambda log: relations.point_profile(log, ACTIVITIES).select("a", "b", "n", F.round("mean_s", 2).alias("mean_s"), F.round("stdev_s", 0).alias("stdev_s"))
 )
+
+
+def _frequent(edges):
+    """Edges that are at least as frequent as their mean."""
+    return edges.join(edges.agg(F.avg("n").alias("mean")), F.col("n") >= F.col("mean")).drop("mean")  # one row
+
+
 query(
     "footprint_quality",
-    ", f AS (SELECT activity AS a, b, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY ALL), g AS (SELECT DISTINCT activity AS a, b FROM s WHERE b IS NOT NULL AND case_id % 50 = 0) SELECT sum(n) FILTER ((a, b) IN (SELECT (a, b) FROM g)) / sum(n)::DOUBLE AS fitness, count(*) FILTER ((a, b) IN (SELECT (a, b) FROM g)) / (SELECT count(*) FROM g)::DOUBLE AS precision FROM f",
-)(lambda log: conformance.footprint_quality(log, relations.footprints(log.where("case_id % 50 = 0"))))
+    ", f AS (SELECT activity AS a, b, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY ALL), g AS (SELECT a, b FROM f WHERE n >= (SELECT avg(n) FROM f)) SELECT sum(n) FILTER ((a, b) IN (SELECT (a, b) FROM g)) / sum(n)::DOUBLE AS fitness, count(*) FILTER ((a, b) IN (SELECT (a, b) FROM g)) / (SELECT count(*) FROM g)::DOUBLE AS precision FROM f",
+)(lambda log: conformance.footprint_quality(log, _frequent(relations.dfg(log))))
 
-# Filters on the directly-follows graph of the cases that have few events
-G = ", few AS (SELECT case_id FROM c WHERE case_id % 30 = 0), g AS (SELECT activity AS a, b, count(*) AS n FROM s WHERE b IS NOT NULL AND activity <> b AND case_id IN (SELECT case_id FROM few) GROUP BY ALL HAVING count(*) > 10)"
+# Filters on the graph of the steps between different activities that are at least as frequent as their mean
+G = ", every AS (SELECT activity AS a, b, count(*) AS n FROM s WHERE b IS NOT NULL AND activity <> b GROUP BY ALL), g AS (SELECT * FROM every WHERE n >= (SELECT avg(n) FROM every))"
 most = ", m AS (SELECT act, max(n) AS mx FROM (SELECT a AS act, n FROM g UNION ALL SELECT b, n FROM g) GROUP BY act)"
 
 
 def _graph(log):
-    own = log.where("case_id % 30 = 0")
-    return relations.dfg(own).where("a <> b AND n > 10")
+    return _frequent(relations.dfg(log).where("a <> b"))
 
 
 def _ends(log, which):
-    return relations.endpoints(log.where("case_id % 30 = 0"), which)
+    return relations.endpoints(log, which)
 
 
 query("dfg_without_noise", G + most + " SELECT a, b, n FROM g JOIN m x ON x.act = a JOIN m y ON y.act = b WHERE n >= least(x.mx, y.mx) * 0.8::DOUBLE")(lambda log: dfgs.without_noise(_graph(log), 0.8))
@@ -88,7 +94,7 @@ def _reach(name: str, start: str, g: str, forward: bool = True) -> str:
 
 
 RECURSIVE = E.replace("WITH e AS", "WITH RECURSIVE e AS", 1)
-STARTS, ENDS = "first_activity FROM c WHERE case_id % 30 = 0", "last_activity FROM c WHERE case_id % 30 = 0"
+STARTS, ENDS = "first_activity FROM c", "last_activity FROM c"
 query("dfg_to_activity", "x")(lambda log: dfgs.to_activity(_graph(log), _ends(log, "first_activity"), "purchase"))
 SQL["dfg_to_activity"] = RECURSIVE + G + ", h AS (SELECT * FROM g WHERE a <> 'purchase'), " + _reach("r", STARTS, "h") + ", " + _reach("q", "'purchase'", "h", False) + " SELECT a, b, n FROM h WHERE a IN (SELECT v FROM r INTERSECT SELECT v FROM q) AND b IN (SELECT v FROM r INTERSECT SELECT v FROM q)"
 query("dfg_from_activity", "x")(lambda log: dfgs.from_activity(_graph(log), _ends(log, "last_activity"), "signup"))
@@ -126,7 +132,7 @@ query("performance_spectrum", ", q AS (SELECT case_id, activity, us, lead(activi
 query("case_rates", "SELECT case_id, 0.0::DOUBLE AS service_s, row_number() OVER (PARTITION BY first_us // 86400000000 ORDER BY first_us, case_id) AS arrival_rank FROM c")(tables.case_rates)
 query("resource_durations", ", q AS (SELECT resource, activity, (us - lag(us) OVER (PARTITION BY case_id ORDER BY us, event_idx)) / 1e6 AS s FROM e) SELECT resource, activity, count(*) AS n, round(avg(s), 3) AS mean_s FROM q WHERE resource IS NOT NULL AND s IS NOT NULL GROUP BY ALL")(lambda log: tables.resource_durations(log).withColumn("mean_s", F.round("mean_s", 3)))
 query("resource_case_durations", "SELECT resource, count(*) AS n_cases, round(avg((last_us - first_us) / 1e6), 3) AS mean_s FROM (SELECT DISTINCT case_id, resource FROM e WHERE resource IS NOT NULL) JOIN c USING (case_id) GROUP BY ALL")(lambda log: tables.resource_case_durations(log).withColumn("mean_s", F.round("mean_s", 3)))
-query("roles", ", r AS (SELECT activity, array_to_string(list_sort(list(DISTINCT resource)), ',') AS resources, count(*) AS n FROM e WHERE resource IS NOT NULL AND case_id % 30 = 0 GROUP BY activity) SELECT resources, string_agg(activity, ',' ORDER BY activity) AS activities, sum(n)::BIGINT AS n_events FROM r GROUP BY resources")(lambda log: tables.roles(log.where("case_id % 30 = 0")))
+query("roles", ", r AS (SELECT activity, array_to_string(list_sort(list(DISTINCT resource)), ',') AS resources, count(*) AS n FROM e WHERE resource IS NOT NULL GROUP BY activity) SELECT resources, string_agg(activity, ',' ORDER BY activity) AS activities, sum(n)::BIGINT AS n_events FROM r GROUP BY resources")(lambda log: tables.roles(log))
 query("activity_threshold", ", k AS (SELECT activity, count(*) AS n FROM e GROUP BY ALL), l AS (SELECT n, lag(n) OVER (ORDER BY n DESC) AS before FROM k), x AS (SELECT max(n) FILTER (n <= before * 0.9::DOUBLE) AS cut FROM l) SELECT min(n) AS threshold FROM l, x WHERE cut IS NULL OR n > cut")(
     lambda log: tables.threshold(log.groupBy("activity").agg(F.count("*").alias("n")), 0.9)
 )
@@ -146,8 +152,8 @@ kept(
 kept("filter_trace_pattern", ", t AS (SELECT case_id, chr(31) || array_to_string(variant, chr(31)) || chr(31) AS t FROM v) SELECT case_id, event_idx, activity FROM e WHERE case_id IN (SELECT case_id FROM t WHERE contains(t, chr(31) || 'error' || chr(31) || 'error' || chr(31) || 'view' || chr(31)))", lambda log: filters.trace_pattern(log, ["error", "error", "view"]))
 query("collapse_times", "SELECT case_id, us, array_to_string(list_sort(list(activity)), ' & ') AS activity FROM e GROUP BY ALL")(filters.collapse_times)
 query("sojourn", "SELECT activity, count(*) AS n, 3600.0::DOUBLE AS mean_s, 3600.0::DOUBLE AS min_s, 3600.0::DOUBLE AS max_s, count(*) * 3600.0::DOUBLE AS sum_s FROM e GROUP BY ALL")(lambda log: statistics.sojourn(log.withColumn("start_us", F.col("us") - 3_600_000_000)))
-query("variant_paths", "SELECT array_to_string(variant, ',') AS variant, p AS position, activity AS a, b, count(*) AS n, round(avg((us2 - us) / 1e6), 3) AS mean_s FROM s JOIN v USING (case_id) WHERE b IS NOT NULL AND case_id % 25 = 0 GROUP BY ALL")(
-    lambda log: statistics.variant_paths(log.where("case_id % 25 = 0")).select(F.array_join("variant", ",").alias("variant"), "position", "a", "b", "n", F.round("mean_s", 3).alias("mean_s"))
+query("variant_paths", "SELECT array_to_string(variant, ',') AS variant, p AS position, activity AS a, b, count(*) AS n, round(avg((us2 - us) / 1e6), 3) AS mean_s FROM s JOIN v USING (case_id) WHERE b IS NOT NULL GROUP BY ALL")(
+    lambda log: statistics.variant_paths(log).select(F.array_join("variant", ",").alias("variant"), "position", "a", "b", "n", F.round("mean_s", 3).alias("mean_s"))
 )
 query("concurrent_pairs", "SELECT least(x.activity, y.activity) AS a, greatest(x.activity, y.activity) AS b, count(*) AS n FROM e x JOIN e y ON x.case_id = y.case_id AND (x.us, x.event_idx) < (y.us, y.event_idx) AND y.us - 3600000000 <= x.us GROUP BY ALL")(lambda log: relations.concurrent_pairs(log.withColumn("start_us", F.col("us") - 3_600_000_000)))
 kept("prefixes_of_length", "SELECT case_id, event_idx, activity FROM s WHERE p < 3", lambda log: features.prefixes_of(log, 3))

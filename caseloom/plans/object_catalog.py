@@ -21,7 +21,8 @@ from .catalog import O as PLAIN
 O = (  # noqa: E741
     PLAIN.replace("epoch_us(o_orderdate) AS us FROM orders", "epoch_us(o_orderdate) AS us, o_totalprice::DOUBLE AS total, o_orderpriority AS priority FROM orders", 1)
     + """, obj AS (SELECT DISTINCT oid, type, balance FROM rel JOIN (SELECT 'c' || c_custkey AS oid, c_acctbal::DOUBLE AS balance FROM customer UNION ALL SELECT 's' || s_suppkey, s_acctbal::DOUBLE FROM supplier) USING (oid)),
-few AS (SELECT * FROM rel WHERE type = 'customer' AND eid % 3 = 0 UNION ALL SELECT * FROM rel WHERE type = 'supplier' AND eid % 97 = 0),
+few AS (SELECT o_orderkey AS eid, 'c' || o_custkey AS oid, 'customer' AS type FROM orders
+  UNION SELECT l_orderkey, 'i' || l_orderkey || '-' || l_linenumber || l_returnflag, 'item ' || l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 """
 )
 OUT = " SELECT eid, oid FROM "
@@ -38,11 +39,14 @@ def rich_log(spark: SparkSession, sf_dir: str) -> objects.ObjectLog:
 
 
 def sparse_log(spark: SparkSession, sf_dir: str) -> objects.ObjectLog:
-    """A log of several components: customers at orders divisible by 3, suppliers at orders divisible by 97."""
-    log = rich_log(spark, sf_dir)
-    rows = log.relations.join(log.objects.select("oid", "type"), "oid")
-    met = ((F.col("type") == "customer") & (F.col("eid") % 3 == 0)) | ((F.col("type") == "supplier") & (F.col("eid") % 97 == 0))
-    return of.of_relations(log, rows.where(met).select("eid", "oid"))
+    """Orders as events; customers and the items of orders as objects: a component for each customer."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    events = orders.select(F.col("o_orderkey").alias("eid"), F.col("o_orderstatus").alias("activity"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
+    customers = orders.select(F.col("o_orderkey").alias("eid"), F.concat(F.lit("c"), "o_custkey").alias("oid"), F.lit("customer").alias("type"))
+    parts = items.select(F.col("l_orderkey").alias("eid"), F.concat(F.lit("i"), "l_orderkey", F.lit("-"), "l_linenumber", "l_returnflag").alias("oid"), F.concat(F.lit("item "), "l_returnflag").alias("type"))
+    rows = customers.union(parts).distinct()
+    return objects.ObjectLog(events, rows.select("oid", "type").distinct(), rows.select("eid", "oid"))
 
 
 def add(name: str, sql: str, f: Callable[[objects.ObjectLog], DataFrame], source=rich_log, recursive: bool = False) -> None:
@@ -58,20 +62,20 @@ def filtered(name: str, sql: str, f: Callable[[objects.ObjectLog], objects.Objec
 # Filters: attributes, types, activities, counts, ends, time
 filtered("oc_filter_event_attribute", "eid IN (SELECT eid FROM ev WHERE priority IN ('1-URGENT', '2-HIGH'))", lambda log: of.events_where(log, F.col("priority").isin("1-URGENT", "2-HIGH")))
 filtered("oc_filter_event_number", "eid NOT IN (SELECT eid FROM ev WHERE total > 150000)", lambda log: of.events_where(log, F.col("total") > 150000, positive=False))
-filtered("oc_filter_object_attribute", "oid IN (SELECT oid FROM obj WHERE balance > 5000)", lambda log: of.objects_where(log, F.col("balance") > 5000))
+filtered("oc_filter_object_attribute", ", y AS (SELECT oid FROM obj WHERE balance > 5000) SELECT eid, oid FROM rel JOIN y USING (oid)", lambda log: of.objects_where(log, F.col("balance") > 5000))
 filtered("oc_filter_types", "type = 'supplier'", lambda log: of.types(log, ["supplier"]))
 filtered("oc_filter_objects", "oid IN ('c1', 'c7', 's3', 's10')", lambda log: of.objects_where(log, F.col("oid").isin("c1", "c7", "s3", "s10")))
 filtered("oc_filter_events", "eid % 10 = 0", lambda log: of.events_where(log, F.col("eid") % 10 == 0))
 filtered(
     "oc_filter_allowed_activities",
-    "(eid, oid) IN (SELECT (eid, oid) FROM j WHERE type = 'customer' AND activity = 'F' OR type = 'supplier' AND activity IN ('O', 'P'))",
+    ", y AS (SELECT * FROM j WHERE type = 'customer' AND activity = 'F' OR type = 'supplier' AND activity IN ('O', 'P')) SELECT eid, oid FROM y",
     lambda log: of.activities_of_types(log, {"customer": ["F"], "supplier": ["O", "P"]}),
 )
 filtered("oc_filter_type_counts", "eid IN (SELECT eid FROM rel GROUP BY eid HAVING count(*) FILTER (type = 'customer') >= 1 AND count(*) FILTER (type = 'supplier') >= 4)", lambda log: of.least_objects(log, {"customer": 1, "supplier": 4}))
-filtered("oc_filter_start_events", "eid IN (SELECT first_eid FROM ends WHERE oid LIKE 'c%')", lambda log: of.end_events(log, "customer"))
-filtered("oc_filter_end_events", "eid IN (SELECT last_eid FROM ends WHERE oid LIKE 's%')", lambda log: of.end_events(log, "supplier", last=True))
+filtered("oc_filter_start_events", ", y AS (SELECT DISTINCT first_eid AS eid FROM ends WHERE oid LIKE 'c%') SELECT eid, oid FROM rel JOIN y USING (eid)", lambda log: of.end_events(log, "customer"))
+filtered("oc_filter_end_events", ", y AS (SELECT DISTINCT last_eid AS eid FROM ends WHERE oid LIKE 's%') SELECT eid, oid FROM rel JOIN y USING (eid)", lambda log: of.end_events(log, "supplier", last=True))
 filtered("oc_filter_time", "eid IN (SELECT eid FROM ev WHERE us BETWEEN 800000000000000 AND 850000000000000)", lambda log: of.in_time(log, 800_000_000_000_000, 850_000_000_000_000))
-filtered("oc_filter_connected_activities", "(eid, oid) IN (SELECT (eid, oid) FROM j WHERE activity IN (SELECT activity FROM j WHERE type = 'supplier'))", lambda log: of.activities_seen_with(log, "supplier"))
+filtered("oc_filter_connected_activities", ", y AS (SELECT DISTINCT activity FROM j WHERE type = 'supplier') SELECT eid, oid FROM j JOIN y USING (activity)", lambda log: of.activities_seen_with(log, "supplier"))
 filtered("oc_filter_relations", "type = 'customer' AND eid % 2 = 0", lambda log: of.of_relations(log, log.joined("customer").where("eid % 2 = 0").select("eid", "oid")))
 
 # Components over shared events (SQL: reachability from every object, by rounds)
@@ -81,9 +85,9 @@ comp AS (SELECT oid, min(other) AS component FROM reach GROUP BY oid)
 """
 FEW = "SELECT eid, oid FROM few WHERE oid IN "
 add("oc_components", COMP + "SELECT oid, component FROM comp", of.object_components, sparse_log, True)
-add("oc_component_of_object", COMP + FEW + "(SELECT oid FROM comp WHERE component = (SELECT component FROM comp WHERE oid = 's3')) OR oid = 's3'", lambda log: of.component_of(log, "s3").relations.select("eid", "oid"), sparse_log, True)
-add("oc_components_of_size", COMP + FEW + "(SELECT oid FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) BETWEEN 2 AND 12))", lambda log: of.components_of_size(log, 2, 12).relations.select("eid", "oid"), sparse_log, True)
-add("oc_components_with_type", COMP + FEW + "(SELECT oid FROM comp WHERE component IN (SELECT component FROM comp WHERE oid LIKE 'c%'))", lambda log: of.components_with_type(log, "customer").relations.select("eid", "oid"), sparse_log, True)
+add("oc_component_of_object", COMP + FEW + "(SELECT oid FROM comp WHERE component = (SELECT component FROM comp WHERE oid = 'c7')) OR oid = 'c7'", lambda log: of.component_of(log, "c7").relations.select("eid", "oid"), sparse_log, True)
+add("oc_components_of_size", COMP + FEW + "(SELECT oid FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) BETWEEN 2 AND 40))", lambda log: of.components_of_size(log, 2, 40).relations.select("eid", "oid"), sparse_log, True)
+add("oc_components_with_type", COMP + FEW + "(SELECT oid FROM comp WHERE component IN (SELECT component FROM comp JOIN few USING (oid) WHERE type = 'item R'))", lambda log: of.components_with_type(log, "item R").relations.select("eid", "oid"), sparse_log, True)
 add("oc_components_with_activity", COMP + FEW + "(SELECT oid FROM comp WHERE component IN (SELECT component FROM comp JOIN few USING (oid) JOIN ev USING (eid) WHERE activity = 'P'))", lambda log: of.components_with_activity(log, "P").relations.select("eid", "oid"), sparse_log, True)
 add("oc_split_by_component", COMP + "SELECT DISTINCT coalesce(component, oid) AS component, eid FROM few LEFT JOIN comp USING (oid)", tools.split_by_component, sparse_log, True)
 add(
@@ -99,7 +103,10 @@ X = "x AS (SELECT 1) "
 add("oc_attribute_names", X + "SELECT * FROM (VALUES ('event', 'total'), ('event', 'priority'), ('object', 'balance')) t(level, name)", tools.attribute_names)
 add("oc_attributes_by_activity", X + "SELECT activity AS kind, name FROM (SELECT DISTINCT activity FROM ev) CROSS JOIN (VALUES ('total'), ('priority')) t(name)", lambda log: tools.attributes_by_kind(log.events, "activity", ("eid", "us")))
 LEAST = X + ", least AS (SELECT oid, activity, us, min(eid) AS keep FROM j GROUP BY ALL)"
-add("oc_merged_duplicates", LEAST + ", to_ AS (SELECT eid, min(keep) AS keep FROM j JOIN least USING (oid, activity, us) GROUP BY eid) SELECT DISTINCT keep AS eid, oid FROM rel JOIN to_ USING (eid)", lambda log: tools.merged_duplicates(log).relations)
+MERGED = """, pair AS (SELECT DISTINCT eid AS a, keep AS b FROM j JOIN least USING (oid, activity, us) WHERE eid <> keep), links AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach(eid, other) AS (SELECT a, a FROM links UNION SELECT reach.eid, links.b FROM reach JOIN links ON links.a = reach.other), to_ AS (SELECT eid, min(other) AS keep FROM reach GROUP BY eid)
+SELECT DISTINCT coalesce(keep, eid) AS eid, oid FROM rel LEFT JOIN to_ USING (eid)"""
+add("oc_merged_duplicates", LEAST + MERGED, lambda log: tools.merged_duplicates(log).relations, recursive=True)
 add("oc_without_duplicates", LEAST + " SELECT DISTINCT keep AS eid, oid FROM least", lambda log: tools.without_duplicates(log).relations)
 add("oc_index_time", X + "SELECT eid, us + row_number() OVER (PARTITION BY us ORDER BY eid) - 1 AS us FROM ev", lambda log: tools.with_index_time(log).events.select("eid", "us"))
 add("oc_renamed_objects", X + "SELECT oid, type || '_' || row_number() OVER (PARTITION BY type ORDER BY a, b, oid) AS name FROM (SELECT oid, type, min(us) AS a, max(us) AS b FROM j GROUP BY ALL)", tools.renamed_objects)
@@ -128,6 +135,32 @@ add(
     lambda log: tools.link_analysis(log.events, F.col("eid") + 1, F.col("eid") - 1),
 )
 
+NEXT = "nxt AS (SELECT * FROM (SELECT eid, lead(eid) OVER (PARTITION BY oid ORDER BY us, eid) AS eid_2 FROM j WHERE type = 'customer') WHERE eid_2 IS NOT NULL)"
+add("oc_first_links", NEXT + " SELECT eid, eid_2 FROM nxt", lambda log: tools.first_links(_customers(log), "customer", "customer"))
+add("oc_linked_chains", NEXT + ", chain(eid, eid_2) AS (SELECT eid, eid_2 FROM nxt UNION SELECT chain.eid, nxt.eid_2 FROM chain JOIN nxt ON nxt.eid = chain.eid_2) SELECT eid, eid_2 FROM chain", lambda log: tools.linked_chains(tools.first_links(_customers(log), "customer", "customer")), recursive=True)
+
+
+def _customers(log: objects.ObjectLog) -> DataFrame:
+    return log.joined("customer").select("eid", "us", F.col("oid").alias("customer"))
+
+
+def _priorities(spark: SparkSession, sf_dir: str) -> objects.ObjectLog:
+    """Orders as events; their priorities and customers as objects."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    events = orders.select(F.col("o_orderkey").alias("eid"), F.col("o_orderstatus").alias("activity"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
+    rows = orders.select(F.col("o_orderkey").alias("eid"), F.concat(F.lit("c"), "o_custkey").alias("oid"), F.lit("customer").alias("type")).union(orders.select("o_orderkey", "o_orderpriority", F.lit("priority"))).distinct()
+    return objects.ObjectLog(events, rows.select("oid", "type").distinct(), rows.select("eid", "oid"))
+
+
+add(
+    "oc_relatives",
+    """r AS (SELECT o_orderkey AS eid, 'c' || o_custkey AS oid, epoch_us(o_orderdate) AS us, false AS own FROM orders UNION SELECT o_orderkey, o_orderpriority, epoch_us(o_orderdate), true FROM orders),
+st AS (SELECT oid, own, min(us) AS us FROM r GROUP BY ALL), up AS (SELECT DISTINCT x.oid AS a, y.oid AS b FROM r x JOIN r y ON x.eid = y.eid AND x.oid <> y.oid JOIN st sx ON sx.oid = x.oid JOIN st sy ON sy.oid = y.oid WHERE sx.us < sy.us OR sx.us = sy.us AND sx.own),
+des(central, oid) AS (SELECT oid, oid FROM st WHERE own UNION SELECT central, b FROM des JOIN up ON a = oid), anc(central, oid) AS (SELECT oid, oid FROM st WHERE own UNION SELECT central, a FROM anc JOIN up ON b = oid)
+SELECT central, oid FROM des UNION SELECT central, oid FROM anc""",
+    lambda log: tools.relatives(log, "priority"), _priorities, True,
+)
+
 
 def _interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Click events and the others of each user, taken as two logs of paired cases."""
