@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import dropped, kept
 from ..schema import in_case
 
 
@@ -79,3 +80,30 @@ def group_metrics(log: DataFrame, group: str) -> DataFrame:
     focus = F.col("n") / F.sum("n").over(Window.partitionBy("grp"))
     stake = F.col("n") / F.sum("n").over(Window.partitionBy("activity"))
     return out.select(F.col("grp").alias("group"), "activity", focus.alias("focus"), stake.alias("stake"), (F.col("r") / F.col("size")).alias("coverage"))
+
+
+def similar_roles(log: DataFrame, threshold: float = 0.65) -> DataFrame:
+    """(role, activity): roles of activities whose resources are alike, named by their first activity.
+
+    The likeness of two roles is the sum over resources of the smaller of their shares of events, by that of the larger.  In rounds,
+    each role looks for the likest other above ``threshold`` (ties: the first names); two that choose each other become one, with the sum
+    of their events, until none are left.  Only roles that share a resource are compared.  Activities without any resource are left out.
+    """
+    work = kept(log.where("resource IS NOT NULL").groupBy(F.col("activity").alias("role"), "resource").agg(F.count("*").alias("n")), "work")
+    members = kept(work.select(F.col("role").alias("activity"), "role").distinct(), "members")
+    while True:
+        share = work.join(work.groupBy("role").agg(F.sum("n").alias("total")), "role").select("role", "resource", (F.col("n") / F.col("total")).alias("share"))
+        x, y = share.toDF("x", "resource", "sx"), share.toDF("y", "resource", "sy")
+        small = x.join(y, "resource").where("x <> y").groupBy("x", "y").agg(F.sum(F.least("sx", "sy")).alias("m"))
+        # Both sum to one, so the larger shares sum to 2 - m; rounded, so that the order of sums decides no tie.
+        like = small.withColumn("like", F.round(F.col("m") / (2 - F.col("m")), 9)).where(F.col("like") > threshold)
+        best = like.groupBy("x").agg(F.min(F.struct((-F.col("like")).alias("l"), F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"), "y")).alias("b")).select("x", F.col("b.y").alias("y"))
+        best = kept(best, "best")
+        pairs = kept(best.join(best.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_semi").where("x < y").select(F.col("y").alias("role"), F.col("x").alias("to")), "pairs")
+        if pairs.isEmpty():
+            return members.select("role", "activity")
+        renamed = lambda df: df.join(pairs, "role", "left").withColumn("role", F.coalesce("to", "role")).drop("to")  # noqa: B023, E731
+        new_work = kept(renamed(work).groupBy("role", "resource").agg(F.sum("n").alias("n")), "work")
+        new_members = kept(renamed(members).select("activity", "role"), "members")
+        dropped(work, members, best, pairs)
+        work, members = new_work, new_members
