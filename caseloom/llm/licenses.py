@@ -2,8 +2,9 @@
 
 Normalised words are ``[a-z0-9]+`` after A-Z went to lower case, so line breaks and signs don't matter; a set holds distinct pairs
 of neighbouring words.  As 2 * |A and B| / (|A| + |B|) can reach t only if t / (2 - t) <= |A| / |B| <= (2 - t) / t, a text
-that holds fewer than t / (2 - t) of a template's bigrams is not compared with it, nor are windows outside the bounds.  Of the texts
-left, windows of about the template's length that begin with one of its bigrams are compared, wherever they stand.
+that holds fewer than t / (2 - t) of a template's bigrams is not compared with it, nor is any window outside the bounds.  Of the texts
+left every window counts: one that begins or ends beside a template's bigram is never better than without it, so windows run from
+one place of a template's bigram to another, and their distinct pairs are counted as the beginning moves.
 """
 
 from __future__ import annotations
@@ -49,9 +50,14 @@ TEMPLATES = {
     "BSD-2-Clause": _BSD_TWO + _NO_WARRANTY_BSD,
     "BSD-3-Clause": _BSD_TWO + _BSD_THIRD + _NO_WARRANTY_BSD,
     "BSL-1.0": (
-        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "
-        "\"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom "
-        "the Software is furnished to do so, all subject to the following:"
+        "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of "
+        "the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, "
+        "including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of "
+        "the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "
+        "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND "
+        "NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -98,6 +104,15 @@ TEMPLATES = {
         "http://mozilla.org/MPL/2.0/."
     ),
     "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+        "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this "
+        "software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our "
+        "heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"
+    ),
+    "Unlicense notice": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
         "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
     ),
@@ -109,6 +124,7 @@ TEMPLATES = {
         "being the original software. 3. This notice may not be removed or altered from any source distribution."
     ),
 }
+COUNT = 256  # bigrams of a block whose marks are summed
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = False
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -124,11 +140,6 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def window_words(n: int) -> list[int]:
-    """Lengths of windows in words for a template of n: four fifths, all and five quarters of it."""
-    return sorted({max(2, 4 * n // 5), n, 5 * n // 4})
-
-
 def _pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the bigram that begins at each word, of the last word of a row too, first word of each row)."""
     words, first = word_hashes(data, offsets, space=_OTHER)
@@ -145,12 +156,11 @@ class Templates:
             data = np.frombuffer(text.encode(), np.uint8)
             pairs, _ = _pairs(data, np.array([0, len(data)]))
             if len(pairs):
-                sets[name] = np.unique(pairs), len(pairs) + 1
+                sets[name] = np.unique(pairs)
         self.names = list(sets)
-        self.grams = np.unique(np.concatenate([g for g, _ in sets.values()])) if sets else np.zeros(0, np.uint64)
-        self.held = np.array([np.isin(self.grams, g) for g, _ in sets.values()]).reshape(len(sets), len(self.grams))
+        self.grams = np.unique(np.concatenate(list(sets.values()))) if sets else np.zeros(0, np.uint64)
+        self.held = np.array([np.isin(self.grams, g) for g in sets.values()]).reshape(len(sets), len(self.grams))
         self.size = self.held.sum(1)
-        self.words = [window_words(n) for _, n in sets.values()]
 
     def scan(self, pairs: np.ndarray, at: np.ndarray, which: np.ndarray) -> Iterator[tuple[str, float, int, int]]:
         """(name, best Dice, first word of the best window, windows' beginnings at the threshold or above) of one text.
@@ -158,34 +168,75 @@ class Templates:
         pairs: its bigrams in order; at, which: the places that hold a template's bigram, and its number.
         """
         shared = self.held[:, np.unique(which)].sum(1)
+        near: tuple | None = None
         for t in np.flatnonzero(shared >= self.size * self.least - 1e-9).tolist():
             own = self.held[t][which]
-            place, gram = at[own], which[own]
-            best, start, hits = 0.0, 0, 0
-            for a in place.tolist():
-                found = 0.0
-                for n in self.words[t]:
-                    end = min(a + n - 1, len(pairs))
-                    low, high = np.searchsorted(place, (a, end))
-                    both = len(np.unique(gram[low:high]))
-                    if both * 2.0 / (both + self.size[t]) < self.threshold - 1e-9:  # even if the window held nothing else
-                        continue
-                    found = max(found, 2.0 * both / (len(np.unique(pairs[a:end])) + int(self.size[t])))
-                if found >= self.threshold:
-                    hits += 1
-                    if found > best:
-                        best, start = found, a
-            if hits:
-                yield self.names[t], best, start, hits
+            near = near or _neighbours(pairs)
+            found = _best_windows(len(pairs), *near, at[own], which[own], int(self.size[t]), self.least)
+            hits = found >= self.threshold
+            if hits.any():
+                best = int(found.argmax())
+                yield self.names[t], float(found[best]), int(at[own][best]), int(hits.sum())
+
+
+def _neighbours(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place those of the same bigram before (-1: none) and after it (the length: none)."""
+    order = np.argsort(pairs, kind="stable")
+    same = pairs[order[1:]] == pairs[order[:-1]]
+    before, after = np.full(len(pairs), -1), np.full(len(pairs), len(pairs))
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    return before, after
+
+
+def _best_windows(n: int, before: np.ndarray, after: np.ndarray, place: np.ndarray, gram: np.ndarray, size: int, least: float) -> np.ndarray:
+    """The best Dice of all windows that begin at each place of a template's bigrams (0 where none is within the bounds).
+
+    Beginnings go from the last to the first.  first marks the first occurrence of each bigram from the beginning on, so the marks up
+    to an end count a window's distinct bigrams; ``nearest`` has the template's among them, whose sorted places are the ends that
+    can be best.  Marks are counted by blocks, so the cost of a beginning grows with the template, not with the text.
+    """
+    first, blocks = np.zeros(-(-n // COUNT) * COUNT, np.uint8), np.zeros(-(-n // COUNT), np.int64)
+    numbers, gram = np.unique(gram, return_inverse=True)
+    nearest = np.full(len(numbers), n)
+    enough, most = max(1, int(np.ceil(least * size - 1e-9))), size / least + 1e-9
+    out = np.zeros(len(place))
+    upto = n
+    for k in range(len(place) - 1, -1, -1):
+        a = int(place[k])
+        fresh = np.flatnonzero(before[a:upto] < a) + a
+        gone = after[a:upto]
+        gone = gone[(gone >= upto) & (gone < n)]
+        first[fresh] = 1
+        first[gone] = 0
+        np.add.at(blocks, fresh // COUNT, 1)
+        np.subtract.at(blocks, gone // COUNT, 1)
+        upto = a
+        nearest[gram[k]] = a
+        ends = np.sort(nearest)
+        held = int(np.searchsorted(ends, n))
+        if held < enough:
+            continue
+        ends = ends[enough - 1 : held]
+        b = a // COUNT
+        sums = np.cumsum(blocks[b : int(ends[-1]) // COUNT + 1])
+        inside = np.cumsum(first.reshape(-1, COUNT)[ends // COUNT], axis=1)[np.arange(len(ends)), ends % COUNT]
+        total = sums[ends // COUNT - b] - blocks[ends // COUNT] + inside
+        good = total <= most
+        if good.any():
+            both = np.arange(enough, held + 1)[good]
+            out[k] = (2.0 * both / (total[good] + size)).max()
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, license, dice: the best, start: the first word of the best window, n_windows) for each document and licence found.
 
-    Windows have four fifths, all or five quarters of a template's words (fewer at a text's end), begin with one of its bigrams and
-    count, by their beginnings, if one of them reaches the threshold.  Of equally good windows the first is told.  A null or empty
-    text and one of a single word match nothing; templates need two words.  Of rows with one id, repeated rows too, the windows
-    add up; a null id is one document.  Whole texts are read, a text at a time however long; only findings are shuffled.
+    All windows of a text's words that begin and end with one of the template's bigrams are compared; they count, by their
+    beginnings, if one reaches the threshold.  Of equally good windows the first is told.  A null or empty text and one of a single
+    word match nothing; templates need two words.  Of rows with one id, repeated rows too, the windows add up; a null id is one
+    document.  An empty table gives no row, other columns are not read.  Whole texts are read, a text at a time however long; only findings
+    are shuffled.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

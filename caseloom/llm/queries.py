@@ -139,23 +139,24 @@ FROM kept
 
 LICENSE_SQL = r"""
 WITH templates AS (
-  SELECT t.name, t.grams, t.lengths FROM (SELECT unnest([{rows}]) AS t)
+  SELECT t.name, t.grams FROM (SELECT unnest([{rows}]) AS t)
 ), words AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents
 ), grams AS (
-  SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM words WHERE len(w) >= 2
+  SELECT doc_id, rid, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM words WHERE len(w) >= 2
 ), possible AS (
-  SELECT doc_id, name, g, grams, lengths FROM grams JOIN templates ON len(list_intersect(list_distinct(g), grams)) >= len(grams) * (0.8::DOUBLE / 1.2) - 1e-9
-), begun AS (
-  SELECT *, unnest(list_filter(range(1, len(g) + 1), lambda i: list_contains(grams, g[i]))) AS i FROM possible
-), sized AS (
-  SELECT doc_id, name, g, grams, i, unnest(lengths) AS m FROM begun
+  SELECT doc_id, rid, name, g, grams FROM grams JOIN templates ON len(list_intersect(list_distinct(g), grams)) >= len(grams) * (0.8::DOUBLE / 1.2) - 1e-9
+), places AS (
+  SELECT doc_id, rid, name, len(grams) AS size, unnest(range(1, len(g) + 1)) AS p, unnest(g) AS gram, grams FROM possible
+), marked AS (
+  SELECT doc_id, rid, name, size, p, list_contains(grams, gram) AS own, coalesce(lag(p) OVER (PARTITION BY rid, name, gram ORDER BY p), 0) AS before FROM places
 ), windows AS (
-  SELECT doc_id, name, grams, i, list_distinct(g[i:least(i + m - 2, len(g))]) AS v FROM sized
+  SELECT a.doc_id, a.rid, a.name, a.size, a.p, sum((e.before < a.p)::INT) OVER w AS total, sum((e.own AND e.before < a.p)::INT) OVER w AS both_
+  FROM marked a JOIN marked e ON e.rid = a.rid AND e.name = a.name AND e.p >= a.p WHERE a.own WINDOW w AS (PARTITION BY a.rid, a.name, a.p ORDER BY e.p)
 ), scored AS (
-  SELECT doc_id, name, i, max(2.0::DOUBLE * len(list_intersect(v, grams)) / (len(v) + len(grams))) AS dice FROM windows GROUP BY ALL
+  SELECT doc_id, rid, name, p, max(2.0::DOUBLE * both_ / (total + size)) AS dice FROM windows GROUP BY ALL
 )
-SELECT doc_id, name AS license, max(dice) AS dice, arg_max(i - 1, (dice, -i)) AS start, count(*) AS n_windows FROM scored WHERE dice >= 0.8 GROUP BY ALL
+SELECT doc_id, name AS license, max(dice) AS dice, arg_max(p - 1, (dice, -p)) AS start, count(*) AS n_windows FROM scored WHERE dice >= 0.8 GROUP BY doc_id, name
 """
 
 INFILL_SQL = r"""
@@ -208,7 +209,7 @@ QUALIFY rank <= 10
 
 def _license_rows() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"{{'name': {quoted(n)}, 'grams': [{', '.join(map(quoted, licenses.bigrams(t)))}], 'lengths': {licenses.window_words(len(licenses.words_of(t)))}}}" for n, t in licenses.TEMPLATES.items())
+    return ", ".join(f"{{'name': {quoted(n)}, 'grams': [{', '.join(map(quoted, licenses.bigrams(t)))}]}}" for n, t in licenses.TEMPLATES.items())
 
 
 ORACLE_SQL: dict[str, str] = {
