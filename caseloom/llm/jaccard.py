@@ -28,6 +28,7 @@ from .textnum import mix, shingle_sets, text_chunks
 
 BITS, CLASSES, SKETCH, SMALL_GROUP = 1 << 22, 32, 48, 8
 FREQUENT_SHARE, FREQUENT_LEAST = 5e-4, 8
+LEVEL = 12  # sets of 2 ** (LEVEL + k) tokens or more have 2 ** k times the classes
 _A, _B, _ALONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -43,14 +44,23 @@ def need_of(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def classes_of(n: int) -> int:
+    """Classes of frequent tokens of a set of n tokens: a power of two, so that tokens of one class are of one class among fewer, too."""
+    return CLASSES << max(0, (n >> LEVEL).bit_length() - 1)
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int, int, int]:
-    """(single signatures, combined signatures, tokens after the prefix, frequent tokens in it, rare tokens in it)."""
+    """(single signatures, combined signatures, tokens after the prefix, frequent tokens in it, rare tokens in it).
+
+    The prefix is long enough for the set's own classes; pairs are signed by the classes of the smallest set that may link, which are as
+    many or fewer and so sign the pairs of both.
+    """
     need = need_of(len(tokens), percent)
     rare = tokens[~frequent]
     if len(rare) >= need:
         return rare[:need], rare[:0], len(tokens) - need, 0, need
     hot = tokens[frequent]
-    kind = (hot >> np.uint64(40)).astype(np.int64) % CLASSES
+    kind = (hot >> np.uint64(40)).astype(np.int64) % classes_of(len(tokens))
     order = np.argsort(kind, kind="stable")
     first = np.zeros(len(hot), bool)
     first[order[np.r_[True, kind[order][1:] != kind[order][:-1]]]] = len(hot) > 0
@@ -59,8 +69,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     alone = not len(enough)
     stop = len(hot) if alone else int(enough[0]) + 1
     made = []
-    for c in np.unique(kind[:stop]).tolist():
-        own = hot[:stop][kind[:stop] == c]
+    kind = kind[:stop] % classes_of(-(-len(tokens) * percent // 100))
+    order = np.argsort(kind, kind="stable")
+    for own in np.split(hot[:stop][order], np.flatnonzero(np.diff(kind[order])) + 1):
         i, j = np.triu_indices(len(own), 1)
         made.append(mix(own[i] * _A + own[j] * _B))
     if alone:

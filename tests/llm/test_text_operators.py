@@ -264,3 +264,33 @@ def test_components_of_ascending_chain(spark):
     links = [(k, k + 1) for k in range(300)] + [(k, 2000) for k in range(1000, 1040)] + [(5000, 4000)]
     found = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert found == {**dict.fromkeys(range(301), 0), **dict.fromkeys([*range(1000, 1040), 2000], 1000), 4000: 4000, 5000: 4000}
+
+
+@pytest.mark.parametrize("level", [3, 5, 12])
+def test_linked_sets_share_a_signature(monkeypatch, level):
+    """Across the sizes at which the number of classes grows, with rare and frequent tokens."""
+    monkeypatch.setattr(jaccard, "LEVEL", level)
+    monkeypatch.setattr(jaccard, "CLASSES", 2)
+    rng = np.random.default_rng(level)
+    linked = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 160))
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        m = int(rng.integers(0, len(base) // 5 + 2))
+        other = np.unique(np.r_[rng.permutation(base)[: len(base) - m], rng.integers(0, 1 << 63, int(rng.integers(0, len(base) // 5 + 1)), dtype=np.uint64)])
+        both = len(np.intersect1d(base, other))
+        if not both or both * 100 < 80 * (len(base) + len(other) - both):
+            continue
+        linked += 1
+        rare = rng.choice([0, 3, 5])  # of eight
+        sigs = [jaccard.signatures(t, (t & np.uint64(7)).astype(int) >= rare, 80) for t in (base, other)]
+        assert set(sigs[0][0]) & set(sigs[1][0]) or set(sigs[0][1]) & set(sigs[1][1])
+    assert linked > 300
+
+
+def test_signatures_grow_with_the_set():
+    """Of a set of frequent tokens only: about as many signatures as five times its size, however long the text."""
+    for n in (8_000, 20_000, 100_000, 500_000):
+        tokens = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+        single, combined, *_ = jaccard.signatures(tokens, np.ones(len(tokens), bool), 80)
+        assert not len(single) and len(combined) < 12 * n
