@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import trimmed
 from .shared import bounded, components, kept
 from .textnum import mix, shingle_sets, text_chunks
 
@@ -142,7 +143,7 @@ def _long_batches(parts: Iterator[tuple[np.ndarray, ...]], names: list[str], mos
 
 
 def _counted(texts: DataFrame, run, least: int) -> DataFrame:
-    return texts.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("token").bitwiseAND(BITS - 1).alias("bit")).distinct()
+    return texts.mapInArrow(trimmed(run), "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("token").bitwiseAND(BITS - 1).alias("bit")).distinct()
 
 
 def frequent_bits(texts: DataFrame, length: int) -> np.ndarray:
@@ -219,7 +220,7 @@ def _groups(rows: DataFrame, percent: int) -> DataFrame:
         yield from _long_batches(parts(), ["a", "b", "sig"])
 
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(tasks, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "a long, b long, sig long")
+    return rows.repartition(tasks, "sig").sortWithinPartitions("sig", "node").mapInArrow(trimmed(run), "a long, b long, sig long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
@@ -235,7 +236,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, length: int)
                 some = found[a : a + 500]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([t.tobytes() for _, t in some], pa.large_binary()).cast(pa.binary())], ["node", "tokens"])
 
-    sets = kept(chosen.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    sets = kept(chosen.mapInArrow(trimmed(run), "node long, tokens binary").dropDuplicates(["node"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +250,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, length: int)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in (na, nb, same))], ["a", "b", "na", "nb", "same"])
 
     joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return kept(joined.mapInArrow(compare, "a long, b long, na long, nb long, same long"), "compared")
+    return kept(joined.mapInArrow(trimmed(compare), "a long, b long, na long, nb long, same long"), "compared")
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +278,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (parity, half)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in columns), *lists], ["id", "node", "n", "rest", "hot", "rare", "bits", "half"])
 
-    described = kept(texts.mapInArrow(describe, "id long, node long, n long, rest long, hot long, rare long, bits array<long>, half array<long>"), "described")
+    described = kept(texts.mapInArrow(trimmed(describe), "id long, node long, n long, rest long, hot long, rare long, bits array<long>, half array<long>"), "described")
     some = described.where("n > 0 AND id IS NOT NULL")
     every = [F.max(c).alias(c) for c in ("n", "rest", "hot", "rare")]
     nodes = kept(some.groupBy("node").agg(F.min("id").alias("id"), *every, F.first("bits").alias("bits"), F.first("half").alias("half")), "nodes")
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 80, id_col:
 
             yield from _long_batches(parts(), ["sig", "node", "n"])
 
-        return known.mapInArrow(run, "sig long, node long, n long")
+        return known.mapInArrow(trimmed(run), "sig long, node long, n long")
 
     found = kept(_groups(signed(False), percent), "grouped")
     large = found.where("a = b")

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import trimmed
 from .shared import bounded, kept
 from .textnum import text_chunks
 
@@ -147,7 +148,7 @@ def fit(labelled: DataFrame, most_rows: int = 3000, text_col: str = "text", lang
         model = train([t.encode() for _, t, _ in own], [x for _, _, x in own])
         yield pa.RecordBatch.from_arrays([pa.array([_packed(model)], pa.binary())], ["model"])
 
-    found = sample.select("key", "text", "lang").repartition(1).mapInArrow(run, "model binary").first()
+    found = sample.select("key", "text", "lang").repartition(1).mapInArrow(trimmed(run), "model binary").first()
     return bytes(found["model"]) if found else _packed(train([], []))  # no task runs over an empty sample
 
 
@@ -197,7 +198,7 @@ def identify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
             said, score, accepted = predict(batch, text_col)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(said, pa.string()), pa.array(score), pa.array(accepted)], [id_col, "lang_pred", "score", "accepted"])
 
-    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
+    return bounded(docs).select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
 
 
 def accepted_documents(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:

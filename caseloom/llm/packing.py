@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bytebpe import batch_ids
+from .arrow import trimmed
+from .bytebpe import batch_ids, encoder
 from .shared import bounded
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -146,5 +147,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end
                     yield rows()
         packer.drain()
         yield rows()
+        encoder.cache_clear()  # built in half a second; kept, it would stand beside whatever the worker does next
 
-    return bounded(docs).selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, SCHEMA)
+    return bounded(docs).selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text").mapInArrow(trimmed(run), SCHEMA)

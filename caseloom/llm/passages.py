@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import trimmed
 from .shared import bounded, kept
 from .textnum import mix, run_hashes, text_chunks, word_bounds, word_hashes
 
@@ -86,7 +87,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["id", "digest", "n_words"])
 
-    described = kept(texts.mapInArrow(describe, "id long, digest long, n_words long").distinct(), "described")
+    described = kept(texts.mapInArrow(trimmed(describe), "id long, digest long, n_words long").distinct(), "described")
     whole = described.groupBy("digest", "n_words").agg(F.min("id").alias("holder"), F.count("*").alias("copies"))
     whole = kept(whole, "whole")
 
@@ -102,7 +103,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 ok = fresh[rows]
                 yield pa.RecordBatch.from_arrays([pa.array(s.keys[places[ok]].view(np.int64)), pa.array(digests[rows[ok]])], ["key", "digest"])
 
-    found = texts.mapInArrow(suffixes, "key long, digest long")
+    found = texts.mapInArrow(trimmed(suffixes), "key long, digest long")
     # Neighbours in the order of the first words: a suffix goes on if some other document's equals it there.
     equal = found.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key")
     going = kept(found.distinct().join(equal, "key"), "suffixes")
@@ -140,10 +141,10 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                     )
 
     columns = "key long, left binary, right binary, open long, place long, digest long, holder long"
-    suffix = kept(texts.join(chosen, "id").mapInArrow(contexts, columns).dropDuplicates(["digest", "place"]), "contexts")
-    once = kept(_sorted(suffix, "right").mapInArrow(_compared("right", least, chunk), RESULT), "compared")
+    suffix = kept(texts.join(chosen, "id").mapInArrow(trimmed(contexts), columns).dropDuplicates(["digest", "place"]), "contexts")
+    once = kept(_sorted(suffix, "right").mapInArrow(trimmed(_compared("right", least, chunk)), RESULT), "compared")
     going = once.where("open <> 0")
-    twice = kept(_sorted(going, "left").mapInArrow(_compared("left", least, chunk), RESULT), "compared")
+    twice = kept(_sorted(going, "left").mapInArrow(trimmed(_compared("left", least, chunk)), RESULT), "compared")
     # What crosses ends in both orders: the same question, by the hashes of the runs.
     crossing = twice.where("open <> 0").select("digest", "place", "holder", F.inline("runs"))
     first = crossing.groupBy("run").agg(F.min("holder").alias("first"), F.max("holder").alias("last")).where("first <> last")
@@ -162,7 +163,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
                 rows.append((sum(b - a for a, b in every), later))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], kind)], ["digest", "n_repeated", "spans"])
 
-    spans = kept(by_doc.mapInArrow(joined, "digest long, n_repeated long, spans array<struct<start: long, end: long>>"), "spans")
+    spans = kept(by_doc.mapInArrow(trimmed(joined), "digest long, n_repeated long, spans array<struct<start: long, end: long>>"), "spans")
     out = described.join(whole, ["digest", "n_words"]).join(spans, "digest", "left").where("copies > 1 OR n_repeated > 0")
     copy, later = F.col("copies") > 1, F.col("id") > F.col("holder")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
