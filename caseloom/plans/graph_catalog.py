@@ -1,8 +1,11 @@
-"""Registered queries of graphs filtered by share, and the SQL that says the same."""
+"""Registered queries of graphs filtered by share and of variants with noisy counts, and the SQL that says the same."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import connected_graphs
+from ..operators.private_variants import private_variants
 from .catalog import query
 from .feature_catalog import RECURSIVE, SQL
 
@@ -47,3 +50,24 @@ query("dfg_share_of_paths", "x")(lambda log: connected_graphs.by_paths(_graph(lo
 SQL["dfg_share_of_paths"] = _removed("SELECT *, '' AS name FROM (" + ORDERED.format("n, a, b, kind", "ln") + ")", OPEN.format(0.1), BOTH_ENDS, LINK, "true")
 query("dfg_by_dependency", "x")(lambda log: connected_graphs.by_dependency(_graph(log), 0.01).rows())
 SQL["dfg_by_dependency"] = _removed("SELECT *, '' AS name FROM (" + ORDERED.format("dep, a, b, kind", "w") + ")", "dep < 0.01", BOTH_ENDS, LINK, "true")
+
+# Variants of the days of users with noisy counts; DuckDB grows the tree over all activities at each prefix
+DAY = "days AS (SELECT list(activity ORDER BY us, event_idx) || ['\\0'] AS t FROM e GROUP BY case_id, date_trunc('day', ts)), known AS (SELECT t[:i] AS prefix, count(*) AS cases FROM days, unnest(range(1, len(t) + 1)) r(i) GROUP BY ALL), names AS (SELECT DISTINCT activity AS x FROM e UNION ALL SELECT '\\0')".replace("'\\0'", "chr(0)")
+DRAWN = "trunc(-sign(u) * ln(1 - 2 * abs(u)) / {})::BIGINT"
+TREE = """, {days}, tree AS (SELECT 0 AS level, ''::VARCHAR AS node, []::VARCHAR[] AS prefix, 0::BIGINT AS n UNION ALL
+SELECT * FROM (SELECT level, node, g.prefix, coalesce(cases, 0) + {noise} AS n FROM (SELECT *, (('0x' || substr(sha256('{secret}:' || node), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE - 0.5 AS u FROM
+(SELECT level + 1 AS level, sha256(node || ':' || x) AS node, list_append(prefix, x) AS prefix FROM tree CROSS JOIN names WHERE level < {length} AND (level = 0 OR prefix[-1] <> chr(0)))) g LEFT JOIN known ON known.prefix = g.prefix) WHERE n >= {least})
+SELECT array_to_string(prefix[:-2], ',') AS variant, n FROM tree WHERE level > 0 AND prefix[-1] = chr(0)"""
+
+
+def _daily(log):
+    return log.withColumn("case_id", F.concat_ws(":", "case_id", F.date_trunc("day", "ts")))
+
+
+def _private(name: str, epsilon: float | None, least: int, length: int, secret: str = "") -> None:
+    query(name, "x")(lambda log: private_variants(_daily(log), epsilon, least, length, secret).withColumn("variant", F.array_join("variant", ",")))
+    SQL[name] = RECURSIVE + TREE.format(days=DAY, noise=DRAWN.format(epsilon) if epsilon else "0", secret=secret, length=length, least=least)
+
+
+_private("private_variants", 0.5, 4, 5, "a secret of this release")
+_private("variants_by_prefixes", None, 2, 6)
