@@ -12,11 +12,20 @@ from ..schema import variants
 MOST_ACTIVITIES = 20_000
 
 
-def _encoded(variant: DataFrame, alphabet: DataFrame) -> DataFrame:
-    """(key, text): variants as texts of a character an activity, from which distances are taken."""
+def alphabet_of(names: DataFrame) -> DataFrame:
+    """(activity, letter): a character for each of the names (activity), in their order; more than MOST_ACTIVITIES are refused."""
+    n = names.count()
+    if n > MOST_ACTIVITIES:
+        raise ValueError(f"more than {MOST_ACTIVITIES} activities")
+    code = 0x3400 + F.row_number().over(Window.orderBy("activity"))  # the alphabet; ideographs, below the surrogates
+    return names.select("activity", F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE").alias("letter"))
+
+
+def as_text(rows: DataFrame, alphabet: DataFrame, column: str) -> DataFrame:
+    """rows with ``text``: the activities of a column as a text of a character each, from which distances are taken."""
     letters = alphabet.agg(F.map_from_entries(F.collect_list(F.struct("activity", "letter"))).alias("letters"))  # at most MOST_ACTIVITIES
-    text = F.array_join(F.transform("variant", lambda a: F.element_at("letters", a)), "")
-    return variant.crossJoin(F.broadcast(letters)).select("variant", text.alias("text"))
+    text = F.array_join(F.transform(column, lambda a: F.element_at("letters", a)), "")
+    return rows.crossJoin(F.broadcast(letters)).withColumn("text", text).drop("letters")
 
 
 def nearest_variants(log: DataFrame, other: DataFrame, pivots: int = 8) -> DataFrame:
@@ -29,14 +38,10 @@ def nearest_variants(log: DataFrame, other: DataFrame, pivots: int = 8) -> DataF
     activities are refused.  No row for a log without a variant, or if the other log has none.
     """
     names = log.select("activity").union(other.select("activity")).distinct()
-    n = names.count()
-    if n > MOST_ACTIVITIES:
-        raise ValueError(f"more than {MOST_ACTIVITIES} activities")
-    code = 0x3400 + F.row_number().over(Window.orderBy("activity"))  # the alphabet; ideographs, below the surrogates
-    alphabet = names.select("activity", F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE").alias("letter"))
-    mine = kept(_encoded(variants(log).select("variant").distinct(), alphabet), "variants")
+    alphabet = alphabet_of(names)
+    mine = kept(as_text(variants(log).select("variant").distinct(), alphabet, "variant"), "variants")
     counted = variants(other).groupBy("variant").agg(F.count("*").alias("n"))
-    theirs = kept(_encoded(counted.select("variant"), alphabet).join(counted, "variant"), "variants")
+    theirs = kept(as_text(counted, alphabet, "variant").select("variant", "text", "n"), "variants")
     # A hash breaks ties, so that pivots of a log of single cases are not alike in their first activities.
     chosen = theirs.orderBy(F.desc("n"), F.xxhash64("text"), "text").limit(pivots).select(F.row_number().over(Window.orderBy(F.desc("n"), F.xxhash64("text"), "text")).alias("pivot"), F.col("text").alias("p"))
     every = chosen.agg(F.transform(F.array_sort(F.collect_list(F.struct("pivot", "p"))), lambda x: x["p"]).alias("ps"))  # one row
