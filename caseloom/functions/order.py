@@ -24,3 +24,14 @@ def indexed(df: DataFrame, *keys: str) -> DataFrame:
     offsets = counts.select("part", before.alias("before"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1
     return rows.withColumn("inside", inside).join(F.broadcast(offsets), "part").withColumn("index", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
+def lagged(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """df with ``before``: a column's value in the row before in the order of the keys, null in the first row and after a null value."""
+    rows = ranged(df, *keys)
+    last = rows.groupBy("part").agg(F.max_by(column, F.struct(*keys)).alias("last"))
+    carried = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("carried"))  # a row a range
+    w = Window.partitionBy("part").orderBy(*keys)
+    inside = rows.withColumns({"before": F.lag(column).over(w), "first": F.row_number().over(w) == 1})
+    out = inside.join(F.broadcast(carried), "part", "left")
+    return out.withColumn("before", F.when(F.col("first"), F.col("carried")).otherwise(F.col("before"))).drop("part", "first", "carried")

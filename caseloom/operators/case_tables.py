@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import lagged
 from ..schema import cases, in_case, position
 from .filters import of_cases
 
@@ -141,6 +142,18 @@ def case_rates(log: DataFrame) -> DataFrame:
     return own.join(service, "case_id").select("case_id", "service_s", F.row_number().over(Window.partitionBy("day").orderBy("first_us", "case_id")).alias("arrival_rank"))
 
 
+def case_arrivals(log: DataFrame) -> DataFrame:
+    """(case_id, arrival_s, finish_s): the time from the case before, in the order of the cases' first starts (ends) and ids; 0 for the first.
+
+    Cases are ordered in ranges, so no task sorts them all.
+    """
+    spans = log.groupBy("case_id").agg(F.min("start_us").alias("begin"), F.max("us").alias("finish"))
+    since = lambda c: (F.col(c) - F.coalesce("before", c)) / 1e6
+    arrival = lagged(spans.select("case_id", "begin"), "begin", "begin", "case_id").select("case_id", since("begin").alias("arrival_s"))
+    finish = lagged(spans.select("case_id", "finish"), "finish", "finish", "case_id").select("case_id", since("finish").alias("finish_s"))
+    return arrival.join(finish, "case_id")
+
+
 def resource_durations(log: DataFrame) -> DataFrame:
     """(resource, activity, n, mean_s): how long activities take a resource, from the event before to its own."""
     took = (F.col("us") - F.lag("us").over(in_case())) / 1e6

@@ -75,22 +75,32 @@ def declare_conformance(log: DataFrame, model: DataFrame) -> DataFrame:
     return _summed(log, declare_deviations(log, model), total)
 
 
-def skeleton_conformance(log: DataFrame, model: DataFrame) -> DataFrame:
-    """(case_id, n_constraints, n_deviations, fitness, is_fit) against a log skeleton (relation, a, b).
+def skeleton_conformance(log: DataFrame, model: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
+    """(case_id, n_constraints, n_deviations, fitness, is_fit) against a log skeleton (relation, a, b) and numbers of occurrences (activity, times).
 
-    A constraint counts for the cases that hold its first activity.
+    A constraint counts for the cases that hold its first activity; one event of it that fulfils always_after, always_before or directly_follows is
+    enough.  With frequencies each activity of a case is a constraint, met by an admissible number, and each activity that has no
+    admissible 0 is one more, broken, for the cases without it.
     """
     rows = _pairs(log, model.withColumnRenamed("relation", "template")).where("pa IS NOT NULL")
     both = F.col("pb").isNotNull()
     outcomes = {
         "equivalence": both & (F.size("pa") == F.size("pb")),
-        "always_after": both & (F.array_max("pa") < F.array_max("pb")),
-        "always_before": both & (F.array_min("pb") < F.array_min("pa")),
+        "always_after": both & (F.array_max("pb") > F.array_min("pa")),
+        "always_before": both & (F.array_min("pb") < F.array_max("pa")),
         "never_together": ~both,
-        "directly_follows": both & F.forall("pa", lambda p: F.array_contains(F.col("pb"), p + 1)),
+        "directly_follows": both & F.exists("pa", lambda p: F.array_contains(F.col("pb"), p + 1)),
     }
-    rows = rows.withColumn("ok", _tested(outcomes))
-    return _summed(log, rows.where("NOT ok"), rows.groupBy("case_id").agg(F.count("*").alias("n_constraints")))
+    rows = rows.select("case_id", _tested(outcomes).alias("ok"))
+    if frequencies is not None:
+        allowed = frequencies.groupBy("activity").agg(F.collect_set(F.col("times").cast("long")).alias("times"))  # the alphabet
+        held = log.groupBy("case_id", "activity").agg(F.count("*").alias("n"))
+        counted = held.join(allowed, "activity", "left").select("case_id", F.coalesce(F.array_contains("times", F.col("n")), F.lit(False)).alias("ok"))
+        needed = allowed.where(F.array_min("times") > 0).select("activity")
+        absent = cases(log).select("case_id").crossJoin(F.broadcast(needed)).join(held, ["case_id", "activity"], "left_anti")  # at most the alphabet
+        rows = rows.unionByName(counted).unionByName(absent.select("case_id", F.lit(False).alias("ok")))
+    n = rows.groupBy("case_id").agg(F.count("*").alias("n_constraints"))
+    return _summed(log, rows.where("NOT ok"), n)
 
 
 def temporal_conformance(log: DataFrame, profile: DataFrame, zeta: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import cases, position
+from ..schema import cases, in_case, position
 
 
 def occurrences(log: DataFrame) -> DataFrame:
@@ -85,22 +85,35 @@ def declare_binary(log: DataFrame) -> DataFrame:
 
 
 def skeleton(log: DataFrame, noise: float = 0.0) -> DataFrame:
-    """(relation, a, b) of the log skeleton that hold in at least 1 - noise of the cases with a (equivalence, always_after,
-    always_before) or of all cases with either (never_together)."""
+    """(relation, a, b) of the log skeleton: relations whose count is at least 1 - noise of the events of a.
+
+    Counts: for equivalence the events of a in cases with as many of b; for always_after and always_before the cases with some b after
+    (before) some a, so that a case with several a weighs less than its events; for never_together the events of a less the cases with both; for
+    directly_follows the steps from a to b.  A count of 0 gives no relation, whatever the noise; only the first and never_together leave out a = b.
+    """
     occ = occurrences(log)
     x = occ.select("case_id", F.col("activity").alias("a"), F.col("places").alias("pa"))
     y = occ.select("case_id", F.col("activity").alias("b"), F.col("places").alias("pb"))
-    sums = x.join(y, "case_id").where("a <> b").groupBy("a", "b").agg(
+    first, last = F.array_min, F.array_max
+    sums = x.join(y, "case_id").groupBy("a", "b").agg(
         F.count("*").alias("both"),
-        F.count_if(F.size("pa") == F.size("pb")).alias("equal"),
-        F.count_if(F.array_max("pa") < F.array_max("pb")).alias("after"),
-        F.count_if(F.array_min("pb") < F.array_min("pa")).alias("before"),
+        F.sum(F.when(F.size("pa") == F.size("pb"), F.size("pa")).otherwise(0)).alias("equal"),
+        F.count_if(last("pb") > first("pa")).alias("after"),
+        F.count_if(first("pb") < last("pa")).alias("before"),
     )
-    alone = occ.groupBy("activity").agg(F.count("*").alias("k"))
-    names = alone.select(F.col("activity").alias("a"), F.col("k").alias("ka")).crossJoin(alone.select(F.col("activity").alias("b"), F.col("k").alias("kb"))).where("a <> b")  # the alphabet squared
-    rows = names.join(sums, ["a", "b"], "left").na.fill(0, ["both", "equal", "after", "before"])
-    ok = lambda c: F.col(c) >= F.col("ka") * (1 - noise)
-    tests = {"equivalence": ok("equal"), "always_after": ok("after"), "always_before": ok("before"), "never_together": F.col("both") <= (F.col("ka") + F.col("kb")) * noise}
+    follows = log.select(F.col("activity").alias("a"), F.lead("activity").over(in_case()).alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
+    events = log.groupBy("activity").agg(F.count("*").alias("k"))
+    names = events.select(F.col("activity").alias("a"), "k").crossJoin(events.select(F.col("activity").alias("b")))  # the alphabet squared
+    rows = names.join(sums, ["a", "b"], "left").join(follows, ["a", "b"], "left").na.fill(0, ["both", "equal", "after", "before", "n"])
+    other = F.col("a") != F.col("b")
+    enough = lambda c: (c > 0) & (c >= F.col("k") * (1 - noise))
+    tests = {
+        "equivalence": other & enough(F.col("equal")),
+        "always_after": enough(F.col("after")),
+        "always_before": enough(F.col("before")),
+        "never_together": other & enough(F.col("k") - F.col("both")),
+        "directly_follows": enough(F.col("n")),
+    }
     made = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
     return rows.select(F.explode(made).alias("relation"), "a", "b")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import cases, in_case, position
+from ..schema import cases, in_case, position, unused
 
 
 def case_features(log: DataFrame, activities: Sequence[str], edges: Sequence[tuple[str, str]] = ()) -> DataFrame:
@@ -40,7 +40,8 @@ def case_split(log: DataFrame, share: float, seed: int = 0) -> tuple[DataFrame,
 
 def prefixes_of(log: DataFrame, length: int) -> DataFrame:
     """The first events of each case."""
-    return log.withColumn("p", position()).where(F.col("p") < length).drop("p")
+    place = unused(log, "place")
+    return log.withColumn(place, position()).where(F.col(place) < length).drop(place)
 
 
 def time_pivot(log: DataFrame, months: Sequence[int] = tuple(range(1, 13))) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import business_seconds
-from ..schema import cases, in_case, position, trace, variants
+from ..schema import cases, in_case, position, trace, unused, variants
 
 
 def of_cases(log: DataFrame, chosen: DataFrame, keep: bool = True) -> DataFrame:
@@ -192,9 +192,10 @@ def _cut(log: DataFrame, activity: str, first: bool, strict: bool, before: bool)
     own = Window.partitionBy("case_id")
     edge = F.min(at).over(own) if first else F.max(at).over(own)
     here = F.struct("us", "event_idx")
-    marked = log.withColumn("edge", edge)
-    hit = (here < F.col("edge")) if before else (here > F.col("edge"))
-    return marked.where(hit if strict else hit | (here == F.col("edge"))).select(log.columns)
+    name = unused(log, "edge")
+    marked, at_edge = log.withColumn(name, edge), F.col(name)
+    hit = (here < at_edge) if before else (here > at_edge)
+    return marked.where(hit if strict else hit | (here == at_edge)).drop(name)
 
 
 def split_at(log: DataFrame, activity: str, at_next: bool = False) -> DataFrame:
@@ -208,12 +209,15 @@ def between(log: DataFrame, a: str, b: str) -> DataFrame:
     """Sub-cases from each a to the next b; an a inside an open sub-case doesn't begin another."""
     hits = F.when(F.col("activity").isin(a, b), F.col("activity"))
     w = in_case()
-    before = F.last(hits, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    open_ = log.withColumn("before", before)
-    begins = (F.col("activity") == a) & (F.coalesce(F.col("before") != a, F.lit(True)))
-    numbered = open_.withColumn("k", F.sum(F.when(begins, 1).otherwise(0)).over(w)).withColumn("last_b", F.max(F.when(F.col("activity") == b, F.struct("us", "event_idx"))).over(Window.partitionBy("case_id")))
-    inside = ((F.col("before") == a) | begins) & (F.struct("us", "event_idx") <= F.col("last_b"))
-    return numbered.where(F.coalesce(inside, F.lit(False)) & (F.col("k") > 0)).withColumn("case_id", F.concat_ws("##@@", F.col("case_id").cast("string"), (F.col("k") - 1).cast("string"))).select(log.columns)
+    names = {k: unused(log, k) for k in ("before", "k", "last_b")}
+    before, k, last_b = map(F.col, names.values())
+    begins = (F.col("activity") == a) & F.coalesce(before != a, F.lit(True))
+    opened = log.withColumn(names["before"], F.last(hits, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    last = F.max(F.when(F.col("activity") == b, F.struct("us", "event_idx"))).over(Window.partitionBy("case_id"))
+    numbered = opened.withColumns({names["k"]: F.sum(F.when(begins, 1).otherwise(0)).over(w), names["last_b"]: last})
+    inside = ((before == a) | begins) & (F.struct("us", "event_idx") <= last_b)
+    chosen = numbered.where(F.coalesce(inside, F.lit(False)) & (k > 0))
+    return chosen.withColumn("case_id", F.concat_ws("##@@", F.col("case_id").cast("string"), (k - 1).cast("string"))).drop(*names.values())
 
 
 def starts_with(log: DataFrame, prefix: Sequence[str], keep: bool = True) -> DataFrame:
@@ -238,7 +242,8 @@ def trace_pattern(log: DataFrame, pattern: Sequence[str], keep: bool = True) ->
 def collapse_runs(log: DataFrame, keep_first: bool = True) -> DataFrame:
     """Of events of one activity in a row, the first or the last."""
     other = F.lag("activity").over(in_case()) if keep_first else F.lead("activity").over(in_case())
-    return log.withColumn("other", other).where(F.coalesce(F.col("other") != F.col("activity"), F.lit(True))).select(log.columns)
+    name = unused(log, "other")
+    return log.withColumn(name, other).where(F.coalesce(F.col(name) != F.col("activity"), F.lit(True))).drop(name)
 
 
 def collapse_times(log: DataFrame, how: str = "concat") -> DataFrame:

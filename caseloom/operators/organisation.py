@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import ranged
 from ..functions.tables import dropped, kept
 from ..schema import in_case
 
@@ -56,6 +57,54 @@ def resource_profile(log: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).select("resource", "n_events", "n_activities", "n_cases", (F.col("n_cases") / F.col("total")).alias("share_of_cases"))  # one row
 
 
+def since_previous(log: DataFrame) -> DataFrame:
+    """The log with events that begin when the one before in their case ends; the first ones have no length."""
+    return log.withColumn("start_us", F.coalesce(F.lag("us").over(in_case()), F.col("us")))
+
+
+def event_workload(log: DataFrame) -> DataFrame:
+    """(case_id, event_idx, resource, start_us, us, n): events of the resource whose time [start, end] meets that of the event, itself included.
+
+    Starts and ends stand in one order: an event meets those that began by its end, less those that ended before its start.  Counts run
+    inside ranges of resource and time and are carried on, so a resource that does a third of all events is not one task.
+    """
+    own = log.where("resource IS NOT NULL").select("case_id", "event_idx", "resource", "start_us", "us")
+    start = F.struct(F.col("start_us").alias("at"), F.lit(0).alias("ends"))
+    end = F.struct(F.col("us").alias("at"), F.lit(1).alias("ends"))
+    order = ["at", "ends", "case_id", "event_idx"]
+    marks = ranged(own.select("*", F.inline(F.array(start, end))), "resource", *order)
+    w = Window.partitionBy("part", "resource").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = marks.withColumns({"began": F.sum(1 - F.col("ends")).over(w), "ended": F.sum("ends").over(w)})
+    parts = marks.groupBy("part", "resource").agg(F.sum(1 - F.col("ends")).alias("b"), F.sum("ends").alias("e"))
+    earlier = Window.partitionBy("resource").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    carried = parts.select("part", "resource", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("b"), F.coalesce(F.sum("e").over(earlier), F.lit(0)).alias("e"))
+    rows = inside.join(carried, ["part", "resource"])
+    met = F.max(F.when(F.col("ends") == 1, F.col("began") + F.col("b"))) - F.max(F.when(F.col("ends") == 0, F.col("ended") + F.col("e")))
+    return rows.groupBy("case_id", "event_idx", "resource", "start_us", "us").agg(met.alias("n"))
+
+
+def workload_measures(log: DataFrame, low_us: int, high_us: int) -> DataFrame:
+    """(resource, average_workload, multitasking) in a time.
+
+    average_workload: event_workload() of the events that end from low on and start before high, weighted by their lengths; multitasking: of the
+    lengths of events that lie in the time, the share with a workload above 1.  0 where all lengths are 0.
+    """
+    took, n = F.col("us") - F.col("start_us"), F.col("n")
+    meets, inside = (F.col("us") >= low_us) & (F.col("start_us") < high_us), (F.col("start_us") >= low_us) & (F.col("us") <= high_us)
+    total = lambda hit, x: F.coalesce(F.sum(F.when(hit, x)), F.lit(0))
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+    sums = event_workload(log).groupBy("resource").agg(total(meets, took * n).alias("load"), total(meets, took).alias("time"), total(inside & (n > 1), took).alias("shared"), total(inside, took).alias("inner"))
+    return sums.select("resource", share("load", "time").alias("average_workload"), share("shared", "inner").alias("multitasking"))
+
+
+def case_interactions(log: DataFrame, low_us: int, high_us: int) -> DataFrame:
+    """(a, b, n_cases): cases that end in the time from low to before high and hold events of both resources, a < b."""
+    own = log.groupBy("case_id").agg(F.array_sort(F.collect_set("resource")).alias("all"), F.max("us").alias("last"))
+    rows = own.where((F.col("last") >= low_us) & (F.col("last") < high_us)).select("all", F.posexplode("all").alias("i", "a"))
+    pairs = rows.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_cases"))
+
+
 def activity_share(log: DataFrame) -> DataFrame:
     """(resource, activity, n, share of the resource's events)."""
     counts = log.where("resource IS NOT NULL").groupBy("resource", "activity").agg(F.count("*").alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,30 +126,42 @@ def causal(log: DataFrame) -> DataFrame:
 
 
 def temporal_profile(log: DataFrame) -> DataFrame:
-    """(a, b, n, mean_s, stdev_s) of the gaps of all later pairs; the deviation of one gap is 0."""
-    return later_pairs(log).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_s"), F.coalesce(F.stddev_samp("gap"), F.lit(0.0)).alias("stdev_s"))
+    """(a, b, n, mean_s, stdev_s) of the gaps of all later pairs (see later_pairs()); the deviation of one gap is 0.
+
+    No row per pair is made: an event's end tells its time once, its start hears the ends before it of each activity of the case,
+    as number, sum and sum of squares that run along the case.  A case needs its events times its activities, sorted.
+    """
+    end = F.struct(F.col("us").alias("at"), F.col("place").alias("turn"), F.lit(1).alias("ends"))
+    never = F.lit((1 << 31) - 1)
+    start = F.struct(F.col("start_us").alias("at"), F.when(F.col("start_us") < F.col("us"), never).otherwise(F.col("place")).alias("turn"), F.lit(0).alias("ends"))
+    rows = log.select("case_id", "activity", "us", "start_us", F.row_number().over(in_case()).alias("place"), F.collect_set("activity").over(Window.partitionBy("case_id")).alias("names"), F.min("us").over(Window.partitionBy("case_id")).alias("base"))
+    marks = rows.select("case_id", "activity", "names", "base", F.inline(F.array(start, end)))
+    heard = marks.select("case_id", "activity", "at", "turn", "ends", (F.col("at") - F.col("base")).alias("t"), F.explode(F.when(F.col("ends") == 1, F.array("activity")).otherwise(F.col("names"))).alias("a"))
+    return _gap_profile(heard, F.col("ends") == 1, "at", "turn", "ends", asks=F.col("ends") == 0)
+
+
+def point_profile(log: DataFrame) -> DataFrame:
+    """temporal_profile() of a log of events without length: half as many rows, the ends being the starts."""
+    named = beside_activities(log.select("case_id", "activity", "us", "event_idx", (F.col("us") - F.min("us").over(Window.partitionBy("case_id"))).alias("t")), "case_id", "a")
+    return _gap_profile(named, F.col("activity") == F.col("a"), "us", "event_idx")
 
 
-def point_profile(log: DataFrame, activities: Sequence[str]) -> DataFrame:
-    """temporal_profile() of a log of events without length whose activities are known, without a row per pair.
+def _gap_profile(rows: DataFrame, told: Column, *order: str, asks: Column | None = None) -> DataFrame:
+    """The profile of rows (case_id, a, activity, t) in an order: each that asks hears those that told before it.
 
-    The gaps of an event b to the events a before it sum up from their number, their times and their squares, which run along
-    the case.  Times are taken from the case's start, so that sums of squares stay exact enough.
+    Squares are taken in decimals, as a long case's cancel out but for a few digits.
     """
-    w = in_case().rowsBetween(Window.unboundedPreceding, -1)
-    t = (F.col("us") - F.min("us").over(Window.partitionBy("case_id"))) / 1e6
-    rows = log.select("case_id", "activity", "us", "event_idx", t.alias("t"))
-    so_far = []
-    for a in activities:
-        own = F.col("activity") == a
-        sums = [F.coalesce(F.sum(F.when(own, x)).over(w), F.lit(0.0)) for x in (F.lit(1.0), F.col("t"), F.col("t") * F.col("t"))]
-        so_far.append(F.struct(F.lit(a).alias("a"), sums[0].alias("n"), sums[1].alias("s"), sums[2].alias("q")))
-    rows = rows.select(F.col("activity").alias("b"), "t", F.array(*so_far).alias("before")).select("b", "t", F.inline("before")).where("n > 0")
+    w = Window.partitionBy("case_id", "a").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    t = F.col("t").cast("decimal(19,0)")
+    sums = {"n": F.count_if(told).over(w), "s": F.sum(F.when(told, F.col("t"))).over(w), "q": F.sum(F.when(told, t * t)).over(w)}
+    rows = rows.withColumns(sums)
+    rows = rows.where("n > 0" if asks is None else asks & (F.col("n") > 0))
+    n = F.col("n").cast("decimal(18,0)")
     gaps = F.col("n") * F.col("t") - F.col("s")
-    squares = F.col("n") * F.col("t") * F.col("t") - 2 * F.col("t") * F.col("s") + F.col("q")
-    out = rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(gaps).alias("s"), F.sum(squares).alias("q"))
+    squares = (n * (t * t) - 2 * (t * F.col("s").cast("decimal(19,0)")) + F.col("q")).cast("double")
+    out = rows.select("a", F.col("activity").alias("b"), "n", (gaps / 1e6).alias("s"), (squares / 1e12).alias("q")).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)))).otherwise(0.0)
-    return out.select("a", "b", F.col("n").cast("long").alias("n"), (F.col("s") / F.col("n")).alias("mean_s"), spread.alias("stdev_s"))
+    return out.select("a", "b", "n", (F.col("s") / F.col("n")).alias("mean_s"), spread.alias("stdev_s"))
 
 
 def temporal_deviations(log: DataFrame, profile: DataFrame, zeta: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import case_tables as tables
 from ..operators import conformance, declarative, dfgs, features, filters, relations, statistics
-from .catalog import ACTIVITIES, OCC, SQL, E, kept, query
+from .catalog import OCC, SQL, E, kept, query
 
 MODEL = (
     ("response", "view", "click"), ("precedence", "signup", "purchase"), ("non_coexistence", "error", "purchase"), ("chain_succession", "view", "click"), ("coexistence", "view", "signup"),
@@ -40,25 +40,33 @@ BROKEN = f"""CASE template
 query("declare_deviations", PAIRED + f" SELECT case_id, template, a, b FROM y WHERE {BROKEN}")(lambda log: conformance.declare_deviations(log, _model(log)))
 FIT = " SELECT case_id, n AS n_constraints, d AS n_deviations, CASE WHEN n > 0 THEN 1 - d / n::DOUBLE ELSE 1 END AS fitness, d = 0 AS is_fit FROM "
 query("declare_conformance", PAIRED + FIT + f"(SELECT case_id, count(*) AS n, count(*) FILTER ({BROKEN}) AS d FROM y GROUP BY case_id)")(lambda log: conformance.declare_conformance(log, _model(log)))
-SKEL = """CASE template WHEN 'equivalence' THEN NOT coalesce(len(pa) = len(pb), false) WHEN 'always_after' THEN NOT coalesce(pa[-1] < pb[-1], false) WHEN 'always_before' THEN NOT coalesce(pb[1] < pa[1], false)
- WHEN 'never_together' THEN pb IS NOT NULL ELSE pb IS NULL OR len(list_filter(pa, lambda i: NOT list_contains(pb, i + 1))) > 0 END"""
+SKEL = """CASE template WHEN 'equivalence' THEN NOT coalesce(len(pa) = len(pb), false) WHEN 'always_after' THEN NOT coalesce(pa[1] < pb[-1], false) WHEN 'always_before' THEN NOT coalesce(pb[1] < pa[-1], false)
+ WHEN 'never_together' THEN pb IS NOT NULL ELSE pb IS NULL OR len(list_filter(pa, lambda i: list_contains(pb, i + 1))) = 0 END"""
 query("skeleton_conformance", PAIRED.replace(_values(MODEL), _values(SKELETON)) + FIT + f"(SELECT case_id, count(pa) AS n, count(*) FILTER (pa IS NOT NULL AND {SKEL}) AS d FROM y GROUP BY case_id)")(
     lambda log: conformance.skeleton_conformance(log, _model(log, SKELETON, "relation string, a string, b string"))
 )
+FREQUENCIES = (("view", 1), ("view", 2), ("view", 3), ("click", 0), ("click", 1), ("click", 2), ("signup", 1), ("error", 0), ("error", 1))
+FREQ = f", fm AS (SELECT activity, times::BIGINT AS times FROM {_values(FREQUENCIES)} f(activity, times)), need AS (SELECT activity FROM fm GROUP BY activity HAVING min(times) > 0)"
 query(
-    "log_skeleton",
-    OCC + """, w AS (SELECT x.activity AS a, z.activity AS b, count(*) AS both_, count(*) FILTER (len(x.pl) = len(z.pl)) AS eq, count(*) FILTER (x.pl[-1] < z.pl[-1]) AS af, count(*) FILTER (z.pl[1] < x.pl[1]) AS be FROM o x JOIN o z ON x.case_id = z.case_id AND x.activity <> z.activity GROUP BY ALL),
-n AS (SELECT ka.activity AS a, kb.activity AS b, ka.n AS ka, kb.n AS kb FROM k ka JOIN k kb ON ka.activity <> kb.activity), m AS (SELECT n.*, coalesce(both_, 0) AS both_, coalesce(eq, 0) AS eq, coalesce(af, 0) AS af, coalesce(be, 0) AS be FROM n LEFT JOIN w USING (a, b))
-SELECT 'equivalence' AS relation, a, b FROM m WHERE eq >= ka * 0.5::DOUBLE UNION ALL SELECT 'always_after', a, b FROM m WHERE af >= ka * 0.5::DOUBLE UNION ALL SELECT 'always_before', a, b FROM m WHERE be >= ka * 0.5::DOUBLE
-UNION ALL SELECT 'never_together', a, b FROM m WHERE both_ <= (ka + kb) * 0.5::DOUBLE""",
-)(lambda log: declarative.skeleton(log, 0.5))
+    "skeleton_conformance_frequencies",
+    PAIRED.replace(_values(MODEL), _values(SKELETON)) + FREQ + f""", r AS (SELECT case_id, {SKEL} AS broken FROM y WHERE pa IS NOT NULL
+ UNION ALL SELECT case_id, (activity, len(pl)) NOT IN (SELECT (activity, times) FROM fm) FROM o UNION ALL SELECT case_id, true FROM c CROSS JOIN need WHERE (case_id, activity) NOT IN (SELECT (case_id, activity) FROM o))"""
+    + FIT + "(SELECT case_id, count(*) AS n, count(*) FILTER (broken) AS d FROM r GROUP BY case_id)",
+)(lambda log: conformance.skeleton_conformance(log, _model(log, SKELETON, "relation string, a string, b string"), _model(log, FREQUENCIES, "activity string, times long")))
+SKELETON_SQL = """, w AS (SELECT x.activity AS a, z.activity AS b, count(*) AS tog, coalesce(sum(len(x.pl)) FILTER (len(x.pl) = len(z.pl)), 0) AS eq, count(*) FILTER (x.pl[1] < z.pl[-1]) AS af, count(*) FILTER (z.pl[1] < x.pl[-1]) AS be FROM o x JOIN o z ON x.case_id = z.case_id GROUP BY ALL),
+f AS (SELECT activity AS a, b, count(*) AS df FROM s WHERE b IS NOT NULL GROUP BY ALL), ne AS (SELECT activity, count(*) AS n FROM e GROUP BY ALL),
+m AS (SELECT ka.activity AS a, kb.activity AS b, ka.n * {share}::DOUBLE AS least, ka.n - coalesce(tog, 0) AS apart, coalesce(eq, 0) AS eq, coalesce(af, 0) AS af, coalesce(be, 0) AS be, coalesce(df, 0) AS df FROM ne ka CROSS JOIN ne kb LEFT JOIN w ON w.a = ka.activity AND w.b = kb.activity LEFT JOIN f ON f.a = ka.activity AND f.b = kb.activity)
+SELECT 'equivalence' AS relation, a, b FROM m WHERE a <> b AND eq > 0 AND eq >= least UNION ALL SELECT 'always_after', a, b FROM m WHERE af > 0 AND af >= least UNION ALL SELECT 'always_before', a, b FROM m WHERE be > 0 AND be >= least
+UNION ALL SELECT 'never_together', a, b FROM m WHERE a <> b AND apart > 0 AND apart >= least UNION ALL SELECT 'directly_follows', a, b FROM m WHERE df > 0 AND df >= least"""
+query("log_skeleton", OCC + SKELETON_SQL.format(share=0.5))(lambda log: declarative.skeleton(log, 0.5))
+query("log_skeleton_noisy", OCC + SKELETON_SQL.format(share=0.125))(lambda log: declarative.skeleton(log, 0.875))
 PAIRS = "SELECT x.case_id, x.activity AS a, y.activity AS b, (y.us - x.us) / 1e6 AS gap FROM e x JOIN e y ON x.case_id = y.case_id AND (x.us, x.event_idx) < (y.us, y.event_idx)"
 PROFILE = f", pr AS ({PAIRS}), prof AS (SELECT a, b, avg(gap) AS m, coalesce(stddev_samp(gap), 0) AS s FROM pr GROUP BY ALL)"
 query("temporal_conformance", PROFILE + ", dev AS (SELECT case_id, count(*) AS n FROM pr JOIN prof USING (a, b) WHERE abs(gap - m) > 1.5::DOUBLE * s GROUP BY case_id) SELECT case_id, coalesce(n, 0) AS n_deviations, n IS NULL AS is_fit FROM c LEFT JOIN dev USING (case_id)")(
     lambda log: conformance.temporal_conformance(log, relations.temporal_profile(log), 1.5).select("case_id", "n_deviations", "is_fit")
 )
 query("point_profile", f"SELECT a, b, count(*) AS n, round(avg(gap), 2) AS mean_s, round(coalesce(stddev_samp(gap), 0), 0) AS stdev_s FROM ({PAIRS}) GROUP BY ALL")(
-    lambda log: relations.point_profile(log, ACTIVITIES).select("a", "b", "n", F.round("mean_s", 2).alias("mean_s"), F.round("stdev_s", 0).alias("stdev_s"))
+    lambda log: relations.point_profile(log).select("a", "b", "n", F.round("mean_s", 2).alias("mean_s"), F.round("stdev_s", 0).alias("stdev_s"))
 )
 
 

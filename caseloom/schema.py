@@ -46,6 +46,14 @@ def canonical(df: DataFrame, schema: EventSchema) -> DataFrame:
     return out.where("case_id IS NOT NULL AND activity IS NOT NULL AND ts IS NOT NULL")
 
 
+def unused(log: DataFrame, name: str) -> str:
+    """A name for a helper column that the log doesn't have (names differ by more than case)."""
+    taken = {c.lower() for c in log.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_case() -> WindowSpec:
     """A case's events in order."""
     return Window.partitionBy("case_id").orderBy("us", "event_idx")

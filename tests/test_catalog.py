@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from caseloom.plans import catalog, feature_catalog, graph_catalog, label_catalog, matching_catalog, measure_catalog, object_catalog, stream_catalog  # noqa: F401  these add their queries to the catalog
+from caseloom.plans import catalog, feature_catalog, graph_catalog, label_catalog, matching_catalog, measure_catalog, object_catalog, resource_catalog, stream_catalog  # noqa: F401  these add their queries to the catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
