@@ -40,6 +40,31 @@ def prefix_tree(log: DataFrame, most_depth: int | None = None) -> DataFrame:
     return rows.groupBy("prefix", "depth").agg(F.sum("n").alias("n_cases"), F.sum(F.when(F.col("final"), F.col("n")).otherwise(0)).alias("n_final"))
 
 
+def prefix_nodes(log: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """(node, parent, activity, depth, n_cases, n_final): prefix_tree() with nodes named by hashes, linear in a variant's length.
+
+    A node's name is the SHA-256 of its parent's name, a slash and its activity, the root's being empty; so a row that is shuffled has the same
+    size at any depth, and the prefix of a node is read along its parents.
+    """
+    rows = variants(log).groupBy("variant").agg(F.count("*").alias("n")).withColumn("size", F.size("variant"))
+    if most_depth is not None:
+        rows = rows.withColumn("variant", F.slice("variant", 1, most_depth))
+    start = F.array(F.lit(""))
+    names = F.aggregate("variant", start, lambda held, a: F.array_append(held, F.sha2(F.concat(F.element_at(held, -1), F.lit("/"), a), 256)))
+    nodes = rows.withColumn("names", names).select("*", F.posexplode("variant").alias("at", "activity"))
+    last = F.col("at") + 1 == F.col("size")
+    named = nodes.select(F.get("names", F.col("at") + 1).alias("node"), F.get("names", F.col("at")).alias("parent"), "activity", (F.col("at") + 1).alias("depth"), "n", last.alias("final"))
+    return named.groupBy("node", "parent", "activity", "depth").agg(F.sum("n").alias("n_cases"), F.sum(F.when(F.col("final"), F.col("n")).otherwise(0)).alias("n_final"))
+
+
+def footprint_similarity(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(similarity): of the relations (a, b, relation) of two footprints, the share that both have; 0 where neither has any."""
+    x = first.select("a", "b", "relation").distinct().withColumn("x", F.lit(1))
+    both = x.join(second.select("a", "b", "relation").distinct().withColumn("y", F.lit(1)), ["a", "b", "relation"], "full")
+    met = F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return both.agg(F.when(F.count("*") > 0, met / F.count("*")).otherwise(0.0).alias("similarity"))
+
+
 def alpha_relations(log: DataFrame) -> DataFrame:
     """(a, b, relation): causal, parallel or none for every pair of activities, the alpha algorithm's footprint matrix."""
     edges = dfg(log).select("a", "b")

@@ -38,6 +38,23 @@ def test_prefix_tree(spark):
     assert len(rows(discovery.prefix_tree(log_of(spark, M1), most_depth=1))) == 1
 
 
+def test_prefix_nodes_tell_the_prefixes_of_the_tree(spark):
+    log = log_of(spark, {**M1, "4": "A", "5": "AB", "6": "ABCBA"})
+    for most in (None, 2):
+        nodes = {r.node: r for r in discovery.prefix_nodes(log, most).collect()}
+        prefix = lambda r: ([] if not r.parent else prefix(nodes[r.parent])) + [r.activity]  # noqa: B023, E731
+        found = sorted((",".join(prefix(r)), r.depth, r.n_cases, r.n_final) for r in nodes.values())
+        assert found == rows(discovery.prefix_tree(log, most))
+
+
+def test_footprint_similarity(spark):
+    model = lambda pairs: spark.createDataFrame(pairs, "a string, b string, relation string")
+    x = model([("a", "b", "sequence"), ("b", "c", "parallel"), ("c", "b", "parallel")])
+    y = model([("a", "b", "sequence"), ("b", "c", "sequence"), ("c", "b", "parallel")])
+    none = model([("a", "b", "sequence")]).where("false")
+    assert [discovery.footprint_similarity(p, q).first()[0] for p, q in ((x, x), (x, y), (x, none), (none, none))] == [1.0, 0.5, 0.0, 0.0]
+
+
 def test_alpha_and_heuristics(spark):
     log = log_of(spark, M1)
     alpha = {(a, b): r for a, b, r in rows(discovery.alpha_relations(log))}
