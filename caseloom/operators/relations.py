@@ -165,10 +165,21 @@ def _gap_profile(rows: DataFrame, told: Column, *order: str, asks: Column | None
 
 
 def temporal_deviations(log: DataFrame, profile: DataFrame, zeta: float) -> DataFrame:
-    """(case_id, a, b, gap, score): gaps beyond mean +- zeta * stdev; the score is null where stdev is 0."""
-    rows = later_pairs(log).join(profile.select("a", "b", "mean_s", "stdev_s"), ["a", "b"])
-    out = F.abs(F.col("gap") - F.col("mean_s"))
-    return rows.where(out > zeta * F.col("stdev_s")).select("case_id", "a", "b", "gap", F.when(F.col("stdev_s") > 0, out / F.col("stdev_s")).alias("score"))
+    """(case_id, a, b, gap, score): gaps beyond mean +- zeta * stdev; the score is null where stdev is 0.
+
+    Pairs are compared inside a case's array, where the profile's rows of b come as a map, so that only deviations become rows
+    and no pair is shuffled.
+    """
+    seq = log.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("us", "event_idx", "activity", "start_us"))).alias("t"))
+    of_b = profile.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("a", F.struct("mean_s", "stdev_s")))).alias("of"))  # the alphabet
+    rows = seq.select("case_id", "t", F.posexplode("t").alias("i", "x")).where("i > 0").withColumn("b", F.col("x.activity")).join(of_b, "b")
+    gap = lambda y: (F.col("x.start_us") - y["us"]) / 1e6
+    row_of = lambda y: F.try_element_at("of", y["activity"])
+    beyond = lambda y: (y["us"] <= F.col("x.start_us")) & (F.abs(gap(y) - row_of(y)["mean_s"]) > zeta * row_of(y)["stdev_s"])
+    found = rows.select("case_id", "b", "of", "x", F.explode(F.filter(F.slice("t", 1, F.col("i")), beyond)).alias("y"))
+    y = F.col("y")
+    rows = found.select("case_id", y["activity"].alias("a"), "b", gap(y).alias("gap"), row_of(y)["mean_s"].alias("m"), row_of(y)["stdev_s"].alias("s"))
+    return rows.select("case_id", "a", "b", "gap", F.when(F.col("s") > 0, F.abs(F.col("gap") - F.col("m")) / F.col("s")).alias("score"))
 
 
 def self_distance(log: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from caseloom.operators import object_filters, object_tools
+from caseloom.operators import object_filters, object_tools, relations
 from caseloom.operators.objects import ObjectLog
 
 
@@ -54,3 +54,14 @@ def test_object_components_equal_a_plain_version(spark, seed):
             held.setdefault(expected[o], set()).update({(f"type {o[0]}", o), (f"activity {'even' if e % 2 == 0 else 'odd'}", e)})
     profiles = sorted(", ".join(sorted(f"{w}={sum(x[0] == w for x in of)}" for w in {x[0] for x in of})) for of in held.values())
     assert sorted(r.profile for r in object_tools.component_profiles(log).collect() for _ in range(r.n)) == profiles
+
+
+def test_temporal_deviations_shuffle_no_pairs(spark):
+    rows = [("c", "ab"[k % 2], k, k * k * 1_000_000, k * k * 1_000_000) for k in range(8)]
+    log = spark.createDataFrame(rows, "case_id string, activity string, event_idx long, us long, start_us long")
+    profile = spark.createDataFrame([(a, b, 5.0, 1.0) for a in "ab" for b in "ab"], "a string, b string, mean_s double, stdev_s double")
+    found = relations.temporal_deviations(log, profile, 2)
+    gaps = [("ab"[i % 2], "ab"[j % 2], float(j * j - i * i)) for i in range(8) for j in range(i + 1, 8)]
+    assert sorted((r.a, r.b, r.gap, r.score) for r in found.collect()) == sorted((a, b, g, abs(g - 5)) for a, b, g in gaps if abs(g - 5) > 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a" not in plan  # pairs met the profile by (a, b)
