@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import ranged
-from ..functions.tables import kept
+from ..functions.distances import nearest_of_blocks
+from ..functions.order import indexed, ranged
+from ..functions.tables import bounded, kept
 from ..schema import variants
 
 MOST_ACTIVITIES = 20_000
+LEFTS, RIGHTS = 32, 4096  # texts in a block
 
 
 def alphabet_of(names: DataFrame) -> DataFrame:
@@ -32,9 +34,9 @@ def nearest_variants(log: DataFrame, other: DataFrame, pivots: int = 8) -> DataF
     """(variant, nearest, distance): for each variant of log the variant of the other log at the least edit distance; exact.
 
     Distances count activities put in, left out or replaced; ties go to the first variant by its activities.  Distances to a few
-    frequent variants of the other log, the pivots, bound all others by the triangle inequality: a variant no farther than the nearest pivot lies
-    in a ring of pivot distances, which is an equal join on (pivot, distance).  A first join on narrow rings finds a better bound.  Of
-    the pairs left, lengths and the other pivots are compared first, then distances up to the bound.  Logs of more than MOST_ACTIVITIES
+    frequent variants of the other log, the pivots, bound all others by the triangle inequality.  Both sides are sorted by their nearest pivot
+    and cut into blocks; blocks that lie near each other in that order give a better bound, then all pairs of blocks that lengths and
+    pivots allow are compared, a text with a block at a time (see edit_distances()).  Logs of more than MOST_ACTIVITIES
     activities are refused.  No row for a log without a variant, or if the other log has none.
     """
     names = log.select("activity").union(other.select("activity")).distinct()
@@ -46,33 +48,42 @@ def nearest_variants(log: DataFrame, other: DataFrame, pivots: int = 8) -> DataF
     chosen = theirs.orderBy(F.desc("n"), F.xxhash64("text"), "text").limit(pivots).select(F.row_number().over(Window.orderBy(F.desc("n"), F.xxhash64("text"), "text")).alias("pivot"), F.col("text").alias("p"))
     every = chosen.agg(F.transform(F.array_sort(F.collect_list(F.struct("pivot", "p"))), lambda x: x["p"]).alias("ps"))  # one row
     away = lambda rows: rows.crossJoin(F.broadcast(every)).withColumn("d", F.transform("ps", lambda p: F.levenshtein(F.col("text"), p))).drop("ps")
-    left = kept(away(mine.select("text")).withColumns({"bound": F.array_min("d"), "pivot": F.array_position("d", F.array_min("d")).cast("int")}).where("size(d) > 0"), "left")
-    rings = kept(away(theirs.select(F.col("text").alias("text"))).select(F.col("text").alias("other"), F.col("d").alias("e")), "rings")
-    right = rings.select("other", "e", F.posexplode("e").alias("k", "ring")).withColumn("pivot", F.col("k") + 1).drop("k")
-
-    def met(rows: DataFrame, least: Column, most: Column) -> DataFrame:
-        """(text, other, distance) up to the bound in the rings from least to most."""
-        asked = rows.withColumn("ring", F.explode(F.sequence(F.greatest(F.lit(0), least), most)))
-        pairs = asked.join(right, ["pivot", "ring"])
-        near = F.forall(F.arrays_zip("d", "e"), lambda z: F.abs(z["d"] - z["e"]) <= F.col("bound"))
-        pairs = pairs.where((F.abs(F.length("text") - F.length("other")) <= F.col("bound")) & near)
-        return pairs.withColumn("distance", _banded(F.col("text"), F.col("other"), F.col("bound"))).where("distance BETWEEN 0 AND bound").select("text", "other", "distance")
-
-    at = F.element_at("d", F.col("pivot"))
-    first = met(left, at - 1, at + 1).groupBy("text").agg(F.min("distance").alias("found"))
-    better = kept(left.join(first, "text", "left").withColumn("bound", F.least("bound", F.coalesce("found", "bound"))).drop("found"), "bounds")
-    met_all = met(better, at - F.col("bound"), at + F.col("bound"))
-    named = met_all.join(theirs.select(F.col("text").alias("other"), F.col("variant").alias("nearest")), "other")
-    best = named.groupBy("text").agg(F.min(F.struct("distance", "nearest")).alias("x"))
-    return mine.join(best, "text").select("variant", F.col("x.nearest").alias("nearest"), F.col("x.distance").alias("distance"))
-
-
-def _banded(a: Column, b: Column, bound: Column) -> Column:
-    """The edit distance, in a band of the next power of two above the bound; beyond the band -1."""
-    out = F.levenshtein(a, b)
-    for k in range(8, -1, -1):
-        out = F.when(bound <= 1 << k, F.levenshtein(a, b, 1 << k)).otherwise(out)
-    return out
+    placed = lambda rows: away(rows).where("size(d) > 0").withColumn("bound", F.array_min("d")).withColumn("pivot", F.array_position("d", F.col("bound")))
+    left, right = _blocks(placed(mine.select("text")), LEFTS), kept(_blocks(placed(theirs.select("text")), RIGHTS), "blocks")
+    overlap = (F.col("first") <= F.col("last_")) & (F.col("first_") <= F.col("last"))
+    if right.count() > 1:
+        near = _compared(kept(left, "blocks"), right, overlap).groupBy("text").agg(F.min("distance").alias("found"))
+        better = placed(mine.select("text")).join(near, "text", "left").withColumn("bound", F.least("bound", F.coalesce("found", "bound"))).drop("found")
+        left = _blocks(better, LEFTS)
+    apart = F.exists(F.arrays_zip("low", "high", "low_", "high_"), lambda z: (z["low_"] - z["high"] > F.col("bound")) | (z["low"] - z["high_"] > F.col("bound")))
+    met = _compared(kept(left, "blocks"), right, ~apart)
+    best = met.groupBy("text").agg(F.min(F.struct("distance", "other")).alias("x")).select("text", "x.distance", "x.other")  # letters are in the order of activities
+    named = best.join(theirs.select(F.col("text").alias("other"), F.col("variant").alias("nearest")), "other")
+    return mine.join(named, "text").select("variant", "nearest", "distance")
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(block, rows (text, bound, d), bound, first, last, low, high) of rows sorted by pivot, so many at a time: ranges of place, of d and of lengths."""
+    numbered = indexed(rows, "pivot", "bound", "text").withColumn("at", F.struct("pivot", F.array_min("d").alias("near")))
+    numbered = numbered.withColumn("spread", F.array_append("d", F.length("text")))
+    ends = lambda f: F.transform(F.sequence(F.lit(0), F.size(F.first("spread")) - 1), lambda k: f(F.transform(F.collect_list("spread"), lambda d: F.get(d, k))))
+    made = numbered.groupBy(F.floor(F.col("index") / size).cast("int").alias("block"))
+    return made.agg(F.collect_list(F.struct("text", "bound", "d")).alias("rows"), F.max("bound").alias("bound"), F.min("at").alias("first"), F.max("at").alias("last"), ends(F.array_min).alias("low"), ends(F.array_max).alias("high"))
+
+
+def _compared(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """(text, other, distance): the nearest of each pair of blocks that the condition allows, within the bounds.
+
+    Pairs are dealt by the right block and a salt, so that few blocks keep all cores busy; a right block is sent once a salt.
+    """
+    spark = bounded(left).sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = -(-2 * parts // max(1, right.count()))
+    ranges = right.select(F.col("block").alias("other_block"), *[F.col(c).alias(f"{c}_") for c in ("first", "last", "low", "high")])
+    asked = left.join(F.broadcast(ranges), condition).select("other_block", F.pmod(F.col("block"), F.lit(salts)).alias("salt"), F.col("rows").alias("lefts"))
+    held = right.select(F.col("block").alias("other_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("rows").alias("rights"))
+    pairs = asked.repartition(parts, "other_block", "salt").join(held.repartition(parts, "other_block", "salt").hint("merge"), ["other_block", "salt"])
+    return pairs.select("other_block", "lefts", "rights").mapInArrow(nearest_of_blocks, "text string, other string, distance int")
 
 
 def matched_times(log: DataFrame, lifo: bool = False) -> DataFrame:
