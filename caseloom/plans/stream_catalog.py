@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import kept
 from ..operators import conformance, relations
 from ..streaming import conformance as streamed
 from ..streaming.replay import replayed, time_slices
@@ -16,12 +17,13 @@ from .feature_catalog import BROKEN, PAIRED, _model
 SLICES, IDLE, LATE, AHEAD_S = 3, "60 days", "1 hour", 61 * 86400.0
 
 
-def replay(name: str, sql: str, transform: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """transform(stream, log) over the events table in slices of time; the log gives the models."""
+def replay(name: str, sql: str, models: Callable[[DataFrame], tuple[DataFrame, ...]], transform: Callable[..., DataFrame]) -> None:
+    """transform(stream, *models(log)) over the events table in slices of time; the models are made once, not for every slice."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         log = log_of(spark, sf_dir)
-        return replayed(time_slices(log, SLICES, AHEAD_S), lambda stream: transform(stream, log))
+        made = [kept(m, "model") for m in models(log)]
+        return replayed(time_slices(log, SLICES, AHEAD_S), lambda stream: transform(stream, *made))
 
     QUERIES[name], SQL[name] = run, E + sql
 
@@ -39,14 +41,16 @@ dev AS (SELECT case_id, 'step' AS kind, activity AS a, b, us2 AS us FROM s WHERE
 UNION ALL SELECT case_id, 'start', NULL, first_activity, first_us FROM c WHERE first_activity NOT IN (SELECT act FROM fs)
 UNION ALL SELECT case_id, 'end', last_activity, NULL, last_us FROM c WHERE last_activity NOT IN (SELECT act FROM ls)) """
 query("footprint_deviations", FREQUENT + "SELECT case_id, kind, a, b, us FROM dev")(lambda log: conformance.footprint_deviations(log, *frequent_model(log)))
-replay("stream_footprint_deviations", FREQUENT + "SELECT case_id::VARCHAR AS case_id, kind, a, b, us FROM dev", lambda stream, log: streamed.stream_footprint_deviations(stream, *frequent_model(log), IDLE, LATE))
+replay("stream_footprint_deviations", FREQUENT + "SELECT case_id::VARCHAR AS case_id, kind, a, b, us FROM dev", frequent_model, lambda stream, *model: streamed.stream_footprint_deviations(stream, *model, IDLE, LATE))
 replay(
     "stream_declare_deviations",
     PAIRED + f" SELECT case_id::VARCHAR AS case_id, template, a, b FROM y WHERE {BROKEN}",
-    lambda stream, log: streamed.stream_declare_deviations(stream, _model(log), IDLE, LATE).select("case_id", "template", "a", "b"),
+    lambda log: (_model(log),),
+    lambda stream, model: streamed.stream_declare_deviations(stream, model, IDLE, LATE).select("case_id", "template", "a", "b"),
 )
 replay(
     "stream_temporal_deviations",
     f", q AS ({PAIRS}), t AS (SELECT a, b, avg(gap) AS m, coalesce(stddev_samp(gap), 0) AS d FROM q GROUP BY ALL) SELECT q.case_id::VARCHAR AS case_id, a, b, gap FROM q JOIN t USING (a, b) WHERE abs(gap - m) > 2 * d",
-    lambda stream, log: streamed.stream_temporal_deviations(stream, relations.temporal_profile(log), 2, IDLE, LATE).select("case_id", "a", "b", "gap"),
+    lambda log: (relations.temporal_profile(log),),
+    lambda stream, profile: streamed.stream_temporal_deviations(stream, profile, 2, IDLE, LATE).select("case_id", "a", "b", "gap"),
 )

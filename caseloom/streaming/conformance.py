@@ -25,56 +25,56 @@ SCORES = "case_id string, a string, b string, gap double, score double, us long"
 
 
 class Ordered(StatefulProcessor):
-    """Feeds a case's events in order to feed() and ends it with ended(); both give out rows."""
+    """Feeds a case's events in order to feed() and ends it with ended(); both give out rows.
+
+    All that is known of a case is one value, read and written once a batch: each call of the state store goes from the worker to the JVM.
+    Its timer is moved on when it fires before the case is due, not with every batch.
+    """
+
+    holds = "int"  # type of what feed() holds of a case
 
     def __init__(self, idle: str) -> None:
         self.idle = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, idx long, activity string")
-        self.case = handle.getValueState("case", "first string, last string, us long, timer long")
+        self.case = handle.getValueState("case", f"first string, last string, us long, due long, waiting array<struct<us: long, idx: long, activity: string>>, held {self.holds}")
 
-    def feed(self, case: str, events: list[tuple[int, int, str]], first: str | None, last: str | None) -> Iterable[Row]:
-        """Rows for (us, idx, activity) that follow the activity last; first is the case's first one, None at its begin."""
+    def feed(self, case: str, events: list[tuple[int, int, str]], first: str | None, last: str | None, held) -> tuple[Iterable[Row], object]:
+        """Rows for (us, idx, activity) that follow the activity last, and what is held then; first is the case's first one, None at its begin."""
         raise NotImplementedError
 
-    def ended(self, case: str, first: str, last: str, us: int) -> Iterable[Row]:
+    def ended(self, case: str, first: str, last: str, us: int, held) -> Iterable[Row]:
         raise NotImplementedError
 
-    def _fed(self, case: str, events: list[tuple[int, int, str]], first: str | None, last: str | None, us: int | None) -> tuple[Iterable[Row], str | None, str | None, int | None]:
+    def _fed(self, case: str, events: list[tuple[int, int, str]], first: str | None, last: str | None, us: int | None, held) -> tuple[Iterable[Row], str | None, str | None, int | None, object]:
         if not events:
-            return [], first, last, us
-        return self.feed(case, events, first, last), first or events[0][2], events[-1][2], events[-1][0]
+            return [], first, last, us, held
+        out, held = self.feed(case, events, first, last, held)
+        return out, first or events[0][2], events[-1][2], events[-1][0], held
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        events = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        events = sorted([*events, *((r.us, r.event_idx, r.activity) for r in rows if r.activity is not None and key[0] is not None)])
-        if not events and not self.case.exists():
+        now, state = timerValues.getCurrentWatermarkInMs(), self.case.get()
+        first, last, us, due, waiting, held = state or (None, None, None, 0, [], None)
+        events = sorted([*map(tuple, waiting), *((r.us, r.event_idx, r.activity) for r in rows if r.activity is not None and key[0] is not None)])
+        if not events and state is None:
             return
         ripe = [e for e in events if e[0] <= now * 1000]
-        later = events[len(ripe) :]
-        first, last, us, timer = self.case.get() if self.case.exists() else (None, None, None, None)
-        out, first, last, us = self._fed(key[0], ripe, first, last, us)
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = max(now, (events[-1][0] if events else us or 0) // 1000 + self.idle, timer or 0) + 1
-        self.handle.registerTimer(timer)
-        self.case.update((first, last, us, timer))
+        out, first, last, us, held = self._fed(key[0], ripe, first, last, us, held)
+        due = max(due, max(now, (events[-1][0] if events else us or 0) // 1000 + self.idle) + 1)
+        if state is None:
+            self.handle.registerTimer(due)
+        self.case.update((first, last, us, due, events[len(ripe) :], held))
         yield from out
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        first, last, us, _ = self.case.get()
-        rest = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        out, first, last, us = self._fed(key[0], rest, first, last, us)
+        first, last, us, due, waiting, held = self.case.get()
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            return
+        out, first, last, us, held = self._fed(key[0], [tuple(e) for e in waiting], first, last, us, held)
         yield from out
-        yield from self.ended(key[0], first, last, us)
-        self.waiting.clear()
+        yield from self.ended(key[0], first, last, us, held)
         self.case.clear()
 
     def close(self) -> None:
@@ -115,7 +115,9 @@ def broken(template: str, f: int) -> bool:
 
 
 class DeclareMonitor(Ordered):
-    """Marks for each constraint a case has touched, in a map state."""
+    """Marks for each constraint a case has touched."""
+
+    holds = "array<struct<rule: int, marks: int>>"
 
     def __init__(self, rules: list[tuple[str, str, str | None]], idle: str) -> None:
         super().__init__(idle)
@@ -125,12 +127,8 @@ class DeclareMonitor(Ordered):
             for x in {a, b} - {None}:
                 self.by.setdefault(x, []).append(k)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.marks = handle.getMapState("marks", "rule int", "marks int")
-
-    def feed(self, case, events, first, last):
-        held, new, out = {k[0]: v[0] for k, v in self.marks.iterator()}, {}, []
+    def feed(self, case, events, first, last, held):
+        marks, out = dict(map(tuple, held or [])), []
 
         def tell(k: int, us: int) -> None:
             out.append(Row(case_id=case, template=self.rules[k][0], a=self.rules[k][1], b=self.rules[k][2], us=us, final=False))
@@ -140,11 +138,11 @@ class DeclareMonitor(Ordered):
                 first = act
                 for k, (template, a, _) in enumerate(self.rules):
                     if template == "init" and a != act:
-                        new[k] = TOLD
+                        marks[k] = TOLD
                         tell(k, us)
             for k in {*self.by.get(act, ()), *(self.by.get(last, ()) if last is not None else ())}:
                 template, a, b = self.rules[k]
-                f = new.get(k, held.get(k, 0))
+                f = marks.get(k, 0)
                 if last == a and act != b:
                     f |= BROKEN_CHAIN
                 if act == a:
@@ -155,20 +153,16 @@ class DeclareMonitor(Ordered):
                 if not f & TOLD and doomed(template, f):
                     f |= TOLD
                     tell(k, us)
-                new[k] = f
+                marks[k] = f
             last = act
-        for k, f in new.items():
-            if f != held.get(k):
-                self.marks.updateValue((k,), (f,))
-        return out
+        return out, [*marks.items()]
 
-    def ended(self, case, first, last, us):
-        held = {k[0]: v[0] for k, v in self.marks.iterator()}
+    def ended(self, case, first, last, us, held):
+        marks = dict(map(tuple, held or []))
         for k, (template, a, b) in enumerate(self.rules):
-            f = held.get(k, 0)
+            f = marks.get(k, 0)
             if not f & TOLD and template != "init" and broken(template, f):
                 yield Row(case_id=case, template=template, a=a, b=b, us=us, final=True)
-        self.marks.clear()
 
 
 class FootprintMonitor(Ordered):
@@ -178,7 +172,7 @@ class FootprintMonitor(Ordered):
         super().__init__(idle)
         self.steps, self.starts, self.ends = steps, starts, ends
 
-    def feed(self, case, events, first, last):
+    def feed(self, case, events, first, last, held):
         out = []
         for us, _, act in events:
             if last is None and act not in self.starts:
@@ -186,9 +180,9 @@ class FootprintMonitor(Ordered):
             elif last is not None and (last, act) not in self.steps:
                 out.append(Row(case_id=case, kind="step", a=last, b=act, us=us))
             last = act
-        return out
+        return out, None
 
-    def ended(self, case, first, last, us):
+    def ended(self, case, first, last, us, held):
         if last not in self.ends:
             yield Row(case_id=case, kind="end", a=last, b=None, us=us)
 
@@ -196,16 +190,14 @@ class FootprintMonitor(Ordered):
 class TemporalMonitor(Ordered):
     """Every event against all earlier ones of its case, whose times are held until the case is closed."""
 
+    holds = "array<struct<activity: string, us: long>>"
+
     def __init__(self, profile: dict[tuple[str, str], tuple[float, float]], zeta: float, idle: str) -> None:
         super().__init__(idle)
         self.profile, self.zeta = profile, zeta
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.earlier = handle.getListState("earlier", "activity string, us long")
-
-    def feed(self, case, events, first, last):
-        before, out = [tuple(e) for e in self.earlier.get()] if self.earlier.exists() else [], []
+    def feed(self, case, events, first, last, held):
+        before, out = [tuple(e) for e in held or []], []
         for us, _, act in events:
             for other, at in before:
                 mean, spread = self.profile.get((other, act), (None, None))
@@ -213,11 +205,9 @@ class TemporalMonitor(Ordered):
                 if mean is not None and abs(gap - mean) > self.zeta * spread:
                     out.append(Row(case_id=case, a=other, b=act, gap=gap, score=abs(gap - mean) / spread if spread else None, us=us))
             before.append((act, us))
-        self.earlier.appendList(before[-len(events) :])
-        return out
+        return out, before
 
-    def ended(self, case, first, last, us):
-        self.earlier.clear()
+    def ended(self, case, first, last, us, held):
         return []
 
 
