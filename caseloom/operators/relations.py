@@ -167,12 +167,17 @@ def _gap_profile(rows: DataFrame, told: Column, *order: str, asks: Column | None
 def temporal_deviations(log: DataFrame, profile: DataFrame, zeta: float) -> DataFrame:
     """(case_id, a, b, gap, score): gaps beyond mean +- zeta * stdev; the score is null where stdev is 0.
 
-    Pairs are compared inside a case's array, where the profile's rows of b come as a map, so that only deviations become rows
-    and no pair is shuffled.
+    Pairs are compared inside a case's array, where the profile's rows of the case's activities come as maps by b and a, so that only
+    deviations become rows and no pair is shuffled.  Cases meet the profile by their activities alone: rows that hold a case's array are
+    as many times larger than the files let Spark guess, and must be neither shuffled nor broadcast.
     """
     seq = log.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("us", "event_idx", "activity", "start_us"))).alias("t"))
     of_b = profile.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("a", F.struct("mean_s", "stdev_s")))).alias("of"))  # the alphabet
-    rows = seq.select("case_id", "t", F.posexplode("t").alias("i", "x")).where("i > 0").withColumn("b", F.col("x.activity")).join(of_b, "b")
+    held = log.groupBy("case_id").agg(F.collect_set("activity").alias("names")).select("case_id", "names", F.explode("names").alias("b"))
+    own = held.join(of_b.hint("merge"), "b").select("case_id", "b", F.map_filter("of", lambda a, _: F.array_contains("names", a)).alias("of"))
+    of = own.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "of"))).alias("of"))  # a case's alphabet squared
+    rows = seq.join(of.hint("merge"), "case_id").select("case_id", "of", "t", F.posexplode("t").alias("i", "x")).where("i > 0")
+    rows = rows.withColumn("b", F.col("x.activity")).withColumn("of", F.try_element_at("of", F.col("b")))
     gap = lambda y: (F.col("x.start_us") - y["us"]) / 1e6
     row_of = lambda y: F.try_element_at("of", y["activity"])
     beyond = lambda y: (y["us"] <= F.col("x.start_us")) & (F.abs(gap(y) - row_of(y)["mean_s"]) > zeta * row_of(y)["stdev_s"])

@@ -65,3 +65,15 @@ def test_temporal_deviations_shuffle_no_pairs(spark):
     assert sorted((r.a, r.b, r.gap, r.score) for r in found.collect()) == sorted((a, b, g, abs(g - 5)) for a, b, g in gaps if abs(g - 5) > 2)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a" not in plan  # pairs met the profile by (a, b)
+
+
+def test_temporal_deviations_broadcast_no_cases(spark, tmp_path):
+    rows = [(c, "ab"[k % 2], k, k * k * 1_000_000, k * k * 1_000_000) for c in range(5) for k in range(8)] + [(9, "z", 0, 0, 0), (9, "a", 1, 10**9, 10**9)]
+    spark.createDataFrame(rows, "case_id long, activity string, event_idx long, us long, start_us long").write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")  # small files: Spark took a case's array, once an event, for a table to broadcast
+    profile = spark.createDataFrame([(a, b, 5.0, 1.0) for a in "ab" for b in "ab"] + [("q", "a", 0.0, 0.0)], "a string, b string, mean_s double, stdev_s double")
+    profile.write.parquet(f"{tmp_path}/profile")
+    found = relations.temporal_deviations(log, spark.read.parquet(f"{tmp_path}/profile"), 2)
+    gaps = [(c, "ab"[i % 2], "ab"[j % 2], float(j * j - i * i)) for c in range(5) for i in range(8) for j in range(i + 1, 8)]
+    assert sorted((r.case_id, r.a, r.b, r.gap) for r in found.collect()) == sorted(g for g in gaps if abs(g[3] - 5) > 2)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
