@@ -6,6 +6,7 @@ import json
 import pytest
 
 from caseloom.operators.objects import ObjectLog
+from caseloom.plans.object_catalog import QUERIES
 from caseloom.sources import objects as files
 from caseloom.sources.object_xml import records
 
@@ -120,3 +121,20 @@ def test_first_versions(spark, tmp_path):
 
 def test_names_that_clash():
     assert files.column_names(["us", "EID", "a", "A"], ("eid", "activity", "us")) == {"A": "A", "EID": "EID_2", "a": "a_2", "us": "us_2"}
+
+
+def test_json_documents_are_bounded_whatever_the_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "DOCUMENT_ROWS", 16)
+    log, path = some_log(spark, 120), str(tmp_path / "j")
+    files.write_object_json(log, path)
+    rows = sum(t.count() for t in (log.events, log.objects, log.relations, log.o2o, log.e2e, log.changes))
+    whole = [json.loads(p.read_text()) for p in (tmp_path / "j").rglob("part-*.txt")]
+    assert len(whole) == -(-rows // 16)
+    held = [sum(1 + len(x["relationships"]) for x in d["events"] + d["objects"]) for d in whole]
+    assert sum(held) == rows - log.changes.count() and max(held) < rows / 5
+    same(files.read_object_json(spark, path), log)
+
+
+def test_relations_of_a_round_trip_are_not_broadcast(spark):
+    plan = QUERIES["oc_json_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
