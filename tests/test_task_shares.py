@@ -85,3 +85,37 @@ def test_relations_and_objects_of_the_catalog_are_dealt_in_shares(spark, monkeyp
     assert log.objects.rdd.getNumPartitions() == n
     assert object_tools.consistent(log).relations.rdd.getNumPartitions() == n  # no other exchange
     assert object_tools.without_duplicates(log).relations.rdd.getNumPartitions() <= n
+
+
+def test_features_of_objects_go_through_relations_once(tiny_shares):
+    pairs, log = tiny_shares
+    known = [o for o in sorted({o for _, o in pairs}) if o != "a1"]
+    log = objects.ObjectLog(log.events, log.objects.where("oid <> 'a1'").union(log.objects.where("oid = 'b2'")), log.relations)  # "a1" counts at its events only, "b2" once
+    at, lives = defaultdict(set), defaultdict(list)
+    for e, o in pairs:
+        at[e].add(o)
+        lives[o].append((e // 4, e))
+    first, last = ({o: f(lives[o]) for o in known} for f in (min, max))
+    expected = {
+        (o, len(lives[o]), len({"xyz"[e % 3] for _, e in lives[o]}), first[o][0], last[o][0], (last[o][0] - first[o][0]) / 1e6)
+        + (list(first.values()).count(first[o]), list(last.values()).count(last[o]), max(len(at[e]) for _, e in lives[o]))
+        for o in known
+    }
+    found = object_tools.object_features(log)
+    plan = dealt_by(found)
+    assert plan.count("Scan parquet") == 1  # each of three aggregations went through them, and again for the objects at an event
+    assert {tuple(r) for r in found.collect()} == expected
+    assert f"{N})" in next(line for line in plan.splitlines() if "hashpartitioning(oid" in line)
+
+
+def test_items_of_the_catalog_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PART_BYTES", 10_000)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of any size
+    try:
+        log = catalog.object_log(spark, "/root/testdata/sf0.001")
+        plan = dealt_by(log.relations)
+        n = tables.many(log.relations)[0]
+        assert plan.count("Exchange hashpartitioning") == 3 and plan.count(f", {n})") >= 3  # orders, items, customers of orders
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
