@@ -11,7 +11,7 @@ from ..functions.tables import bounded, kept
 from ..schema import variants
 
 MOST_ACTIVITIES = 20_000
-LEFTS, RIGHTS = 32, 4096  # texts in a block
+LEFTS, RIGHTS = 32, 8192  # texts in a block
 
 
 def alphabet_of(names: DataFrame) -> DataFrame:
@@ -74,16 +74,19 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 def _compared(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     """(text, other, distance): the nearest of each pair of blocks that the condition allows, within the bounds.
 
-    Pairs are dealt by the right block and a salt, so that few blocks keep all cores busy; a right block is sent once a salt.
+    Texts are dealt by the right block and a salt, so that few blocks keep all cores busy; a task gets a right block once for a few thousand
+    texts, which come to it one after the other.
     """
     spark = bounded(left).sparkSession
+    rights, lefts = right.count(), LEFTS * left.count()
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salts = -(-2 * parts // max(1, right.count()))
+    salts = max(-(-2 * parts // max(1, rights)), -(-lefts // RIGHTS))
     ranges = right.select(F.col("block").alias("other_block"), *[F.col(c).alias(f"{c}_") for c in ("first", "last", "low", "high")])
-    asked = left.join(F.broadcast(ranges), condition).select("other_block", F.pmod(F.col("block"), F.lit(salts)).alias("salt"), F.col("rows").alias("lefts"))
-    held = right.select(F.col("block").alias("other_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("rows").alias("rights"))
-    pairs = asked.repartition(parts, "other_block", "salt").join(held.repartition(parts, "other_block", "salt").hint("merge"), ["other_block", "salt"])
-    return pairs.select("other_block", "lefts", "rights").mapInArrow(nearest_of_blocks, "text string, other string, distance int")
+    asked = left.join(F.broadcast(ranges), condition).select("other_block", F.pmod(F.col("block"), F.lit(salts)).alias("salt"), F.lit(1).alias("side"), F.inline("rows"))
+    held = right.select(F.col("block").alias("other_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), "rows")
+    rows = asked.unionByName(held.select("other_block", "salt", "side", F.inline("rows")))
+    dealt = rows.repartition(max(parts, rights * salts // 2), "other_block", "salt").sortWithinPartitions("other_block", "salt", "side")
+    return dealt.mapInArrow(nearest_of_blocks, "text string, other string, distance int")
 
 
 def matched_times(log: DataFrame, lifo: bool = False) -> DataFrame:
