@@ -35,8 +35,8 @@ def nearest_variants(log: DataFrame, other: DataFrame, pivots: int = 8) -> DataF
 
     Distances count activities put in, left out or replaced; ties go to the first variant by its activities.  Distances to a few
     frequent variants of the other log, the pivots, bound all others by the triangle inequality.  Both sides are sorted by their nearest pivot
-    and cut into blocks; blocks that lie near each other in that order give a better bound, then all pairs of blocks that lengths and
-    pivots allow are compared, a text with a block at a time (see edit_distances()).  Logs of more than MOST_ACTIVITIES
+    and cut into blocks; blocks that lie near each other in that order are compared first and give a better bound, then all other pairs of blocks
+    that lengths and pivots allow, a text with a block at a time (see edit_distances()).  Logs of more than MOST_ACTIVITIES
     activities are refused.  No row for a log without a variant, or if the other log has none.
     """
     names = log.select("activity").union(other.select("activity")).distinct()
@@ -49,15 +49,17 @@ def nearest_variants(log: DataFrame, other: DataFrame, pivots: int = 8) -> DataF
     every = chosen.agg(F.transform(F.array_sort(F.collect_list(F.struct("pivot", "p"))), lambda x: x["p"]).alias("ps"))  # one row
     away = lambda rows: rows.crossJoin(F.broadcast(every)).withColumn("d", F.transform("ps", lambda p: F.levenshtein(F.col("text"), p))).drop("ps")
     placed = lambda rows: away(rows).where("size(d) > 0").withColumn("bound", F.array_min("d")).withColumn("pivot", F.array_position("d", F.col("bound")))
-    left, right = _blocks(placed(mine.select("text")), LEFTS), kept(_blocks(placed(theirs.select("text")), RIGHTS), "blocks")
-    overlap = (F.col("first") <= F.col("last_")) & (F.col("first_") <= F.col("last"))
-    if right.count() > 1:
-        near = _compared(kept(left, "blocks"), right, overlap).groupBy("text").agg(F.min("distance").alias("found"))
-        better = placed(mine.select("text")).join(near, "text", "left").withColumn("bound", F.least("bound", F.coalesce("found", "bound"))).drop("found")
-        left = _blocks(better, LEFTS)
+    left, right = kept(_blocks(placed(mine.select("text")), LEFTS), "blocks"), kept(_blocks(placed(theirs.select("text")), RIGHTS), "blocks")
+    nearest = lambda met: met.groupBy("text").agg(F.min(F.struct("distance", "other")).alias("x"))  # noqa: E731  letters are in the order of activities
     apart = F.exists(F.arrays_zip("low", "high", "low_", "high_"), lambda z: (z["low_"] - z["high"] > F.col("bound")) | (z["low"] - z["high_"] > F.col("bound")))
-    met = _compared(kept(left, "blocks"), right, ~apart)
-    best = met.groupBy("text").agg(F.min(F.struct("distance", "other")).alias("x")).select("text", "x.distance", "x.other")  # letters are in the order of activities
+    if right.count() > 1:
+        overlap = (F.col("first") <= F.col("last_")) & (F.col("first_") <= F.col("last"))
+        near = kept(nearest(_compared(left, right, overlap & ~apart)), "near")
+        rest = _compared(kept(_bounded_by(left, near), "blocks"), right, ~overlap & ~apart)
+        met = near.select("text", "x.other", "x.distance").unionByName(rest)
+    else:
+        met = _compared(left, right, ~apart)
+    best = nearest(met).select("text", "x.distance", "x.other")
     named = best.join(theirs.select(F.col("text").alias("other"), F.col("variant").alias("nearest")), "other")
     return mine.join(named, "text").select("variant", "nearest", "distance")
 
@@ -71,16 +73,23 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return made.agg(F.collect_list(F.struct("text", "bound", "d")).alias("rows"), F.max("bound").alias("bound"), F.min("at").alias("first"), F.max("at").alias("last"), ends(F.array_min).alias("low"), ends(F.array_max).alias("high"))
 
 
+def _bounded_by(blocks: DataFrame, near: DataFrame) -> DataFrame:
+    """blocks whose texts' bounds are no more than the distances found (text, x.distance)."""
+    rows = blocks.select("block", F.inline("rows")).join(near.select("text", F.col("x.distance").alias("found")), "text", "left")
+    made = rows.groupBy("block").agg(F.collect_list(F.struct("text", F.least("bound", "found").alias("bound"), "d")).alias("rows"), F.max(F.least("bound", "found")).alias("bound"))
+    return blocks.drop("rows", "bound").join(made, "block")
+
+
 def _compared(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     """(text, other, distance): the nearest of each pair of blocks that the condition allows, within the bounds.
 
-    Texts are dealt by the right block and a salt, so that few blocks keep all cores busy; a task gets a right block once for a few thousand
-    texts, which come to it one after the other.
+    Texts are dealt by the right block and a salt, so that few blocks keep all cores busy; a task gets a right block once for up to two
+    thousand texts, which come to it one after the other.
     """
     spark = bounded(left).sparkSession
     rights, lefts = right.count(), LEFTS * left.count()
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salts = max(-(-2 * parts // max(1, rights)), -(-lefts // RIGHTS))
+    salts = max(-(-4 * parts // max(1, rights)), -(-lefts // max(1, RIGHTS // 4)))
     ranges = right.select(F.col("block").alias("other_block"), *[F.col(c).alias(f"{c}_") for c in ("first", "last", "low", "high")])
     asked = left.join(F.broadcast(ranges), condition).select("other_block", F.pmod(F.col("block"), F.lit(salts)).alias("salt"), F.lit(1).alias("side"), F.inline("rows"))
     held = right.select(F.col("block").alias("other_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), "rows")
